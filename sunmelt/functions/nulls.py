@@ -17,7 +17,7 @@ def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
 
 
 def no_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -32,7 +32,3 @@ def flag_gt(c: Column, threshold: float) -> Column:
 
 def known_flag(c: Column) -> Column:
     return c.isNotNull().cast("int")
-
-
-def first_of(*candidates: Column) -> Column:
-    return F.coalesce(*candidates)

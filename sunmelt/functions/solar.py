@@ -7,6 +7,7 @@ Positions agree with the numerical algorithms used elsewhere to a few tenths of
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -69,18 +70,23 @@ def hour_angle(ts: Column, lon: Column, eot: Column) -> Column:
     return F.radians((minutes + F.lit(4.0) * lon + eot) / F.lit(4.0) - F.lit(180.0))
 
 
-def true_zenith(lat: Column, decl: Column, angle: Column) -> Column:
+def sun_vector(phi: Column, decl: Column, angle: Column) -> tuple[Column, Column, Column]:
+    """Direction away from the sun on the ground (west, north) and its height (up), as a unit
+    vector; ``phi`` is the latitude in radians."""
+    west = F.cos(decl) * F.sin(angle)
+    north = F.sin(phi) * F.cos(decl) * F.cos(angle) - F.cos(phi) * F.sin(decl)
+    up = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)
+    return west, north, up
+
+
+def true_zenith(west: Column, north: Column, up: Column) -> Column:
     """Degrees, without refraction."""
-    phi = F.radians(lat)
-    cos_z = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(angle)
-    return F.degrees(F.acos(clip(cos_z, -1, 1)))
+    return F.degrees(F.atan2(F.sqrt(west * west + north * north), up))
 
 
-def azimuth(lat: Column, decl: Column, angle: Column) -> Column:
+def azimuth(west: Column, north: Column) -> Column:
     """Degrees clockwise from north."""
-    phi = F.radians(lat)
-    x = F.cos(angle) * F.sin(phi) - F.tan(decl) * F.cos(phi)
-    return F.pmod(F.degrees(F.atan2(F.sin(angle), x)) + F.lit(180.0), F.lit(360.0))
+    return F.pmod(F.degrees(F.atan2(west, north)) + F.lit(180.0), F.lit(360.0))
 
 
 def site_pressure(altitude: Column) -> Column:
@@ -102,27 +108,25 @@ def apparent_zenith(zenith: Column, altitude: Column) -> Column:
 
 
 def relative_air_mass(zenith: Column) -> Column:
-    """NULL below the horizon."""
+    """Only meant for a sun above the horizon."""
     depth = F.pow(F.lit(96.07995) - zenith, F.lit(-1.6364))
-    mass = F.lit(1.0) / (F.cos(F.radians(zenith)) + F.lit(0.50572) * depth)
-    return F.when(zenith <= F.lit(90.0), mass)
+    return F.lit(1.0) / (F.cos(F.radians(zenith)) + F.lit(0.50572) * depth)
 
 
 def absolute_air_mass(zenith: Column, altitude: Column) -> Column:
     return relative_air_mass(zenith) * site_pressure(altitude) / F.lit(STANDARD_PRESSURE_PA)
 
 
-def clear_sky_ghi(
-    zenith: Column, air_mass: Column, turbidity: Column, altitude: Column, etr: Column
-) -> Column:
+def clear_sky_ghi(zenith: Column, turbidity: Column, altitude: Column, etr: Column) -> Column:
     """Clear-sky global irradiance (W/m2); 0 below the horizon."""
     fh1 = F.exp(-altitude / F.lit(8000.0))
     fh2 = F.exp(-altitude / F.lit(1250.0))
     cg1 = F.lit(5.09e-5) * altitude + F.lit(0.868)
     cg2 = F.lit(3.92e-5) * altitude + F.lit(0.0387)
-    cos_z = clip(F.cos(F.radians(zenith)), 0)
-    through = F.exp(-cg2 * air_mass * (fh1 + fh2 * (turbidity - F.lit(1.0))))
-    return F.when(zenith > F.lit(90.0), F.lit(0.0)).otherwise(cg1 * etr * cos_z * through)
+    mass = absolute_air_mass(zenith, altitude)
+    through = F.exp(-cg2 * mass * (fh1 + fh2 * (turbidity - F.lit(1.0))))
+    lit_up = cg1 * etr * F.cos(F.radians(zenith)) * through
+    return F.when(zenith > F.lit(90.0), F.lit(0.0)).otherwise(lit_up)
 
 
 def clear_sky_index(ghi: Column, clearsky: Column) -> Column:
@@ -131,32 +135,39 @@ def clear_sky_index(ghi: Column, clearsky: Column) -> Column:
     return F.when(clearsky > F.lit(CLEARSKY_FLOOR), index).otherwise(F.lit(0.0))
 
 
-def _middles() -> list[float]:
-    out, start = [], 0
+def _interpolation() -> tuple[list[int], list[float]]:
+    """For each day of the year, the month whose middle it follows and how far it is on the
+    way to the next middle."""
+    middles, start = [], 0
     for days in MONTH_DAYS:
-        out.append(start + (days + 1) / 2.0)
+        middles.append(start + (days + 1) / 2.0)
         start += days
-    return out
+    left, share = [], []
+    for day in range(1, 367):
+        passed = sum(day >= m for m in middles)
+        here = middles[passed - 1] if passed else middles[11] - 365.0
+        following = middles[passed] if passed < 12 else middles[0] + 365.0
+        left.append(passed or 12)
+        share.append((day - here) / (following - here))
+    return left, share
 
 
-def turbidity_on(by_month: Column, month: Column, day_of_year: Column) -> Column:
+def turbidity_on(by_month: Column, day_of_year: Column) -> Column:
     """Linke turbidity of a day, linear between the middles of the months.
 
-    ``by_month`` is an array of twelve monthly values, January first.
+    ``by_month`` is an array of twelve monthly values, January first. The months and weights
+    of each day are constants, so a row costs a few array reads.
     """
-    mid = _middles()
-    previous = [mid[11] - 365.0, *mid[:11]]
-    following = [*mid[1:], mid[0] + 365.0]
-
-    def at(values: list[float]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), month)
-
-    here = F.element_at(by_month, month)
-    before = F.element_at(by_month, F.pmod(month - 2, F.lit(12)) + 1)
-    after = F.element_at(by_month, F.pmod(month, F.lit(12)) + 1)
-    rising = before + (here - before) * (day_of_year - at(previous)) / (at(mid) - at(previous))
-    falling = here + (after - here) * (day_of_year - at(mid)) / (at(following) - at(mid))
-    return F.when(day_of_year < at(mid), rising).otherwise(falling)
+    left, share = _interpolation()
+    spot = day_of_year - 1
+
+    def of_day(values: list, kind: str) -> Column:
+        # one folded constant; an array of literals would cost one JVM call per day
+        return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), spot)
+
+    before = F.get(by_month, of_day([m - 1 for m in left], "int"))
+    after = F.get(by_month, of_day([m % 12 for m in left], "int"))
+    return before + (after - before) * of_day(share, "double")
 
 
 def day_arc(lat: Column, decl: Column) -> Column:

@@ -30,6 +30,9 @@ _TOKEN = (
 )
 _RAW_ELEMENT = r"(?is)^<(?:script|style)\b[^>]*+>(.*)</(?:script|style)\s*+>$"
 _ENTITY_PIECE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+# Names the standard also accepts without a semicolon, in front of any letters; longest first.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_OPEN_NAME = "^&(?:" + "|".join(_OPEN_NAMES) + ")"
 # The references met most often are answered before the full standard table is searched.
 _COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " "}
 
@@ -99,11 +102,18 @@ def _entity(piece: Column) -> Column:
     for name, text in _COMMON.items():
         out = out.when(piece == name, F.lit(text))
     decimal = F.regexp_extract(piece, r"^&#([0-9]{1,8});?$", 1)
+    prefix = F.regexp_extract(piece, _OPEN_NAME, 0)
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,7});?$", 1)
     return (
         out.when(decimal != "", _code_point(decimal, 10))
         .when(hexadecimal != "", _code_point(hexadecimal, 16))
-        .otherwise(F.coalesce(F.try_element_at(table, piece), piece))
+        .otherwise(
+            F.coalesce(
+                F.try_element_at(table, piece),
+                F.concat(F.try_element_at(table, prefix), F.substr(piece, F.length(prefix) + 1)),
+                piece,
+            )
+        )
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sunmelt.functions.nulls import no_nan
+
 # Accepted source names of each weather variable, best first. A source column
 # matches by its whole name, else by how it starts.
 WEATHER_ALIASES: dict[str, tuple[str, ...]] = {
@@ -139,7 +141,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [
         f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     ]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in floats})
+    return df.withColumns({c: no_nan(F.col(c)) for c in floats})
 
 
 def classify_columns(df: DataFrame, groups: Mapping[str, Sequence[str]] = AUDIT_GROUPS) -> DataFrame:

@@ -77,26 +77,28 @@ def with_solar_position(
     altitude: str = "altitude_m",
 ) -> DataFrame:
     """Add apparent zenith ``SZA``, ``solar_azimuth`` and ``ETR`` from the UTC clock."""
-    t, phi, lam = F.col(ts), F.col(lat), F.col(lon)
+    t = F.col(ts)
     b = solar.day_angle(solar.fractional_day(t))
-    return (
-        df.withColumn("_b", b)
-        .withColumns(
-            {
-                "_decl": solar.declination(F.col("_b")),
-                "_angle": solar.hour_angle(t, lam, solar.equation_of_time(F.col("_b"))),
-            }
-        )
-        .withColumn("_zenith", solar.true_zenith(phi, F.col("_decl"), F.col("_angle")))
-        .withColumns(
-            {
-                "SZA": solar.apparent_zenith(F.col("_zenith"), F.col(altitude)),
-                "solar_azimuth": solar.azimuth(phi, F.col("_decl"), F.col("_angle")),
-                "ETR": solar.extraterrestrial(F.dayofyear(t)),
-            }
-        )
-        .drop("_b", "_decl", "_angle", "_zenith")
+    # Each step is used more than once by the next, so none is worked out twice.
+    df = df.withColumns({"_b": b, "_phi": F.radians(lat)})
+    df = df.withColumns(
+        {
+            "_decl": solar.declination(F.col("_b")),
+            "_angle": solar.hour_angle(t, F.col(lon), solar.equation_of_time(F.col("_b"))),
+        }
     )
+    west, north, up = solar.sun_vector(F.col("_phi"), F.col("_decl"), F.col("_angle"))
+    df = df.withColumns({"_west": west, "_north": north, "_up": up})
+    df = df.withColumn(
+        "_zenith", solar.true_zenith(F.col("_west"), F.col("_north"), F.col("_up"))
+    )
+    return df.withColumns(
+        {
+            "SZA": solar.apparent_zenith(F.col("_zenith"), F.col(altitude)),
+            "solar_azimuth": solar.azimuth(F.col("_west"), F.col("_north")),
+            "ETR": solar.extraterrestrial(F.dayofyear(t)),
+        }
+    ).drop("_b", "_phi", "_decl", "_angle", "_west", "_north", "_up", "_zenith")
 
 
 def turbidity_profile(turbidity: DataFrame, key: str = "city") -> DataFrame:
@@ -115,10 +117,9 @@ def with_clear_sky(
     """
     if turbidity is not None:
         df = attach(df, turbidity_profile(turbidity, key), [key], spread_by=[ts])
-    t, z, alt = F.col(ts), F.col("SZA"), F.col(altitude).cast("double")
-    tl = solar.turbidity_on(F.col("tl_by_month"), F.month(t), F.dayofyear(t))
-    mass = solar.absolute_air_mass(z, alt)
-    out = df.withColumn("GHI_clearsky", solar.clear_sky_ghi(z, mass, tl, alt, F.col("ETR")))
+    tl = solar.turbidity_on(F.col("tl_by_month"), F.dayofyear(ts))
+    clear = solar.clear_sky_ghi(F.col("SZA"), tl, F.col(altitude), F.col("ETR"))
+    out = df.withColumn("GHI_clearsky", clear)
     if "GHI" in out.columns:
         out = out.withColumn(
             "CSI", solar.clear_sky_index(F.col("GHI"), F.col("GHI_clearsky"))

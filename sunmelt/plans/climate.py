@@ -17,7 +17,7 @@ from sunmelt.operators.sites import (
     with_solar_position,
     with_sun_times,
 )
-from sunmelt.runtime import cut_lineage
+from sunmelt.runtime import cut_lineage, keep_methods_compilable
 
 # Columns of the hourly climate table, in order.
 CLIMATE_COLUMNS = (
@@ -42,23 +42,23 @@ def convert_units(df: DataFrame) -> DataFrame:
     if "d2m" in have:
         new["T_dew"] = meteo.celsius(col("d2m"))
     if {"t2m", "d2m"} <= have:
-        new["RHum"] = meteo.relative_humidity(new["T_amb"], new["T_dew"])
+        new["RHum"] = meteo.magnus_humidity(new["T_amb"], new["T_dew"])
     if {"u10", "v10"} <= have:
         new["W_spd"] = meteo.wind_speed(col("u10"), col("v10"))
         new["W_dir"] = meteo.wind_direction(col("u10"), col("v10"))
     if "ssrd" in have:
-        new["GHI"] = meteo.hourly_flux(col("ssrd"))
+        new["GHI"] = col("ssrd") / F.lit(meteo.SECONDS_PER_HOUR)
     if "fdir" in have:
         new["DNI"] = col("fdir")
     if "strd" in have:
-        new["LW_down"] = meteo.hourly_flux(col("strd"))
+        new["LW_down"] = col("strd") / F.lit(meteo.SECONDS_PER_HOUR)
     if "tcc" in have:
-        new["cloud_cover"] = meteo.cloud_fraction(col("tcc"))
+        new["cloud_cover"] = col("tcc")
     if "tp" in have:
         new["precipitation"] = meteo.millimetres(col("tp"))
     if "sp" in have:
         new["P_atm"] = meteo.hectopascal(col("sp"))
-    return df.withColumns(new)
+    return meteo.limited(df.withColumns(new), list(new.keys() & meteo.LIMITS.keys()))
 
 
 def time_features(
@@ -89,6 +89,7 @@ def climate_hourly(
     ``turbidity`` has city, month and TL. The spatial mean is the only shuffle of the grid
     and its result is written once, as the monthly index reads it as well.
     """
+    keep_methods_compilable(grid.sparkSession)
     cells = resolve_alias(nan_to_null(grid.withColumnsRenamed({"time": "timestamp"})))
     hourly = cut_lineage(spatial_mean(cells)).withColumnsRenamed({"site": "city"})
     site_columns = ["city", "lat", "lon", "altitude_m", "climate_zone", "T_set"]
@@ -97,8 +98,8 @@ def climate_hourly(
     df = with_solar_position(df)
     df = with_clear_sky(df, turbidity)
     if {"GHI", "DNI"} <= set(df.columns):
-        dhi = meteo.diffuse_irradiance(F.col("GHI"), F.col("DNI"), F.col("SZA"))
-        df = df.withColumn("DHI", dhi)
+        dhi = meteo.unlimited_diffuse(F.col("GHI"), F.col("DNI"), F.col("SZA"))
+        df = meteo.limited(df.withColumn("DHI", dhi), ["DHI"])
     if {"GHI", "T_amb"} <= set(df.columns):
         df = with_heating_index(df)
     df = with_sun_times(df, offset_minutes=sun_clock_minutes)

@@ -14,6 +14,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01  # a key with more rows than this share of the table is spread out
 SALTS = 32
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+SPARK_METHOD_LIMIT = "65535"
+JIT_METHOD_LIMIT = "8000"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -41,14 +44,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_methods_compilable(spark: SparkSession) -> None:
+    """Let Spark leave a fused stage unfused where its method would be too big for the JIT.
+
+    HotSpot does not compile methods over 8,000 bytecodes, while Spark by default fuses up
+    to 65,535. A long chain of formulas then runs interpreted, several times slower than as
+    separate operators. A limit set by the user is left alone.
+    """
+    if spark.conf.get(METHOD_LIMIT, SPARK_METHOD_LIMIT) == SPARK_METHOD_LIMIT:
+        spark.conf.set(METHOD_LIMIT, JIT_METHOD_LIMIT)
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """True if ``df`` is proven small. Looks at no more than ``max_rows + 1`` rows."""
-    text = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     width = F.lit(16 * len(df.columns))
-    for name in text:
-        width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+    for field in df.schema:
+        value = F.col(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        width = width + F.coalesce(F.octet_length(value), F.lit(0))
     rows, size = (
         df.limit(max_rows + 1)
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))

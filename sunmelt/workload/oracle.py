@@ -381,7 +381,7 @@ ELEMENT = (
 TOKENS = rf"""SELECT page_id, i, CASE
     WHEN regexp_matches(t, '(?is)^<(script|style)\b') THEN regexp_extract(t, '(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>$', 1)
     WHEN t LIKE '<%' AND length(t) > 1 THEN ''
-    ELSE replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') END AS node
+    ELSE regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') END AS node
   FROM (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i
     FROM (SELECT page_id, regexp_extract_all(html, '{ELEMENT}') AS ts FROM pages))"""
 BODY = rf"""SELECT page_id, coalesce(string_agg(node, ' ' ORDER BY i), '') AS body

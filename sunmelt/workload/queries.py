@@ -8,7 +8,7 @@ add up in different orders compare equal.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +53,16 @@ def round_all(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({n: rounded(F.col(n), digits) for n in doubles})
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
+    """A few constant rows, kept in the plan."""
+    structs = [
+        F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names.split())]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def site_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(SITES),
-        "city string, lat double, lon double, altitude_m int, climate_zone string, T_set double",
-    )
+    return literal_rows(spark, SITES, "city lat lon altitude_m climate_zone T_set")
 
 
 def turbidity(spark: SparkSession) -> DataFrame:
@@ -66,7 +71,7 @@ def turbidity(spark: SparkSession) -> DataFrame:
         for city, base in TURBIDITY_BASE.items()
         for month in range(1, 13)
     ]
-    return spark.createDataFrame(rows, "city string, month int, TL double")
+    return literal_rows(spark, rows, "city month TL")
 
 
 # --- stand-in tables -------------------------------------------------------------------
@@ -353,9 +358,7 @@ def climate_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(SITE_LABELS), "city string, season string, best_pcm_product string"
-    )
+    return literal_rows(spark, SITE_LABELS, "city season best_pcm_product")
 
 
 def label_join(spark: SparkSession, sf: str) -> DataFrame:
