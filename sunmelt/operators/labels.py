@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ def _by_season(season: Column, values: dict[str, float]) -> Column:
 
 
 def season_index(
-    hourly: DataFrame, site: str = "city", season: str = "season", index: str = "RRTDHS"
+    hourly: DataFrame, site: str = "city", season: str = "season", index: str = "RRTDHS",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Measured mean heating index per site and season."""
-    return hourly.groupBy(site, season).agg(F.avg(index).alias("rrtdhs_approx"))
+    """Measured mean heating index per site and season, with site constants to ``keep``."""
+    constants = [F.max(c).alias(c) for c in keep]
+    return hourly.groupBy(site, season).agg(F.avg(index).alias("rrtdhs_approx"), *constants)
 
 
 def approximate_index(sites: DataFrame, base: str = "base_index") -> DataFrame:

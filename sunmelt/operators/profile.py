@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunmelt.runtime import cut_lineage
+from sunmelt.runtime import written_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -69,7 +69,7 @@ def quantiles(
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranged = cut_lineage(
+    ranged = written_table(
         counts.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id())
     )
     by_part = Window.partitionBy("column_name").orderBy("part")

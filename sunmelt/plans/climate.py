@@ -17,7 +17,7 @@ from sunmelt.operators.sites import (
     with_solar_position,
     with_sun_times,
 )
-from sunmelt.runtime import cut_lineage, keep_methods_compilable
+from sunmelt.runtime import keep_methods_compilable, written_table
 
 # Columns of the hourly climate table, in order.
 CLIMATE_COLUMNS = (
@@ -91,7 +91,7 @@ def climate_hourly(
     """
     keep_methods_compilable(grid.sparkSession)
     cells = resolve_alias(nan_to_null(grid.withColumnsRenamed({"time": "timestamp"})))
-    hourly = cut_lineage(spatial_mean(cells)).withColumnsRenamed({"site": "city"})
+    hourly = written_table(spatial_mean(cells)).withColumnsRenamed({"site": "city"})
     site_columns = ["city", "lat", "lon", "altitude_m", "climate_zone", "T_set"]
     df = with_site(convert_units(hourly), select_known(site_dim, site_columns))
     df = time_features(df, offset_minutes=clock_minutes)

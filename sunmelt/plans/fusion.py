@@ -16,14 +16,13 @@ from sunmelt.operators.fuse import (
     with_label_code,
 )
 from sunmelt.operators.labels import assign_labels, season_index
-from sunmelt.runtime import attach, cut_lineage
+from sunmelt.runtime import attach, cut_lineage, written_table
 
 
 def label_map(climate: DataFrame, materials: DataFrame, material_id: str = "material_id") -> DataFrame:
     """Best material per site and season, from the measured index of the climate table."""
-    index = cut_lineage(season_index(climate))
-    setpoints = climate.groupBy("city").agg(F.max("T_set").alias("T_set"))
-    return assign_labels(attach(index, setpoints, ["city"]), materials, material_id=material_id)
+    index = cut_lineage(season_index(climate, keep=["T_set"]))
+    return assign_labels(index, materials, material_id=material_id)
 
 
 def fused_hourly(climate: DataFrame, materials: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def daily_from_climate(
     """
     hourly = with_demand(climate).drop("season", "climate_zone")
     daily = daily_rollup(hourly).withColumn("season", cal.season_of(F.col("month")))
-    daily = cut_lineage(daily)  # read for the label classes and again for the result
+    daily = written_table(daily)  # read for the label classes and again for the result
     if site_dim is not None and "climate_zone" in site_dim.columns:
         daily = attach(daily, site_dim.select("city", "climate_zone"), ["city"], spread_by=["date"])
     have = set(daily.columns)

@@ -4,6 +4,7 @@ broadcasts, joins that survive hot keys, and row numbers without a one-task wind
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01  # a key with more rows than this share of the table is spread out
+HOT_SAMPLE = 0.05
 SALTS = 32
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 SPARK_METHOD_LIMIT = "65535"
@@ -44,6 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut_lineage` for big tables: written as Parquet to the same shared folder,
+    so later reads take only the columns and rows they need."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep_methods_compilable(spark: SparkSession) -> None:
     """Let Spark leave a fused stage unfused where its method would be too big for the JIT.
 
@@ -76,12 +86,15 @@ def fits_broadcast(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most ``1/share`` rows by construction."""
-    counts = cut_lineage(
-        df.where(_all_set(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    return counts.where(F.col("_n") > total * F.lit(share)).select(*keys)
+    """Keys that seem to hold more than ``share`` of the rows: at most ``1/share`` rows.
+
+    Judged on a sample, because the answer only decides how a join is spread out and never
+    what it returns.
+    """
+    sample = df.select(*keys).where(_all_set(keys)).sample(HOT_SAMPLE, seed=1)
+    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = sample.agg(F.count(F.lit(1)).alias("_t")).scalar()
+    return cut_lineage(counts.where(F.col("_n") > total * F.lit(share)).select(*keys))
 
 
 def attach(
@@ -127,7 +140,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, start:
     inside it, so no task sees more than its own range. The offsets table has one row per
     sort partition.
     """
-    placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = written_table(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftrightunsigned("_id", 33)).withColumn(
         "_pos", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     )

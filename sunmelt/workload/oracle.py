@@ -453,9 +453,28 @@ FUSED_MATERIAL = [
 LAGGED = ["GHI_mean", "T_amb_mean", "T_amb_max", "CSI_mean", "cloud_cover_mean"]
 
 
-def _fused() -> str:
+def _chosen() -> str:
+    """Climate, scored catalogue and best material per city and season."""
     catalogue = topsis(derived(FILLED), "*").replace("AS score FROM", "AS pcm_suitability_score FROM", 1)
     index = """SELECT city, season, max("T_set") AS "T_set", avg("RRTDHS") AS rrtdhs_approx FROM climate GROUP BY city, season"""
+    return f"""{_climate()}, catalogue AS ({catalogue}), chosen AS ({assign(index, "SELECT * FROM catalogue")})"""
+
+
+def _fused_hourly() -> str:
+    doubles = ["GHI", "RRTDHS", "best_pcm_Tm", "optimal_Tm_target", "rrtdhs_approx", "Tm_melting",
+               "latent_heat_melting", "TC_both", "cycles_confidence", "pcm_suitability_score"]
+    return f"""{_chosen()} SELECT city, timestamp, season, {litres("hour")} AS "demand_L_per_hr",
+      (CASE {level(litres("hour"))} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END)::INTEGER AS demand_code,
+      {index_bin('"RRTDHS"')} AS rrtdhs_bin, best_pcm_product, best_pcm_id, is_flammable,
+      coalesce(best_pcm_product, 'unknown') AS pcm_label,
+      (dense_rank() OVER (ORDER BY coalesce(best_pcm_product, 'unknown')) - 1)::INTEGER AS pcm_label_code,
+      {rounded_columns(doubles, 4)}
+      FROM climate LEFT JOIN (SELECT * EXCLUDE ("T_set") FROM chosen) USING (city, season)
+      LEFT JOIN (SELECT product, "Tm_melting", latent_heat_melting, "TC_both", cycles_confidence,
+        pcm_suitability_score, is_flammable FROM catalogue) ON best_pcm_product = product"""
+
+
+def _fused() -> str:
     firsts = ", ".join(
         f'arg_min("{c}", timestamp) FILTER ("{c}" IS NOT NULL) AS "{c}"'
         for c in [*FUSED_FIRSTS, "season", "climate_zone"]
@@ -469,7 +488,7 @@ def _fused() -> str:
     ]
     others = ["city", "date", "season", "climate_zone", *sorted(ints), "is_flammable",
               "pcm_label", "pcm_label_code", "best_pcm_product"]
-    return f"""{_climate()}, catalogue AS ({catalogue}), chosen AS ({assign(index, "SELECT * FROM catalogue")}),
+    return f"""{_chosen()},
     daily AS (SELECT city, timestamp::DATE AS date, {stats}, {firsts} FROM climate GROUP BY city, timestamp::DATE),
     fused AS (SELECT daily.*, best_pcm_product, "best_pcm_Tm", "optimal_Tm_target", {material}, is_flammable,
       coalesce(best_pcm_product, 'unknown') AS pcm_label,
@@ -626,5 +645,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, string_split(regexp_replace(body, '([.!?]) +', '\1' || {SPLIT_MARK}, 'g'), {SPLIT_MARK}) AS parts
             FROM ({BODY}))) WHERE regexp_matches(sentence, '{keywords}')""",
         "mice_check": _mice(),
+        "fused_hourly": _fused_hourly(),
         "fused_daily": _fused(),
     }

@@ -22,7 +22,7 @@ from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion
 from sunmelt.plans.materials import derived_properties
-from sunmelt.runtime import attach, cut_lineage
+from sunmelt.runtime import attach, cut_lineage, written_table
 
 # The two sites (see SITE_DIM) and a plain turbidity year for each.
 SITES = (
@@ -615,19 +615,33 @@ def mice_check(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("_b", bounds).agg(F.array(*rows).alias("s")).select(F.inline("s"))
 
 
-def fused_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole path: grid to hourly climate, best materials, daily model table."""
-    sites_known = site_dim(spark)
-    hourly = cut_lineage(
-        climate.climate_hourly(weather_grid(spark, sf), sites_known, turbidity(spark))
+def fusion_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hourly climate from the grid, scored materials, and the best material per season."""
+    hourly = written_table(
+        climate.climate_hourly(weather_grid(spark, sf), site_dim(spark), turbidity(spark))
     )
-    catalogue = cut_lineage(
-        ranking.topsis(
-            derived_properties(impute.fallback_fill(impute.rule_fill(holed_materials(spark, sf))))
-        )
+    filled = impute.fallback_fill(impute.rule_fill(holed_materials(spark, sf)))
+    catalogue = written_table(ranking.topsis(derived_properties(filled)))
+    return hourly, catalogue, fusion.label_map(hourly, catalogue)
+
+
+def fused_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    out = fusion.fused_hourly(*fusion_inputs(spark, sf))
+    return round_all(
+        out.select(
+            "city", "timestamp", "season", "GHI", "RRTDHS", "demand_L_per_hr", "demand_code",
+            "rrtdhs_bin", *fuse.LABEL_PAYLOAD, "Tm_melting", "latent_heat_melting", "TC_both",
+            "cycles_confidence", "pcm_suitability_score", "is_flammable", "pcm_label",
+            "pcm_label_code",
+        ),
+        4,
     )
-    chosen = fusion.label_map(hourly, catalogue)
-    return round_all(fusion.daily_from_climate(hourly, catalogue, chosen, sites_known), 4)
+
+
+def fused_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole path: grid to hourly climate, best materials, daily model table."""
+    hourly, catalogue, chosen = fusion_inputs(spark, sf)
+    return round_all(fusion.daily_from_climate(hourly, catalogue, chosen, site_dim(spark)), 4)
 
 
 NAMES = (
@@ -639,7 +653,7 @@ NAMES = (
     "range_filter", "stage_counts", "derived_props", "topsis", "minmax_score",
     "rank_materials", "describe", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
     "union_sites", "distinct_days", "page_title", "page_text", "keyword_sentences",
-    "mice_impute", "mice_check", "fused_daily",
+    "mice_impute", "mice_check", "fused_hourly", "fused_daily",
 )
 
 
