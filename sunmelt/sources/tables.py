@@ -25,8 +25,8 @@ def read_csv(
     """Header CSV with missing-value texts as NULL.
 
     Lines with more fields than the header are skipped, shorter ones are padded with NULL.
-    Without a schema all columns are text (except ``ts_cols``); with one, cells that do not
-    parse become NULL.
+    Without a schema all columns are text (except ``ts_cols``); with one, its columns and
+    ``ts_cols`` are kept and cells that do not parse become NULL.
     """
     reader = spark.read.option("header", True).option("encoding", encoding)
     names = reader.csv(path).columns
@@ -42,7 +42,8 @@ def read_csv(
         for field in wanted:
             if field.name in columns:
                 columns[field.name] = columns[field.name].try_cast(field.dataType)
-        columns = {f.name: columns[f.name] for f in wanted if f.name in columns}
+        kept = [f.name for f in wanted if f.name in columns]
+        columns = {n: columns[n] for n in dict.fromkeys([*kept, *ts_cols])}
     for name in ts_cols:
         columns[name] = columns[name].try_cast(T.TimestampNTZType())
     return rows.select(*[c.alias(n) for n, c in columns.items()])
