@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmelt.runtime import attach, cut_lineage
+from sunmelt.runtime import attach, cut_lineage, running
 
 # Shift of the wanted melting point from the setpoint, share of the site's
 # base index, by season; index from which the narrow tolerance holds; both tolerances.
@@ -62,7 +62,8 @@ def assign_labels(
     No pair of site and material is formed. Materials shrink to the best one per melting
     point and sites to their distinct targets; the temperature axis is cut into cells no
     wider than a tolerance. A tolerance band is then whole cells (one summary row each) plus
-    two cut cells, answered by a running best inside the cell.
+    two cut cells, answered by a running best inside the cell. Both shrunk tables are
+    written once, and no step needs a whole cell, or the whole axis, in one task.
     """
     width = cell or min(tol_low, tol_high)
     if width <= 0 or width > min(tol_low, tol_high):
@@ -126,14 +127,11 @@ def assign_labels(
             F.lit(None).cast("double").alias("target"), F.lit(None).cast("double").alias("tol"),
         )
         x = F.col("x").asc() if ascending else F.col("x").desc()
-        w = Window.partitionBy("cell").orderBy(x, "ask").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
+        best = running(
+            have.unionByName(ask), ["cell"], [x, F.col("ask")], F.col("best"), F.min, "found"
         )
-        return (
-            have.unionByName(ask)
-            .withColumn("best", F.min("best").over(w))
-            .where((F.col("ask") == 1) & F.col("best").isNotNull())
-            .select("target", "tol", "best")
+        return best.where((F.col("ask") == 1) & F.col("found").isNotNull()).select(
+            "target", "tol", F.col("found").alias("best")
         )
 
     matched = (
@@ -144,22 +142,19 @@ def assign_labels(
     )
 
     # A target without candidates lies in an empty cell, so the nearest material is the
-    # highest of the cell before or the lowest of the cell after. There are as many cells
-    # as the temperature range holds cell widths, which bounds this one ordered window.
-    lonely = (
+    # highest of the nearest cell before or the lowest of the nearest cell after.
+    lonely = cut_lineage(
         wanted.join(matched, ["target", "tol"], "left_anti")
         .withColumn("cell", cell_of(F.col("target")))
     )
     axis = summary.select("cell", "lowest", "highest").unionByName(
         lonely.select("cell").distinct(), allowMissingColumns=True
-    )
-    w = Window.orderBy("cell")
+    ).withColumn("axis", F.lit(0))
+    for side, step, pick in (("highest", F.col("cell").asc(), F.max), ("lowest", F.col("cell").desc(), F.min)):
+        nearest_cell = F.when(F.col(side).isNotNull(), F.struct("cell", side))
+        axis = running(axis, ["axis"], [step], nearest_cell, pick, f"near_{side}")
     neighbours = axis.select(
-        "cell",
-        F.last("highest", ignorenulls=True)
-        .over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("below"),
-        F.first("lowest", ignorenulls=True)
-        .over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("above"),
+        "cell", F.col("near_highest.highest").alias("below"), F.col("near_lowest.lowest").alias("above")
     )
     gap_below = F.col("target") - F.col("below.tm")
     gap_above = F.col("above.tm") - F.col("target")

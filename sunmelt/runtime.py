@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.01  # a key with more rows than this share of the table is spread out
 HOT_SAMPLE = 0.05
+SMALL_WINDOW = 50_000  # rows that one window task may hold
 SALTS = 32
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 SPARK_METHOD_LIMIT = "65535"
@@ -157,6 +158,40 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, start:
     )
 
 
+def running(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: Column,
+    pick: Callable[[Column], Column], name: str, small_rows: int = SMALL_WINDOW,
+) -> DataFrame:
+    """Add the running ``pick`` (``F.min`` or ``F.max``) of ``value`` within each group.
+
+    A table proven small is one window. A larger one is range partitioned by group and
+    order, so that even a group holding most rows is spread over tasks: each part runs on
+    its own and then takes in what the group's earlier parts found.
+    """
+    groups = list(groups)
+    if fits_broadcast(df, small_rows):
+        w = Window.partitionBy(*groups).orderBy(*order)
+        return df.withColumn(name, pick(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = written_table(
+        df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id())
+    )
+    inside = Window.partitionBy(*groups, "_part").orderBy(*order)
+    here = parts.withColumn(
+        "_here", pick(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    # One row per group and part it reaches into: a group has no more rows than there are parts.
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    found = (
+        parts.groupBy(*groups, "_part")
+        .agg(pick(value).alias("_found"))
+        .select(*groups, "_part", pick("_found").over(before).alias("_before"))
+    )
+    joined = attach(here, cut_lineage(found), [*groups, "_part"])
+    both = F.array(F.col("_here"), F.col("_before"))
+    last = F.array_max if pick is F.max else F.array_min
+    return joined.withColumn(name, last(both)).drop("_here", "_before", "_part")
+
+
 def _all_set(keys: Sequence[str]) -> Column:
     cond = F.lit(True)
     for key in keys:

@@ -94,3 +94,18 @@ def test_method_limit_set_by_the_user_is_kept(spark):
         assert spark.conf.get(runtime.METHOD_LIMIT) == runtime.JIT_METHOD_LIMIT
     finally:
         spark.conf.set(runtime.METHOD_LIMIT, before)
+
+
+@pytest.mark.parametrize("pick, step", [(F.min, 1), (F.max, -1)])
+def test_running_value_small_and_spread_agree(spark, pick, step):
+    # group 1 holds most rows; values repeat and some are missing
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(1).alias("g"),
+        (F.col("id") * 37 % 3001).alias("x"),
+        F.when(F.col("id") % 4 != 0, F.col("id") * 91 % 1009).alias("v"),
+    )
+    order = [F.col("x").asc() if step > 0 else F.col("x").desc()]
+    small = runtime.running(df, ["g"], order, F.col("v"), pick, "r")
+    spread = runtime.running(df, ["g"], order, F.col("v"), pick, "r", small_rows=10)
+    assert rows(small) == rows(spread)
+    assert spread.count() == 3000
