@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmelt.runtime import attach, cut_lineage, running
+from sunmelt.runtime import SMALL_WINDOW, attach, cut_lineage, fits_broadcast, running
 
 # Shift of the wanted melting point from the setpoint, share of the site's
 # base index, by season; index from which the narrow tolerance holds; both tolerances.
@@ -101,6 +101,9 @@ def assign_labels(
         .agg(F.min("best").alias("best"), F.min("named").alias("named"))
         .withColumn("cell", cell_of(F.col("tm")))
     )
+    # Every table ordered below has at most one row per melting point and two per target.
+    third = SMALL_WINDOW // 3
+    small = fits_broadcast(points, third) and fits_broadcast(wanted, third)
     summary = points.groupBy("cell").agg(
         F.min("best").alias("best"),
         F.min_by("named", "tm").alias("lowest"),
@@ -128,13 +131,14 @@ def assign_labels(
         )
         x = F.col("x").asc() if ascending else F.col("x").desc()
         best = running(
-            have.unionByName(ask), ["cell"], [x, F.col("ask")], F.col("best"), F.min, "found"
+            have.unionByName(ask), ["cell"], [x, F.col("ask")], F.col("best"), F.min, "found",
+            small,
         )
         return best.where((F.col("ask") == 1) & F.col("found").isNotNull()).select(
             "target", "tol", F.col("found").alias("best")
         )
 
-    matched = (
+    matched = cut_lineage(
         whole.unionByName(cut("lo", ascending=False))
         .unionByName(cut("hi", ascending=True))
         .groupBy("target", "tol")
@@ -143,16 +147,15 @@ def assign_labels(
 
     # A target without candidates lies in an empty cell, so the nearest material is the
     # highest of the nearest cell before or the lowest of the nearest cell after.
-    lonely = cut_lineage(
-        wanted.join(matched, ["target", "tol"], "left_anti")
-        .withColumn("cell", cell_of(F.col("target")))
+    lonely = wanted.join(matched, ["target", "tol"], "left_anti").withColumn(
+        "cell", cell_of(F.col("target"))
     )
     axis = summary.select("cell", "lowest", "highest").unionByName(
         lonely.select("cell").distinct(), allowMissingColumns=True
     ).withColumn("axis", F.lit(0))
     for side, step, pick in (("highest", F.col("cell").asc(), F.max), ("lowest", F.col("cell").desc(), F.min)):
         nearest_cell = F.when(F.col(side).isNotNull(), F.struct("cell", side))
-        axis = running(axis, ["axis"], [step], nearest_cell, pick, f"near_{side}")
+        axis = running(axis, ["axis"], [step], nearest_cell, pick, f"near_{side}", small)
     neighbours = axis.select(
         "cell", F.col("near_highest.highest").alias("below"), F.col("near_lowest.lowest").alias("above")
     )

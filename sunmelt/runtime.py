@@ -160,16 +160,16 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str, start:
 
 def running(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: Column,
-    pick: Callable[[Column], Column], name: str, small_rows: int = SMALL_WINDOW,
+    pick: Callable[[Column], Column], name: str, small: bool | None = None,
 ) -> DataFrame:
     """Add the running ``pick`` (``F.min`` or ``F.max``) of ``value`` within each group.
 
-    A table proven small is one window. A larger one is range partitioned by group and
+    A table proven small (by the caller, or counted here) is one window. A larger one is range partitioned by group and
     order, so that even a group holding most rows is spread over tasks: each part runs on
     its own and then takes in what the group's earlier parts found.
     """
     groups = list(groups)
-    if fits_broadcast(df, small_rows):
+    if fits_broadcast(df, SMALL_WINDOW) if small is None else small:
         w = Window.partitionBy(*groups).orderBy(*order)
         return df.withColumn(name, pick(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = written_table(

@@ -14,7 +14,7 @@ PI2_365 = repr(2.0 * math.pi / 365.0)
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"(round(({expr}) + 1e-{digits + 3}, {digits}) + 0.0::DOUBLE)"
+    return f"(floor(({expr}) * 1e{digits}::DOUBLE + 0.501::DOUBLE) / 1e{digits}::DOUBLE)"
 
 
 def pmod(a: str, n: str) -> str:

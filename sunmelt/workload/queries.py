@@ -44,8 +44,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Round with a nudge, so that exact halves go the same way in every engine."""
-    return F.round(c + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
+    """Round half up, with the halfway point moved a little, so that exact halves go the same
+    way in every engine."""
+    scale = F.lit(10.0**digits)
+    return F.floor(c * scale + F.lit(0.501)) / scale
 
 
 def round_all(df: DataFrame, digits: int = 6) -> DataFrame:

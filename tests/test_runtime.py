@@ -106,6 +106,6 @@ def test_running_value_small_and_spread_agree(spark, pick, step):
     )
     order = [F.col("x").asc() if step > 0 else F.col("x").desc()]
     small = runtime.running(df, ["g"], order, F.col("v"), pick, "r")
-    spread = runtime.running(df, ["g"], order, F.col("v"), pick, "r", small_rows=10)
+    spread = runtime.running(df, ["g"], order, F.col("v"), pick, "r", small=False)
     assert rows(small) == rows(spread)
     assert spread.count() == 3000
