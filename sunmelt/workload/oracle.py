@@ -632,6 +632,10 @@ def oracle_sql() -> dict[str, str]:
           l_extendedprice AS longitude FROM lineitem WHERE l_quantity BETWEEN 5 AND 40 AND l_extendedprice BETWEEN 1000 AND 60000
           AND year(l_shipdate) IN (1996, 1998, 1999) AND month(l_shipdate) IN (1, 2, 6, 7, 12)
           AND day(l_shipdate) <= 20 AND hour(l_shipdate) IN (0, 6, 12)""",
+        "assign_sites": """SELECT l_orderkey, l_linenumber, l_quantity AS latitude,
+          l_extendedprice / 1000.0::DOUBLE AS longitude, s_suppkey AS site FROM lineitem JOIN supplier
+          ON l_quantity BETWEEN (s_suppkey % 50) - 0.5::DOUBLE AND (s_suppkey % 50) + 1.0::DOUBLE
+          AND l_extendedprice / 1000.0::DOUBLE BETWEEN s_acctbal / 100.0::DOUBLE AND s_acctbal / 100.0::DOUBLE + 1.5::DOUBLE""",
         "union_sites": """SELECT event_type AS city, ts AS timestamp, value AS "GHI", NULL::DOUBLE AS "P_atm" FROM events
           UNION ALL SELECT o_orderstatus, o_orderdate, NULL::DOUBLE, o_totalprice FROM orders""",
         "distinct_days": "SELECT DISTINCT ts::DATE AS date FROM events",

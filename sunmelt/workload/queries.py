@@ -552,6 +552,20 @@ def grid_slice(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def assign_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as cells, suppliers as sites with a box each."""
+    cells = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("latitude"),
+        (F.col("l_extendedprice") / 1000.0).alias("longitude"),
+    )
+    lat, lon = F.pmod("s_suppkey", F.lit(50)), F.col("s_acctbal") / 100.0
+    boxes = read(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("city"), (lat - 0.5).alias("lat_min"), (lat + 1.0).alias("lat_max"),
+        lon.alias("lon_min"), (lon + 1.5).alias("lon_max"),
+    )
+    return grid.assign_sites(cells, boxes)
+
+
 def union_sites(spark: SparkSession, sf: str) -> DataFrame:
     events = read(spark, sf, "events").select(
         F.col("event_type").alias("city"), F.col("ts").alias("timestamp"),
@@ -654,6 +668,7 @@ NAMES = (
     "material_join", "site_metadata", "label_assign", "numeric_extract", "rule_fill",
     "range_filter", "stage_counts", "derived_props", "topsis", "minmax_score",
     "rank_materials", "describe", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
+    "assign_sites",
     "union_sites", "distinct_days", "page_title", "page_text", "keyword_sentences",
     "mice_impute", "mice_check", "fused_hourly", "fused_daily",
 )

@@ -224,6 +224,24 @@ def test_slice_grid(spark):
     assert "2023-01-01" in plan  # the year list reaches the scan as a range
 
 
+@pytest.mark.parametrize("tile", [0.3, 1.0, 20.0])
+def test_sites_of_cells_equal_a_plain_loop(spark, site_dim, tile):
+    extra = spark.createDataFrame(
+        [("Overlap", 11.0, 77.0, 0, "x", 45.0, 11.25, 12.0, 77.0, 79.0),
+         ("South", -33.0, -70.0, 0, "x", 45.0, -33.5, -32.5, -70.5, -69.5)], schema.SITE_DIM,
+    )
+    sites_dim = site_dim.unionByName(extra)
+    cells = [(lat / 4, lon / 4) for lat in range(40, 50) for lon in range(304, 320)]
+    cells += [(-33.5, -70.5), (-33.51, -70.0), (-32.5, -69.5), (27.5, 70.5), (None, 77.0)]
+    df = spark.createDataFrame(cells, "latitude double, longitude double")
+    got = sorted(tuple(r) for r in grids.assign_sites(df, sites_dim, tile).select("site", "latitude", "longitude").collect())
+    want = sorted(
+        (s["city"], la, lo) for s in sites_dim.collect() for la, lo in cells
+        if la is not None and s["lat_min"] <= la <= s["lat_max"] and s["lon_min"] <= lo <= s["lon_max"]
+    )
+    assert got == want and len(want) > 30
+
+
 def test_spatial_mean_does_not_depend_on_partitioning(spark, readings):
     grid = spark.createDataFrame(readings, schema.GRID)
     one = grids.spatial_mean(grid.repartition(1)).orderBy("site", "timestamp").toPandas()
