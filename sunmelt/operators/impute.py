@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmelt.functions.text import text_or
-from sunmelt.operators.columns import present
+from sunmelt.operators.columns import nan_to_null, present
 from sunmelt.operators.filters import fill_when
 from sunmelt.runtime import cut_lineage
 
@@ -102,7 +102,7 @@ def chained_impute(
     checkpoint folder, so no plan grows with the number of rounds. Runs jobs when called.
     """
     columns = present(df, columns)
-    table = cut_lineage(df)
+    table = cut_lineage(nan_to_null(df))
     known = [F.count(c).alias(f"_n_{c}") for c in columns]
     means = [F.avg(c).alias(f"_m_{c}") for c in columns]
     largest = [F.max(F.abs(F.col(c))).alias(f"_x_{c}") for c in columns]
