@@ -2,7 +2,7 @@
 
 Public formulas: Spencer (1971) for declination, equation of time and earth-sun distance;
 Saemundsson refraction; Kasten and Young (1989) air mass; Ineichen (2002) clear sky.
-Positions agree with the numerical algorithms used elsewhere to a few tenths of a degree.
+Positions are expected within a few tenths of a degree of numerical solvers.
 """
 
 from __future__ import annotations
