@@ -16,7 +16,7 @@ in order.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -83,33 +83,36 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """
     depth = max(0, math.ceil(math.log2(max(1, shards))))
     nodes = quotas.select("source", F.lit(0).cast("long").alias("node"), F.col("blocks").alias("quota"))
-    level = 0
-    while level < depth:
-        steps = min(LEVELS_A_TASK, depth - level)
-
-        def split(frame: pd.DataFrame, steps: int = steps, level: int = level) -> pd.DataFrame:
-            frame = frame.sort_values("source", na_position="last", kind="stable")
-            names, node = frame["source"].to_numpy(dtype=object), int(frame["node"].iloc[0])
-            found = [(node, frame["quota"].to_numpy(dtype=np.int64))]
-            for step in range(steps):
-                below = []
-                for at, counts in found:
-                    rng = np.random.default_rng([seed, level + step, at])
-                    total = int(counts.sum())
-                    # An odd block goes to either side by a fair coin, so that no shard is favoured.
-                    half = total // 2 + (int(rng.integers(2)) if total % 2 else 0)
-                    left = rng.multivariate_hypergeometric(counts, half, method="marginals")
-                    below += [(2 * at, left), (2 * at + 1, counts - left)]
-                found = below
-            return pd.concat(
-                [pd.DataFrame({"source": names[c > 0], "node": at, "quota": c[c > 0]}) for at, c in found]
-            )
-
+    for level in range(0, depth, LEVELS_A_TASK):
+        split = _splitter(level, min(LEVELS_A_TASK, depth - level), seed)
         nodes = nodes.groupBy("node").applyInPandas(split, "source string, node long, quota long")
-        level += steps
     return nodes.select("source", F.col("node").alias("shard"), "quota")
 
 
+def _splitter(level: int, steps: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Splits one node of the tree into its descendants ``steps`` levels below."""
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("source", na_position="last", kind="stable")
+        names, node = frame["source"].to_numpy(dtype=object), int(frame["node"].iloc[0])
+        found = [(node, frame["quota"].to_numpy(dtype=np.int64))]
+        for step in range(steps):
+            below = []
+            for at, counts in found:
+                rng = np.random.default_rng([seed, level + step, at])
+                total = int(counts.sum())
+                # An odd block goes to either side by a fair coin, so that no shard is favoured.
+                half = total // 2 + (int(rng.integers(2)) if total % 2 else 0)
+                left = rng.multivariate_hypergeometric(counts, half, method="marginals")
+                below += [(2 * at, left), (2 * at + 1, counts - left)]
+            found = below
+        return pd.concat(
+            [pd.DataFrame({"source": names[c > 0], "node": at, "quota": c[c > 0]}) for at, c in found]
+        )
+
+    return split
+
+
 def mix(
     sized: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
