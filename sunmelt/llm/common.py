@@ -31,3 +31,28 @@ def int_lists(chunks: list[bytes]) -> pa.ListArray:
     np.cumsum([len(c) // 4 for c in chunks], out=offsets[1:])
     values = pa.array(np.frombuffer(b"".join(chunks), dtype="<i4"), type=pa.int32())
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+    """Slices of ``batch`` whose ``column`` has at most about ``limit`` bytes (one row at least).
+
+    Arrow batches are bounded by rows, not bytes; very long texts would otherwise make the
+    arrays that are built from a batch as long as they like.
+    """
+    sizes = batch.column(column)
+    lengths = np.fromiter((0 if v is None else v for v in _lengths(sizes)), dtype=np.int64, count=len(sizes))
+    start, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if total and total + n > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _lengths(column: pa.Array) -> list:
+    import pyarrow.compute as pc
+
+    measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    return measure(column).to_pylist()

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import mixing
-from sunmelt.llm.common import table
+from sunmelt.llm import langid, media, mixing, toxicity
+from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, written_table
 
 
@@ -26,9 +26,38 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.mux(table(spark, sf_dir, "documents"))
+    facts = media.probe(stored, keep=("doc_id", "n_bytes"))
+    ranges = F.array_join(F.transform("key_frames", lambda r: F.concat_ws("-", r["start"], r["end"])), "+")
+    feature = F.concat_ws(";", "codec", F.col("duration").cast("string"), F.col("samples").cast("string"), ranges)
+    return facts.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_language_id": op4_language_id,
+        "op8_toxicity": op8_toxicity,
+        "op9_media": op9_media,
     }
 
 
