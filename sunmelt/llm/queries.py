@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import langid, media, mixing, toxicity
+from sunmelt.llm import bpe, langid, media, mixing, token_store, toxicity
 from sunmelt.llm.common import fold, table
-from sunmelt.runtime import attach, written_table
+from sunmelt.runtime import attach, checkpoint_dir, written_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    token_store.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_store.describe(token_store.read_ids(spark, path))
+
+
+def byte_coder() -> bpe.Coder:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.Coder(ranks, public_tokenizers.PATTERN)
+
+
+def token_digests(docs: DataFrame, coder: bpe.Coder) -> DataFrame:
+    encoded = bpe.encode(docs, coder).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+    )
+    decoded = bpe.decode(encoded, coder, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), byte_coder())
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
@@ -56,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op4_language_id": op4_language_id,
+        "op5_token_ids": op5_token_ids,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
     }
