@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, media, mixing, token_store, toxicity
+from sunmelt.llm import bpe, langid, media, mixing, simhash, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -28,6 +28,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
@@ -81,6 +85,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_token_ids": op5_token_ids,
         "op6_byte_bpe": op6_byte_bpe,
