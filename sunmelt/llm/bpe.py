@@ -12,8 +12,8 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
+from struct import pack
 
-import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from sunmelt.llm.common import by_bytes, int_lists, texts_of
 
 LOAD = 4  # mean number of keys of a bucket of the perfect hash
-REMEMBERED = 300_000  # texts in a worker's store; longer ones than LONGEST are not kept
-LONGEST = 64
+WORDS, PARTS = 700_000, 150_000  # entries of a worker's stores
+LONGEST = 64  # longer texts are not kept
 MASK = (1 << 64) - 1
 GAP = re.compile(r"\s\s")
+NEW_LETTERS = "\u2000"  # below it, all versions of Unicode agree on what a letter is
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -92,8 +93,9 @@ class Coder:
     def _start(self) -> None:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(self.pattern).findall
-        self.pieces: dict[str, bytes] = {}  # ids of pre-tokens
-        self.after_blank: dict[str, bytes] = {}  # ids of a blank and what follows up to the next
+        self.words: dict[str, bytes] = {}  # ids of a blank and a run of letters
+        self.parts: dict[str, bytes] = {}  # ids of a blank and what follows up to the next
+        self.pieces: dict[str, bytes] = {}  # ids of other pre-tokens
         self._ready = True
 
     def merge(self, word: bytes) -> list[int]:
@@ -130,12 +132,16 @@ class Coder:
     def _piece(self, token: str) -> bytes:
         ids = self.pieces.get(token)
         if ids is None:
-            word = token.encode()
-            number = self.whole.find(word)
-            ids = np.array([number] if self.tokens[number] == word else self.merge(word), dtype="<i4").tobytes()
-            _keep(self.pieces, token, ids)
+            ids = self._ids(token)
+            _keep(self.pieces, PARTS, token, ids)
         return ids
 
+    def _ids(self, token: str) -> bytes:
+        word = token.encode()
+        number = self.whole.find(word)
+        found = [number] if self.tokens[number] == word else self.merge(word)
+        return pack(f"<{len(found)}i", *found)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers.
 
@@ -147,23 +153,43 @@ class Coder:
         if GAP.search(text):
             return b"".join([self._piece(t) for t in self.split(text)])
         first, *rest = text.split(" ")
-        known = self.after_blank
+        words, parts = self.words, self.parts
         found = [self._piece(t) for t in self.split(first)]
         for part in rest:
-            ids = known.get(part)
+            ids = words.get(part)
             if ids is None:
-                ids = b"".join([self._piece(t) for t in self.split(" " + part)])
-                _keep(known, part, ids)
+                ids = words.get(part[:-1])
+                if ids is not None and part and not part[-1].isalpha():  # a word met before and one sign
+                    ids += self._piece(part[-1])
+                else:
+                    ids = parts.get(part)
+                    if ids is None:
+                        ids = self._part(part)
             found.append(ids)
         return b"".join(found)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a blank and ``part``, which has no blank."""
+        if part.isalpha() and max(part) < NEW_LETTERS:
+            ids = self._ids(" " + part)
+            _keep(self.words, WORDS, part, ids)
+            return ids
+        tokens = self.split(" " + part)
+        word = tokens[0][1:]
+        if word.isalpha() and max(word) < NEW_LETTERS and word not in self.words:
+            _keep(self.words, WORDS, word, self._ids(tokens[0]))
+        ids = b"".join([self.words.get(word) or self._ids(tokens[0]), *[self._piece(t) for t in tokens[1:]]])
+        if len(tokens) > 2:
+            _keep(self.parts, PARTS, part, ids)
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
 
-def _keep(store: dict[str, bytes], text: str, ids: bytes) -> None:
+def _keep(store: dict[str, bytes], most: int, text: str, ids: bytes) -> None:
     if len(text) <= LONGEST:
-        if len(store) >= REMEMBERED:
+        if len(store) >= most:
             store.clear()
         store[text] = ids
 

@@ -122,19 +122,26 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: i
     return Model(languages, np.log(matrix / matrix.sum(axis=1, keepdims=True)) if languages else matrix)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every whole text; other columns are dropped.
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``lang_pred`` and ``score`` of every whole text after the columns ``keep``.
 
     A null text and one without letters are ``und`` with score 0. A text in an unknown script
-    gets the language that is nearest.
+    gets the language that is nearest. A kept column of the name of a new one is dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in keep if c not in ("lang_pred", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text", 4 << 20):
-                names, values = shared.value.predict(texts_of(batch.column("text")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(values)], names=["doc_id", "lang_pred", "score"])
+            for batch in by_bytes(whole, "_text", 4 << 20):
+                names, values = shared.value.predict(texts_of(batch.column("_text")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(values)], names=[*kept, "lang_pred", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}lang_pred string, score double")
+
+
+def known_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose text has no language; a null ``lang`` takes the predicted one."""
+    found = identify(docs, model, text, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
+    return found.withColumn(lang, F.coalesce(F.col(lang), F.col("lang_pred"))).select(docs.columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, media, mixing, simhash, token_store, toxicity
+from sunmelt.llm import bpe, langid, media, mixing, pii, simhash, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -82,6 +82,18 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -91,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
+        "op10_pii": op10_pii,
     }
 
 

@@ -255,3 +255,17 @@ def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: in
     left, right = sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of :func:`similar_documents`: the smallest id.
+
+    Rows of one id count as copies of each other if they are in one group. Rows without an id
+    cannot be told apart and all stay.
+    """
+    groups = similar_documents(docs.where("doc_id is not null"), text, **options)
+    kept = cut_lineage(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    stay = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
+    if not kept.where("rows > 1").isEmpty():
+        stay = stay.unionByName(docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return stay.unionByName(docs.where("doc_id is null"))

@@ -19,18 +19,21 @@ from pyspark.sql import functions as F
 from sunmelt.llm.common import by_bytes, int_lists, texts_of
 
 END = 2
-REMEMBERED = 500_000  # texts in a worker's store
-LONGEST = 64
+WORDS, PARTS = 900_000, 150_000  # entries of a worker's stores
+LONGEST = 64  # longer texts are not kept
 SCHEMA = "doc_id {kind}, shard int, ids array<int>"
-# A run of letters and then signs other than the apostrophe, which starts contractions.
-SPLIT = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# A run of letters and signs after it. An apostrophe may start a contraction, and other signs
+# may combine with a letter, so those are left to the tokenizer.
+SPLIT = re.compile(rf"([^\W\d_]+)([{re.escape(SIGNS)}]+)")
 
 
 class WordEncoder:
     """Encodes with a tokenizer file of the tokenizers library whose model works word by word.
 
-    The tokenizer drops white space and merges inside words only, so a text's ids are those
-    of its blank-separated parts; parts met before are looked up.
+    The tokenizer drops white space, splits off signs and merges inside words only, and it
+    marks the last id of a word. So a text's ids are those of its blank-separated parts; parts
+    met before are looked up, and the new words of a batch are encoded as one text.
     """
 
     def __init__(self, content: str) -> None:
@@ -39,38 +42,78 @@ class WordEncoder:
     def __getstate__(self) -> dict:
         return {"content": self.content, "_tokenizer": None}
 
-    def _parts(self, missing: list[str]) -> None:
-        fresh = {}
-        for part in missing:
-            two = SPLIT.fullmatch(part)
-            for piece in two.groups() if two else (part,):
-                fresh[piece] = self.known.get(piece)
-        unknown = [p for p, ids in fresh.items() if ids is None]
-        for piece, found in zip(unknown, self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            fresh[piece] = np.array(found.ids, dtype="<i4").tobytes()
-        for part in missing:
-            two = SPLIT.fullmatch(part)
-            self.known[part] = b"".join([fresh[p] for p in two.groups()]) if two else fresh[part]
-        for piece in unknown:
-            self.known[piece] = fresh[piece]
-
-    def encode(self, text: str) -> bytes:
+    def _start(self) -> None:
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_str(self.content)
+        self.last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
+        self.last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}  # ids of runs of letters
+        self.signs = {s: ids for s, ids in zip(SIGNS, self._each(list(SIGNS)), strict=True)}
+        self.parts: dict[str, bytes] = {"": b""}  # ids of other parts
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, dtype="<i4").tobytes() for f in found]
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not stored, found for all of them together."""
+        two = {p: m.groups() for p in parts if (m := SPLIT.fullmatch(p))}
+        words = {p for p in parts if p.isalpha()} | {w for w, _ in two.values()}
+        fresh = {w: self.words[w] for w in words if w in self.words}
+        unknown = [w for w in words if w not in fresh]
+        for i in range(0, len(unknown), 2_000):
+            some = unknown[i : i + 2_000]
+            (encoded,) = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<i4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+                fresh |= {w: raw[4 * a : 4 * b] for w, a, b in zip(some, starts, cuts.tolist(), strict=True)}
+            else:  # a letter that the tokenizer takes for several words
+                fresh |= dict(zip(some, self._each(some), strict=True))
+        _keep(self.words, WORDS, {w: fresh[w] for w in unknown})
+        ends = list({e for _, e in two.values()})
+        signs = dict(zip(ends, self._each(ends), strict=True))
+        others = [p for p in parts if p not in two and p not in fresh]
+        rest = dict(zip(others, self._each(others), strict=True))
+        rest |= {p: fresh[w] + signs[e] for p, (w, e) in two.items()}
+        _keep(self.parts, PARTS, {p: ids for p, ids in rest.items() if p not in two or len(two[p][1]) > 1})
+        return fresh | rest
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers."""
         if self._tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self._tokenizer, self.known = Tokenizer.from_str(self.content), {"": b""}
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        if missing:
-            self._parts(missing)
-        ids = b"".join([known[p] for p in parts])
-        for p in missing:
-            if len(p) > LONGEST:
-                known.pop(p, None)
-        if len(known) > REMEMBERED:
-            self.known = {"": b""}
-        return ids
+            self._start()
+        words, signs, parts = self.words.get, self.signs.get, self.parts.get
+        rows, open_rows, missing = [], [], set()
+        for text in texts:
+            row, whole = [], True
+            for part in text.replace("\n", " ").split(" "):
+                ids = words(part)
+                if ids is None:
+                    ids, sign = words(part[:-1]), signs(part[-1:])
+                    ids = parts(part) if ids is None or sign is None else ids + sign
+                    if ids is None:
+                        missing.add(part)
+                        row.append(part)
+                        whole = False
+                        continue
+                row.append(ids)
+            if not whole:
+                open_rows.append(len(rows))
+            rows.append(b"".join(row) if whole else row)
+        learned = self._learn(missing) if missing else {}
+        for i in open_rows:
+            rows[i] = b"".join([x if x.__class__ is bytes else learned[x] for x in rows[i]])
+        return rows
+
+
+def _keep(store: dict[str, bytes], most: int, fresh: dict[str, bytes]) -> None:
+    if len(store) + len(fresh) > most:
+        store.clear()
+        store[""] = b""
+    store.update((text, ids) for text, ids in fresh.items() if len(text) <= LONGEST)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", end: int = END) -> None:
@@ -87,7 +130,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
-                ids = int_lists([shared.value.encode(t) + last for t in texts_of(batch.column("text"))])
+                ids = int_lists([ids + last for ids in shared.value.encode(texts_of(batch.column("text")))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), ids], names=["doc_id", "shard", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
