@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, media, mixing, pii, simhash, token_store, toxicity
+from sunmelt.llm import bpe, langid, lattice, media, mixing, pii, simhash, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -63,6 +63,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), byte_coder())
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_token_ids": op5_token_ids,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_embeddings": op7_embeddings,
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
         "op10_pii": op10_pii,
