@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunmelt.llm.common import by_bytes, texts_of
+from sunmelt.runtime import attach, cut_lineage
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -124,17 +125,19 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
     return bias, weights, factors
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
-    """Learn from about ``max_docs`` rows of ``labelled`` with a label of 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", max_docs: int = MAX_DOCS) -> Model:
+    """Learn from the texts of about ``max_docs`` rows of ``labels`` (doc_id and ``label``).
 
-    Larger tables are thinned by a hash of ``key``, so a rerun learns from the same rows.
-    Null labels teach nothing; a null text is an empty one. Without both labels the model is
-    a constant: the share of ones, or 0 where there are no rows.
+    More labels are thinned by a hash of the doc_id before the texts are looked up, so a rerun
+    learns from the same rows. Labels other than 0 and 1 and those of unknown documents teach
+    nothing; a null text is an empty one. Without both labels the model is a constant that
+    gives everything the only label, or 0 where there are no rows.
     """
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    n = rows.count()
+    chosen = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    n = chosen.count()
     if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(13)), F.lit(n)) < F.lit(max_docs))
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(n)) < F.lit(max_docs))
+    rows = attach(docs.select("doc_id", F.col(text).alias("text")), cut_lineage(chosen), ["doc_id"], "inner")
     ones, zeros = rows.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1))).first()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +154,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     prior = ones / (ones + zeros)
     # How many deviations the share of ones lies from its expected value.
     odd = F.abs(F.avg("label") - F.lit(prior)) * F.sqrt(all_ / F.lit(prior * (1 - prior)))
-    chosen = (
+    clear = (
         found.withColumn("bucket", F.explode("buckets")).groupBy("bucket").agg(all_.alias("n"), odd.alias("z"))
         .where((F.col("n") >= MIN_TEXTS) & (F.col("z") >= MIN_ODD))
         .orderBy(F.desc("z"), "bucket").limit(TERMS)
     )
-    buckets = np.sort(np.array([r[0] for r in chosen.select("bucket").collect()], dtype=np.int64))
+    buckets = np.sort(np.array([r[0] for r in clear.select("bucket").collect()], dtype=np.int64))
     kept = F.array_intersect("buckets", F.array(*[])) if not len(buckets) else F.array_intersect("buckets", F.lit(buckets.astype(np.int32)))
     sample = found.select("label", kept.alias("buckets")).toPandas()  # about max_docs rows of TERMS numbers at most
     sets = [np.searchsorted(buckets, np.sort(np.asarray(b, dtype=np.int64))) for b in sample["buckets"]]
