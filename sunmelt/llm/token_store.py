@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunmelt.llm.common import by_bytes, int_lists, texts_of
+from sunmelt.runtime import written_table
 
 END = 2
 WORDS, PARTS = 900_000, 150_000  # entries of a worker's stores
@@ -88,18 +89,17 @@ class WordEncoder:
         words, signs, parts = self.words.get, self.signs.get, self.parts.get
         rows, open_rows, missing = [], [], set()
         for text in texts:
-            row, whole = [], True
-            for part in text.replace("\n", " ").split(" "):
-                ids = words(part)
-                if ids is None:
+            pieces = text.replace("\n", " ").split(" ")
+            row, whole = list(map(words, pieces)), True
+            if None in row:
+                for i in [i for i, ids in enumerate(row) if ids is None]:
+                    part = pieces[i]
                     ids, sign = words(part[:-1]), signs(part[-1:])
                     ids = parts(part) if ids is None or sign is None else ids + sign
                     if ids is None:
                         missing.add(part)
-                        row.append(part)
-                        whole = False
-                        continue
-                row.append(ids)
+                        ids, whole = part, False
+                    row[i] = ids
             if not whole:
                 open_rows.append(len(rows))
             rows.append(b"".join(row) if whole else row)
@@ -175,7 +175,7 @@ def describe(stored: DataFrame) -> DataFrame:
             )
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    rows = stored.select("doc_id", "shard", "ids").mapInArrow(run, f"doc_id {kind}, shard int, n_tokens long, ids_crc32 long")
+    rows = written_table(stored.select("doc_id", "shard", "ids").mapInArrow(run, f"doc_id {kind}, shard int, n_tokens long, ids_crc32 long"))
     # One row a file: the files' own totals are summed up in order.
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_all"))
     files = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         .orderBy(F.desc("z"), "bucket").limit(TERMS)
     )
     buckets = np.sort(np.array([r[0] for r in clear.select("bucket").collect()], dtype=np.int64))
-    kept = F.array_intersect("buckets", F.array(*[])) if not len(buckets) else F.array_intersect("buckets", F.lit(buckets.astype(np.int32)))
+    kept = F.array().cast("array<int>") if not len(buckets) else F.array_intersect("buckets", F.lit(buckets.astype(np.int32)))
     sample = found.select("label", kept.alias("buckets")).toPandas()  # about max_docs rows of TERMS numbers at most
     sets = [np.searchsorted(buckets, np.sort(np.asarray(b, dtype=np.int64))) for b in sample["buckets"]]
     order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), int(sample["label"].iloc[i])))
