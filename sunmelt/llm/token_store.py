@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,7 @@ from sunmelt.runtime import written_table
 
 END = 2
 WORDS, PARTS = 900_000, 150_000  # entries of a worker's stores
+HOT = 8_192  # parts in a small store that is asked first
 LONGEST = 64  # longer texts are not kept
 SCHEMA = "doc_id {kind}, shard int, ids array<int>"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -49,6 +51,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_str(self.content)
         self.last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         self.last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.hot: dict[str, bytes] = {}  # ids of the most frequent parts of the first texts
         self.words: dict[str, bytes] = {}  # ids of runs of letters
         self.signs = {s: ids for s, ids in zip(SIGNS, self._each(list(SIGNS)), strict=True)}
         self.parts: dict[str, bytes] = {"": b""}  # ids of other parts
@@ -86,19 +89,21 @@ class WordEncoder:
         """Ids of whole texts as little-endian 32-bit integers."""
         if self._tokenizer is None:
             self._start()
-        words, signs, parts = self.words.get, self.signs.get, self.parts.get
+        hot, words, signs, parts = self.hot.get, self.words.get, self.signs.get, self.parts.get
         rows, open_rows, missing = [], [], set()
         for text in texts:
             pieces = text.replace("\n", " ").split(" ")
-            row, whole = list(map(words, pieces)), True
+            row, whole = list(map(hot, pieces)), True
             if None in row:
                 for i in [i for i, ids in enumerate(row) if ids is None]:
                     part = pieces[i]
-                    ids, sign = words(part[:-1]), signs(part[-1:])
-                    ids = parts(part) if ids is None or sign is None else ids + sign
+                    ids = words(part)
                     if ids is None:
-                        missing.add(part)
-                        ids, whole = part, False
+                        ids, sign = words(part[:-1]), signs(part[-1:])
+                        ids = parts(part) if ids is None or sign is None else ids + sign
+                        if ids is None:
+                            missing.add(part)
+                            ids, whole = part, False
                     row[i] = ids
             if not whole:
                 open_rows.append(len(rows))
@@ -106,6 +111,10 @@ class WordEncoder:
         learned = self._learn(missing) if missing else {}
         for i in open_rows:
             rows[i] = b"".join([x if x.__class__ is bytes else learned[x] for x in rows[i]])
+        if not self.hot and rows:
+            often = Counter(p for text in texts for p in text.replace("\n", " ").split(" "))
+            self.hot[""] = b""
+            self.hot = {p: self.encode([p])[0] for p, _ in often.most_common(HOT)}
         return rows
 
 
@@ -139,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         .withColumn("shard", F.spark_partition_id())
         .mapInArrow(run, SCHEMA.format(kind=kind))
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20))
         .orc(path)
