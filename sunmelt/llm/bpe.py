@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 from sunmelt.llm.common import by_bytes, int_lists, texts_of
 
 LOAD = 4  # mean number of keys of a bucket of the perfect hash
-WORDS, PARTS = 700_000, 150_000  # entries of a worker's stores
+WORDS, BARE, PARTS = 600_000, 150_000, 100_000  # entries of a worker's stores
+HOT, FIRST_TEXTS = 8_192, 300  # a smaller store, filled from the first texts
 LONGEST = 64  # longer texts are not kept
 MASK = (1 << 64) - 1
 GAP = re.compile(r"\s\s")
+SIGNS = "\n!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NEW_LETTERS = "\u2000"  # below it, all versions of Unicode agree on what a letter is
 
 
@@ -93,9 +97,13 @@ class Coder:
     def _start(self) -> None:
         self.ranks = {t: i for i, t in enumerate(self.tokens)}
         self.split = regex.compile(self.pattern).findall
+        self.learning, self.counts = FIRST_TEXTS, Counter()
+        self.hot: dict[str, bytes] = {}  # ids of a blank and the most frequent parts
         self.words: dict[str, bytes] = {}  # ids of a blank and a run of letters
+        self.bare: dict[str, bytes] = {}  # ids of a run of letters without a blank
         self.parts: dict[str, bytes] = {}  # ids of a blank and what follows up to the next
         self.pieces: dict[str, bytes] = {}  # ids of other pre-tokens
+        self.signs = {sign: self._piece(sign) for sign in SIGNS}
         self._ready = True
 
     def merge(self, word: bytes) -> list[int]:
@@ -145,46 +153,63 @@ class Coder:
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers.
 
-        No match of the pattern goes on over a blank that stands alone, so the text between
-        two such blanks, with the first of them, can be looked up together.
+        No match of the pattern goes on over a blank or line break that stands alone, so the
+        text from one of them to the next can be looked up by itself.
         """
         if not self._ready:
             self._start()
         if GAP.search(text):
             return b"".join([self._piece(t) for t in self.split(text)])
-        first, *rest = text.split(" ")
-        words, parts = self.words, self.parts
-        found = [self._piece(t) for t in self.split(first)]
-        for part in rest:
-            ids = words.get(part)
-            if ids is None:
-                ids = words.get(part[:-1])
-                if ids is not None and part and not part[-1].isalpha():  # a word met before and one sign
-                    ids += self._piece(part[-1])
-                else:
-                    ids = parts.get(part)
-                    if ids is None:
-                        ids = self._part(part)
-            found.append(ids)
-        return b"".join(found)
+        first, *rest = text.replace("\n", " \n").split(" ")  # no blank comes before a line break here
+        row = list(map(self.hot.get, rest))
+        if None in row:
+            for i in [i for i, ids in enumerate(row) if ids is None]:
+                row[i] = self._part(rest[i])
+        if self.learning:
+            self._count(rest)
+        return b"".join([*map(self._piece, self.split(first)), *row])
 
     def _part(self, part: str) -> bytes:
-        """Ids of a blank and ``part``, which has no blank."""
-        if part.isalpha() and max(part) < NEW_LETTERS:
-            ids = self._ids(" " + part)
-            _keep(self.words, WORDS, part, ids)
+        """Ids of a blank and ``part``; a part that begins with a line break has no blank."""
+        lead, word, before, store, most = b"", part, " ", self.words, WORDS
+        if part[:1] == "\n":
+            lead, word, before, store, most = self.signs["\n"], part[1:], "", self.bare, BARE
+        ids = store.get(word)
+        if ids is not None:
+            return lead + ids
+        sign = self.signs.get(word[-1:])
+        ids = store.get(word[:-1]) if sign else None
+        if ids is not None:  # a word met before and one sign
+            return lead + ids + sign
+        ids = self.parts.get(part)
+        if ids is not None:
             return ids
-        tokens = self.split(" " + part)
-        word = tokens[0][1:]
-        if word.isalpha() and max(word) < NEW_LETTERS and word not in self.words:
-            _keep(self.words, WORDS, word, self._ids(tokens[0]))
-        ids = b"".join([self.words.get(word) or self._ids(tokens[0]), *[self._piece(t) for t in tokens[1:]]])
+        if word.isalpha() and max(word) < NEW_LETTERS:
+            ids = self._ids(before + word)
+            _keep(store, most, word, ids)
+            return lead + ids
+        tokens = self.split(before + word)
+        if tokens:
+            run = tokens[0][len(before) :]
+            if run.isalpha() and max(run) < NEW_LETTERS and run not in store:
+                _keep(store, most, run, self._ids(tokens[0]))
+            tokens[0] = store.get(run) or self._ids(tokens[0])
+        ids = lead + b"".join([*tokens[:1], *map(self._piece, tokens[1:])])
         if len(tokens) > 2:
             _keep(self.parts, PARTS, part, ids)
         return ids
 
+    def _count(self, parts: list[str]) -> None:
+        """After the first texts, their most frequent parts go to a small store that is asked first."""
+        self.learning -= 1
+        self.counts.update(parts)
+        if not self.learning:
+            often = [part for part, _ in self.counts.most_common(HOT)]
+            self.hot = {part: self._part(part) for part in often}
+            self.counts = Counter()
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def _keep(store: dict[str, bytes], most: int, text: str, ids: bytes) -> None:
@@ -222,7 +247,11 @@ def decode(encoded: DataFrame, coder: Coder, ids: str = "ids", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "_ids", 2 << 20):
-                texts = [None if row is None else shared.value.decode(row) for row in batch.column("_ids").to_pylist()]
+                lists = batch.column("_ids")
+                flat = np.asarray(lists.flatten()).tolist()
+                ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0))).tolist()
+                rows = zip(lists.is_valid().to_pylist(), [0, *ends[:-1]], ends, strict=True)
+                texts = [shared.value.decode(flat[a:b]) if known else None for known, a, b in rows]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, "decoded"])
 
     kept = ", ".join(f"{c} {encoded.schema[c].dataType.simpleString()}" for c in keep)
