@@ -3,7 +3,6 @@ broadcasts, joins that survive hot keys, and row numbers without a one-task wind
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -13,10 +12,11 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_SHARE = 0.01  # a key with more rows than this share of the table is spread out
+ROWS_PER_TASK = 1_000_000  # rows of one key that one task of a join may get
+MAX_HOT_KEYS = 50_000  # keys that may be told apart as hot, so that they can be broadcast
 HOT_SAMPLE = 0.05
 SMALL_WINDOW = 50_000  # rows that one window task may hold
-SALTS = 32
+NULL_SALTS = 4_096  # parts over which rows without a key are spread; they match nothing
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 SPARK_METHOD_LIMIT = "65535"
 JIT_METHOD_LIMIT = "8000"
@@ -25,20 +25,16 @@ JIT_METHOD_LIMIT = "8000"
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` is set by the cluster. Only a local session, where driver
-    and executors share one disk, may fall back to a temporary folder.
+    ``spark.checkpoint.dir`` is set by the cluster. Where it is not, the folder lies in the
+    warehouse, which all executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="sunmelt-checkpoint-")
-    sc.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -69,33 +65,38 @@ def keep_methods_compilable(spark: SparkSession) -> None:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """True if ``df`` is proven small. Looks at no more than ``max_rows + 1`` rows."""
+    """True if ``df`` is proven small: rows and bytes are counted where the rows are, and one
+    row a task is added up."""
     width = F.lit(16 * len(df.columns))
     for field in df.schema:
-        value = F.col(field.name)
+        value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            value = F.to_json(value)
+            value = F.to_json(F.struct(value))
         elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
             continue
         width = width + F.coalesce(F.octet_length(value), F.lit(0))
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b"))
-        .first()
-    )
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that seem to hold more than ``share`` of the rows: at most ``1/share`` rows.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Keys that seem to hold more than ``rows_per_task`` rows, and ``_salts``: the number of
+    parts that brings each under that.
 
     Judged on a sample, because the answer only decides how a join is spread out and never
-    what it returns.
+    what it returns. In a table so large that more than ``MAX_HOT_KEYS`` keys could be hot,
+    the parts grow instead of the list.
     """
     sample = df.select(*keys).where(_all_set(keys)).sample(HOT_SAMPLE, seed=1)
-    counts = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sample.agg(F.count(F.lit(1)).alias("_t")).scalar()
-    return cut_lineage(counts.where(F.col("_n") > total * F.lit(share)).select(*keys))
+    counts = sample.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(HOT_SAMPLE)).alias("_n"))
+    counts = cut_lineage(counts.where(F.col("_n") * F.lit(2) > F.lit(rows_per_task)))
+    total = counts.agg(F.sum("_n")).first()[0] or 0.0
+    limit = max(float(rows_per_task), total / MAX_HOT_KEYS)
+    return counts.where(F.col("_n") > F.lit(limit)).select(
+        *keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_salts")
+    )
 
 
 def attach(
@@ -105,31 +106,37 @@ def attach(
     how: str = "left",
     spread_by: Sequence[str] | None = None,
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Equi-join a big table to a smaller one.
-
-    A side proven small is broadcast, so the big table never moves. Otherwise both sides
-    are shuffled, and the rows of hot keys are spread over ``SALTS`` partitions; only the
-    dimension rows of those keys are copied. Null keys match nothing in both ways.
+    """Equi-join (left or inner) of a big table to a smaller one.
+
+    A side proven small is broadcast, so the big table never moves; ``small`` says so where
+    the size is known by construction. Otherwise both sides are shuffled, and the rows of a
+    hot key are dealt to as many parts as its number of rows asks for, by a hash of
+    ``spread_by`` (all other columns if not given); only the dimension rows of those keys are
+    copied. Null keys match nothing in both ways. Both sides are read more than once, so a
+    costly one should be a written table.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"attach cannot do a {how} join")
     keys = list(keys)
-    if fits_broadcast(dim, max_rows):
+    if small or (small is None and fits_broadcast(dim, max_rows)):
         return fact.join(F.broadcast(dim), keys, how)
     spread_by = list(spread_by or [c for c in fact.columns if c not in keys])
-    hot = hot_keys(fact, keys).withColumn("_hot", F.lit(True))  # at most 1/HOT_SHARE rows
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    # Rows without a key match nothing, so they are spread out as well.
-    spread = F.col("_hot").isNotNull() | ~_all_set(keys)
+    hot = hot_keys(fact, keys, rows_per_task)  # at most MAX_HOT_KEYS rows
+    spread = F.xxhash64(*spread_by)
+    salts = F.when(_all_set(keys), F.coalesce("_salts", F.lit(1))).otherwise(F.lit(NULL_SALTS))
     fact = (
         fact.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(spread, salts))
+        .drop("_salts")
     )
-    copies = F.when(F.col("_hot").isNotNull(), F.lit(SALTS - 1)).otherwise(F.lit(0))
+    last = F.coalesce("_salts", F.lit(1)) - 1
     dim = (
         dim.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), copies)))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .drop("_salts")
     )
     return fact.join(dim, [*keys, "_salt"], how).drop("_salt")
 

@@ -33,17 +33,42 @@ def test_attach_gives_the_plain_join_with_and_without_broadcast(fact, dim, how):
     assert rows(runtime.attach(fact, dim, ["k"], how, spread_by=["id"], max_rows=10)) == want
 
 
-def test_attach_spreads_the_hot_key(fact, dim):
-    joined = runtime.attach(fact, dim, ["k"], spread_by=["id"], max_rows=10)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
-    hot = {r[0] for r in runtime.hot_keys(fact, ["k"], share=0.1).collect()}
-    assert hot == {7}
-
-
-def test_hot_keys_are_few_by_construction(spark):
-    few = runtime.hot_keys(spark.range(100000).select((F.col("id") % 1000).alias("k")), ["k"])
-    assert few.count() <= 1 / runtime.HOT_SHARE
+def test_attach_spreads_keys_by_their_rows(spark, fact, dim):
+    want = rows(fact.join(dim, ["k"], "left"))
+    joined = runtime.attach(fact, dim, ["k"], spread_by=["id"], small=False, rows_per_task=300)
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(joined) == want
+    hot = {r["k"]: r["_salts"] for r in runtime.hot_keys(fact, ["k"], rows_per_task=300).collect()}
+    assert set(hot) == {7} and 4 <= hot[7] <= 10
+
+
+def test_attach_with_one_key_of_most_rows_and_several_small_ones(spark):
+    key = F.when(F.col("id") % 10 < 6, 0).otherwise(F.col("id") % 110)
+    fact = spark.range(20000).select("id", key.alias("k"))
+    dim = spark.range(120).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    for how in ("left", "inner"):
+        spread = runtime.attach(fact, dim, ["k"], how, small=False, rows_per_task=100)
+        assert rows(spread) == rows(fact.join(dim, ["k"], how))
+
+
+@pytest.mark.parametrize("how", ["right", "full", "left_anti"])
+def test_attach_refuses_other_joins(fact, dim, how):
+    with pytest.raises(ValueError):
+        runtime.attach(fact, dim, ["k"], how)
+
+
+def test_size_check_moves_no_rows(spark):
+    seen = []
+    df = spark.range(1000).select(F.col("id"), F.lit("x").alias("s"))
+    agg = df.agg(F.count(F.lit(1)), F.sum(F.octet_length("s")))
+    seen.append(agg._jdf.queryExecution().executedPlan().toString())
+    assert "Limit" not in seen[0] and runtime.fits_broadcast(df)
+
+
+def test_hot_keys_are_few_by_construction(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "MAX_HOT_KEYS", 20)
+    table = spark.range(100000).select((F.col("id") % 1000).alias("k"))
+    assert runtime.hot_keys(table, ["k"], rows_per_task=1).count() <= 20
 
 
 def test_fits_broadcast_counts_rows_and_bytes(spark):
