@@ -32,11 +32,6 @@ def day_key(ts: Column) -> Column:
     return F.to_date(ts)
 
 
-def decimal_hour(ts: Column) -> Column:
-    """Hour and whole minutes as a fraction of an hour."""
-    return F.hour(ts) + F.minute(ts) / F.lit(60.0)
-
-
 def season_of(month: Column) -> Column:
     out = F.when(month.isin(*SEASON_MONTHS["winter"]), "winter")
     for name in ("pre-monsoon", "monsoon"):

@@ -34,6 +34,9 @@ _ENTITY_PIECE = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|
 _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 _OPEN_NAME = "^&(?:" + "|".join(_OPEN_NAMES) + ")"
 # The references met most often are answered before the full standard table is searched.
+_WINDOWS = [
+    chr(c) if c in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([c]).decode("cp1252") for c in range(128, 160)
+]
 _COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " "}
 
 
@@ -87,10 +90,20 @@ def embedded_abstract(html: Column) -> Column:
 
 
 def _code_point(digits: Column, base: int) -> Column:
-    code = F.conv(digits, base, 10).try_cast("long")
+    """Character of a numeric reference by the HTML standard: C1 numbers are Windows-1252
+    characters, what is no character is U+FFFD, and controls and non-characters are dropped."""
+    code = F.when(F.length(digits) < 10, F.conv(digits, base, 10).try_cast("long")).otherwise(F.lit(1 << 31))
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(valid, char).otherwise(F.lit("�"))
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+    nothing = control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    windows = F.element_at(F.array(*[F.lit(c) for c in _WINDOWS]), (code - 127).cast("int"))
+    return (
+        F.when(code.between(128, 159), windows)
+        .when(valid & nothing, F.lit(""))
+        .when(valid, char)
+        .otherwise(F.lit("\ufffd"))
+    )
 
 
 def _entity(piece: Column) -> Column:
@@ -101,9 +114,9 @@ def _entity(piece: Column) -> Column:
     out = F.when(~F.startswith(piece, F.lit("&")), piece)
     for name, text in _COMMON.items():
         out = out.when(piece == name, F.lit(text))
-    decimal = F.regexp_extract(piece, r"^&#([0-9]{1,8});?$", 1)
+    decimal = F.regexp_extract(piece, r"^&#0*([0-9]+?);?$", 1)
     prefix = F.regexp_extract(piece, _OPEN_NAME, 0)
-    hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,7});?$", 1)
+    hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]+?);?$", 1)
     return (
         out.when(decimal != "", _code_point(decimal, 10))
         .when(hexadecimal != "", _code_point(hexadecimal, 16))

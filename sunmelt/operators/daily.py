@@ -53,14 +53,16 @@ def daily_rollup(
     """One row per key and day: statistics, and the first known value of other columns.
 
     Columns the input lacks are skipped and rows without a key are left out. A daily sum of
-    nothing is 0, a mean of nothing is NULL. Text cannot live in a hash-aggregation buffer,
+    nothing is 0, a mean of nothing is NULL. Of several values known at the same earliest
+    time the smallest counts as first (numbers are told apart to eight decimals, up to a
+    thousand million), so the result does not depend on how rows are spread. Text cannot live in a hash-aggregation buffer,
     so text columns first serve as extra grouping keys (they hardly vary within a day) and
     only the resulting few rows per day are merged.
     """
     keys = list(keys)
     stats = {c: tuple(stats[c]) for c in present(df, list(stats))}
     firsts = [c for c in present(df, firsts) if c not in keys and c not in stats]
-    text = [c for c in firsts if isinstance(df.schema[c].dataType, T.StringType)]
+    text = [c for c in firsts if not isinstance(df.schema[c].dataType, T.NumericType)]
     values = [c for c in firsts if c not in text]
     rows = df.withColumn("date", F.to_date(ts))
     for key in [*keys, "date"]:
@@ -69,13 +71,21 @@ def daily_rollup(
     return merge_rollup(parts, [*keys, "date"], stats, values, text, combine=bool(text))
 
 
+def _order(ts: str, value: str) -> Column:
+    """Time of day and then value as one number, which a hash-aggregation buffer can hold."""
+    seconds = (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)).cast("decimal(12,6)")
+    bounded = F.least(F.greatest(F.col(value).cast("double"), F.lit(-1e9)), F.lit(1e9))
+    order = (seconds * 1_000_000).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)")
+    place = (bounded * 1e8 + F.lit(1e17)).cast("decimal(38,0)")
+    return F.when(F.col(value).isNotNull(), (order + place).cast("decimal(38,0)"))
+
+
 def partial_rollup(
     df: DataFrame, keys: Sequence[str], stats: Mapping[str, Sequence[str]],
     firsts: Sequence[str] = (), ts: str = "timestamp",
 ) -> DataFrame:
-    """Mergeable daily parts (sum, count, extremes, first value and when it was seen)."""
-    seen = F.col(ts)
-    aggs: list[Column] = [F.min(seen).alias("_seen")]
+    """Mergeable daily parts (sum, count, extremes, first value and its order)."""
+    aggs: list[Column] = [F.min(ts).alias("_seen")]
     for c, kinds in stats.items():
         if {"mean", "sum"} & set(kinds):
             aggs.append(F.sum(c).alias(f"_sum_{c}"))
@@ -84,9 +94,8 @@ def partial_rollup(
         aggs += [F.max(c).alias(f"_max_{c}")] if "max" in kinds else []
         aggs += [F.min(c).alias(f"_min_{c}")] if "min" in kinds else []
     for c in firsts:
-        when_known = F.when(F.col(c).isNotNull(), seen)
-        aggs.append(F.min_by(c, when_known).alias(f"_first_{c}"))
-        aggs.append(F.min(when_known).alias(f"_at_{c}"))
+        aggs.append(F.min_by(c, _order(ts, c)).alias(f"_first_{c}"))
+        aggs.append(F.min(_order(ts, c)).alias(f"_at_{c}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -107,7 +116,7 @@ def merge_rollup(
                 merges.append(F.min(name).alias(name))
         merges += [F.min_by(f"_first_{c}", f"_at_{c}").alias(f"_first_{c}") for c in firsts]
         merges += [
-            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_seen"))).alias(f"_first_{c}")
+            F.min(F.when(F.col(c).isNotNull(), F.struct("_seen", c)))[c].alias(f"_first_{c}")
             for c in text
         ]
         parts = parts.groupBy(*keys).agg(*merges)

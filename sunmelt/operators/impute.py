@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sunmelt.functions.text import text_or
 from sunmelt.operators.columns import nan_to_null, present
 from sunmelt.operators.filters import fill_when
-from sunmelt.runtime import cut_lineage
+from sunmelt.runtime import delete_table, written_table
 
 # Rule constants, columns imputed by forests, and the final fallbacks.
 FREEZING_BELOW_MELTING = 1.0
@@ -98,28 +98,31 @@ def chained_impute(
     largest observed value. Observed cells never change. Columns without any value stay
     NULL, and tables under ``min_rows`` rows are returned as they are.
 
-    The forests are fitted distributed; after each column the table is written to the
-    checkpoint folder, so no plan grows with the number of rounds. Runs jobs when called.
+    ``max_depth`` bounds the trees (MLlib allows up to 30). The forests are fitted
+    distributed. What goes through the rounds is a row number, the columns and their hole
+    flags; it is written once a round, and the round before is deleted. Runs jobs when called.
     """
     columns = present(df, columns)
-    table = cut_lineage(nan_to_null(df))
+    whole = written_table(nan_to_null(df).withColumn("_row", F.monotonically_increasing_id()))
     known = [F.count(c).alias(f"_n_{c}") for c in columns]
     means = [F.avg(c).alias(f"_m_{c}") for c in columns]
     largest = [F.max(F.abs(F.col(c))).alias(f"_x_{c}") for c in columns]
-    facts = table.agg(F.count(F.lit(1)).alias("_rows"), *known, *means, *largest).first()
+    facts = whole.agg(F.count(F.lit(1)).alias("_rows"), *known, *means, *largest).first()
     rows = facts["_rows"]
     columns = [c for c in columns if facts[f"_n_{c}"] > 0]
     holes = sorted(
         (c for c in columns if facts[f"_n_{c}"] < rows), key=lambda c: rows - facts[f"_n_{c}"]
     )
     if rows < min_rows or not holes:
-        return table
+        return whole.drop("_row")
     stop_at = tolerance * max(facts[f"_x_{c}"] for c in columns)
 
     # "_h_<col>" marks the holes; "_p_<col>" keeps the previous round's values.
-    table = table.withColumns({f"_h_{c}": F.col(c).isNull() for c in holes}).withColumns(
+    table = whole.select("_row", *columns, *[F.col(c).isNull().alias(f"_h_{c}") for c in holes])
+    table = table.withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(facts[f"_m_{c}"])) for c in columns}
     )
+    done = None
     for _ in range(rounds):
         table = table.withColumns({f"_p_{c}": F.col(c) for c in holes})
         for target in holes:
@@ -127,12 +130,18 @@ def chained_impute(
             if not others:
                 break
             table = _predict_holes(table, target, others, trees, max_depth, seed)
+        table, before = written_table(table), done
         moved = table.agg(
             F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"_p_{c}")) for c in holes]))
         ).first()[0]
+        done = table
+        if before is not None:
+            delete_table(before)
         if moved < stop_at:
             break
-    return table.select(*df.columns)
+    filled = table.select("_row", *[F.col(c).alias(f"_f_{c}") for c in holes])
+    value = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in holes}
+    return whole.join(filled, "_row").withColumns(value).select(*df.columns)
 
 
 def _predict_holes(
@@ -146,4 +155,4 @@ def _predict_holes(
     model = forest.fit(vectors.where(~F.col(f"_h_{target}")).select("_features", target))
     filled = model.transform(vectors)
     filled = fill_when(filled, target, F.col(f"_h_{target}"), F.col("_guess"))
-    return cut_lineage(filled.select(*table.columns))
+    return filled.select(*table.columns)

@@ -17,7 +17,7 @@ from sunmelt.operators.sites import (
     with_solar_position,
     with_sun_times,
 )
-from sunmelt.runtime import keep_methods_compilable, written_table
+from sunmelt.runtime import written_table
 
 # Columns of the hourly climate table, in order.
 CLIMATE_COLUMNS = (
@@ -88,19 +88,26 @@ def climate_hourly(
     known name; ``site_dim`` has city, lat, lon, altitude_m, climate_zone and T_set;
     ``turbidity`` has city, month and TL. The spatial mean is the only shuffle of the grid
     and its result is written once, as the monthly index reads it as well.
+
+    With a ``clock_minutes`` shift the rows also have ``local_time``. Hour, date, month and
+    season, the month of the index, the date of the sun times and later the day of the
+    rollup all follow that clock; positions of the sun follow UTC.
     """
-    keep_methods_compilable(grid.sparkSession)
     cells = resolve_alias(nan_to_null(grid.withColumnsRenamed({"time": "timestamp"})))
     hourly = written_table(spatial_mean(cells)).withColumnsRenamed({"site": "city"})
     site_columns = ["city", "lat", "lon", "altitude_m", "climate_zone", "T_set"]
     df = with_site(convert_units(hourly), select_known(site_dim, site_columns))
-    df = time_features(df, offset_minutes=clock_minutes)
+    shifted = not (isinstance(clock_minutes, int) and clock_minutes == 0)
+    clock = "local_time" if shifted else "timestamp"
+    if shifted:
+        df = df.withColumn(clock, cal.local_time(F.col("timestamp"), clock_minutes))
+    df = time_features(df, clock)
     df = with_solar_position(df)
     df = with_clear_sky(df, turbidity)
     if {"GHI", "DNI"} <= set(df.columns):
         dhi = meteo.unlimited_diffuse(F.col("GHI"), F.col("DNI"), F.col("SZA"))
         df = meteo.limited(df.withColumn("DHI", dhi), ["DHI"])
     if {"GHI", "T_amb"} <= set(df.columns):
-        df = with_heating_index(df)
-    df = with_sun_times(df, offset_minutes=sun_clock_minutes)
-    return select_known(df, CLIMATE_COLUMNS)
+        df = with_heating_index(df, ts=clock)
+    df = with_sun_times(df, ts=clock, offset_minutes=sun_clock_minutes)
+    return select_known(df, [*CLIMATE_COLUMNS, "local_time"])

@@ -35,7 +35,12 @@ def fused_hourly(climate: DataFrame, materials: DataFrame, labels: DataFrame) ->
 
 def daily_features(fused: DataFrame) -> DataFrame:
     """Daily model table: statistics, first values, lags, rolling means, next-day targets."""
-    return forecast_columns(daily_rollup(fused))
+    return forecast_columns(daily_rollup(fused, ts=clock_of(fused)))
+
+
+def clock_of(df: DataFrame) -> str:
+    """The column whose date is a row's day: the site's own clock if there is one."""
+    return "local_time" if "local_time" in df.columns else "timestamp"
 
 
 def daily_from_climate(
@@ -47,7 +52,7 @@ def daily_from_climate(
     daily rows: a twenty-fourth of the rows, and no text goes through the aggregation.
     """
     hourly = with_demand(climate).drop("season", "climate_zone")
-    daily = daily_rollup(hourly).withColumn("season", cal.season_of(F.col("month")))
+    daily = daily_rollup(hourly, ts=clock_of(hourly)).withColumn("season", cal.season_of(F.col("month")))
     daily = written_table(daily)  # read for the label classes and again for the result
     if site_dim is not None and "climate_zone" in site_dim.columns:
         daily = attach(daily, site_dim.select("city", "climate_zone"), ["city"], spread_by=["date"])

@@ -17,9 +17,6 @@ MAX_HOT_KEYS = 50_000  # keys that may be told apart as hot, so that they can be
 HOT_SAMPLE = 0.05
 SMALL_WINDOW = 50_000  # rows that one window task may hold
 NULL_SALTS = 4_096  # parts over which rows without a key are spread; they match nothing
-METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
-SPARK_METHOD_LIMIT = "65535"
-JIT_METHOD_LIMIT = "8000"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -51,15 +48,12 @@ def written_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_methods_compilable(spark: SparkSession) -> None:
-    """Let Spark leave a fused stage unfused where its method would be too big for the JIT.
-
-    HotSpot does not compile methods over 8,000 bytecodes, while Spark by default fuses up
-    to 65,535. A long chain of formulas then runs interpreted, several times slower than as
-    separate operators. A limit set by the user is left alone.
-    """
-    if spark.conf.get(METHOD_LIMIT, SPARK_METHOD_LIMIT) == SPARK_METHOD_LIMIT:
-        spark.conf.set(METHOD_LIMIT, JIT_METHOD_LIMIT)
+def delete_table(table: DataFrame) -> None:
+    """Delete the files of a :func:`written_table` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fits_broadcast(

@@ -12,8 +12,3 @@ SITE_DIM = (
     "lat_min double, lat_max double, lon_min double, lon_max double"
 )
 TURBIDITY = "city string, month int, TL double"
-LABEL_MAP = (
-    "city string, season string, T_set double, rrtdhs_approx double, "
-    "optimal_Tm_target double, best_pcm_product string, best_pcm_id int, "
-    "best_pcm_Tm double, best_pcm_score double"
-)

@@ -20,21 +20,38 @@ _SURPLUS = "_surplus"
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None,
-    ts_cols: Sequence[str] = (), encoding: str = "UTF-8",
+    ts_cols: Sequence[str] = (), encoding: str = "UTF-8", multi_line: bool = False,
 ) -> DataFrame:
     """Header CSV with missing-value texts as NULL.
 
-    Lines with more fields than the header are skipped, shorter ones are padded with NULL.
-    Without a schema all columns are text (except ``ts_cols``); with one, its columns and
-    ``ts_cols`` are kept and cells that do not parse become NULL.
+    Files may differ in the order and set of their columns: they are read by header and
+    united by name. Lines with more fields than the header are skipped, shorter ones are
+    padded with NULL. Without a schema all columns are text (except ``ts_cols``); with one,
+    its columns and ``ts_cols`` are kept and cells that do not parse become NULL.
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding)
-    names = reader.csv(path).columns
+    options = {"header": True, "encoding": encoding, "multiLine": multi_line, "quote": '"', "escape": '"'}
+    paths = [path] if isinstance(path, str) else list(path)
+    groups = _by_header(spark, paths)
+    tables = [_read_alike(spark, options, group, schema, ts_cols) for group in groups or [paths]]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files by their first line: one row a file, and one group a header."""
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0")
+    first = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
+    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r["files"] for r in headers.orderBy("header").collect()]
+
+
+def _read_alike(spark: SparkSession, options: dict, paths: list[str], schema, ts_cols: Sequence[str]) -> DataFrame:
+    names = spark.read.options(**options).csv(paths).columns
     layout = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
-    rows = (
-        reader.option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-        .schema(layout).csv(path)
-    )
+    rows = spark.read.options(**options).schema(layout).csv(paths)
     rows = rows.where(F.col(f"`{_SURPLUS}`").isNull()).drop(_SURPLUS)
     columns = {n: F.when(~F.col(f"`{n}`").isin(*MISSING_TEXTS), F.col(f"`{n}`")) for n in names}
     if schema is not None:

@@ -422,16 +422,27 @@ def _diff() -> str:
     )
 
 
+def _hole_of(i: int) -> str:
+    return f"l_suppkey % {5 + i} = {i % 5}"
+
+
 def _mice() -> str:
-    holes = {"density_solid": "false", "heat_storage_Wh_kg": "l_suppkey % 7 = 0",
-             "TC_liquid": "l_suppkey % 5 = 1", "Cp_liquid": "false"}
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, count(*) FILTER ({cond}) AS holes, 0::BIGINT AS changed,
+        f"""SELECT '{c}' AS column_name, count(*) FILTER ({_hole_of(i)}) AS holes, 0::BIGINT AS changed,
         0::BIGINT AS left_empty, 0::BIGINT AS outside FROM (SELECT DISTINCT l_suppkey FROM lineitem)"""
-        for c, cond in holes.items()
+        for i, c in enumerate(q.MICE_COLUMNS[:4])
     )
 
 
+def _mice_cells() -> str:
+    values = ["avg(l_quantity)", "avg(l_extendedprice)", "avg(l_discount)", "avg(l_tax)"]
+    cells = ", ".join(
+        f"""{r(f"CASE WHEN NOT {_hole_of(i)} THEN {values[i % 4]} * {1.0 + i}::DOUBLE END")} AS "{c}", true AS "{c}_ok\""""
+        for i, c in enumerate(q.MICE_COLUMNS)
+    )
+    return f"SELECT l_suppkey, {cells} FROM lineitem GROUP BY l_suppkey"
+
+
 FUSED_FIRSTS = [
     "RRTDHS", "month", "DOY", "year", "season_code", "sunrise_hour", "sunset_hour",
     "high_solar_resource", "lat", "lon", "altitude_m", "T_set",
@@ -453,9 +464,17 @@ FUSED_MATERIAL = [
 LAGGED = ["GHI_mean", "T_amb_mean", "T_amb_max", "CSI_mean", "cloud_cover_mean"]
 
 
+def _suited() -> str:
+    """The printed catalogue read back, filled, limited to its range, complete, with codes."""
+    printed = ", ".join(f"""printf('%.6f', "{c}")::DOUBLE AS "{c}\"""" for c in MATERIAL_DOUBLES)
+    filled = FILLED.replace(HOLED, f"SELECT * REPLACE ({printed}) FROM ({HOLED})")
+    return f"""SELECT * FROM ({filled}) WHERE "Tm_melting" BETWEEN 35 AND 75 AND latent_heat_melting IS NOT NULL"""
+
+
 def _chosen() -> str:
     """Climate, scored catalogue and best material per city and season."""
-    catalogue = topsis(derived(FILLED), "*").replace("AS score FROM", "AS pcm_suitability_score FROM", 1)
+    coded = f"""SELECT *, (dense_rank() OVER (ORDER BY pcm_type) - 1)::INTEGER AS pcm_type_code FROM ({derived(_suited())})"""
+    catalogue = topsis(coded, "*").replace("AS score FROM", "AS pcm_suitability_score FROM", 1)
     index = """SELECT city, season, max("T_set") AS "T_set", avg("RRTDHS") AS rrtdhs_approx FROM climate GROUP BY city, season"""
     return f"""{_climate()}, catalogue AS ({catalogue}), chosen AS ({assign(index, "SELECT * FROM catalogue")})"""
 
@@ -465,18 +484,18 @@ def _fused_hourly() -> str:
                "latent_heat_melting", "TC_both", "cycles_confidence", "pcm_suitability_score"]
     return f"""{_chosen()} SELECT city, timestamp, season, {litres("hour")} AS "demand_L_per_hr",
       (CASE {level(litres("hour"))} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END)::INTEGER AS demand_code,
-      {index_bin('"RRTDHS"')} AS rrtdhs_bin, best_pcm_product, best_pcm_id, is_flammable,
+      {index_bin('"RRTDHS"')} AS rrtdhs_bin, best_pcm_product, best_pcm_id, is_flammable, pcm_type_code,
       coalesce(best_pcm_product, 'unknown') AS pcm_label,
       (dense_rank() OVER (ORDER BY coalesce(best_pcm_product, 'unknown')) - 1)::INTEGER AS pcm_label_code,
       {rounded_columns(doubles, 4)}
       FROM climate LEFT JOIN (SELECT * EXCLUDE ("T_set") FROM chosen) USING (city, season)
       LEFT JOIN (SELECT product, "Tm_melting", latent_heat_melting, "TC_both", cycles_confidence,
-        pcm_suitability_score, is_flammable FROM catalogue) ON best_pcm_product = product"""
+        pcm_suitability_score, is_flammable, pcm_type_code FROM catalogue) ON best_pcm_product = product"""
 
 
 def _fused() -> str:
     firsts = ", ".join(
-        f'arg_min("{c}", timestamp) FILTER ("{c}" IS NOT NULL) AS "{c}"'
+        f"""(min({{'t': timestamp, 'v': "{c}"}}) FILTER ("{c}" IS NOT NULL)).v AS "{c}\""""
         for c in [*FUSED_FIRSTS, "season", "climate_zone"]
     )
     stats = ", ".join(f'{x} AS "{n}"' for n, x in FUSED_STATS.items())
@@ -487,14 +506,14 @@ def _fused() -> str:
         *lag_names(LAGGED), "GHI_mean_roll7", "T_amb_mean_roll7", "GHI_next_day", "T_amb_next_day",
     ]
     others = ["city", "date", "season", "climate_zone", *sorted(ints), "is_flammable",
-              "pcm_label", "pcm_label_code", "best_pcm_product"]
+              "pcm_type_code", "pcm_label", "pcm_label_code", "best_pcm_product"]
     return f"""{_chosen()},
     daily AS (SELECT city, timestamp::DATE AS date, {stats}, {firsts} FROM climate GROUP BY city, timestamp::DATE),
-    fused AS (SELECT daily.*, best_pcm_product, "best_pcm_Tm", "optimal_Tm_target", {material}, is_flammable,
+    fused AS (SELECT daily.*, best_pcm_product, "best_pcm_Tm", "optimal_Tm_target", {material}, is_flammable, pcm_type_code,
       coalesce(best_pcm_product, 'unknown') AS pcm_label,
       (dense_rank() OVER (ORDER BY coalesce(best_pcm_product, 'unknown')) - 1)::INTEGER AS pcm_label_code
       FROM daily LEFT JOIN (SELECT * EXCLUDE ("T_set", rrtdhs_approx) FROM chosen) USING (city, season)
-      LEFT JOIN (SELECT product, {material}, is_flammable FROM catalogue) ON best_pcm_product = product)
+      LEFT JOIN (SELECT product, {material}, is_flammable, pcm_type_code FROM catalogue) ON best_pcm_product = product)
     SELECT {', '.join(f'"{c}"' for c in others)}, {rounded_columns(doubles, 4)}
     FROM (SELECT *, {lags(LAGGED)}, {roll7(["GHI_mean", "T_amb_mean"])}, {NEXT} FROM fused {W})"""
 
@@ -529,12 +548,13 @@ def oracle_sql() -> dict[str, str]:
     u, v = "(l_quantity - 25.0::DOUBLE)", "(l_discount * 100.0::DOUBLE - 5.0::DOUBLE)"
     events_month = season("month(ts)")
     keywords = "(?i)" + "|".join(q.PAGE_KEYWORDS)
+    first_altitude = "(min({'t': timestamp, 'v': altitude_m}) FILTER (altitude_m IS NOT NULL)).v"
     labels = " UNION ALL ".join(
         f"SELECT '{c}' AS city, '{s}' AS season, '{p}' AS best_pcm_product" for c, s, p in q.SITE_LABELS
     )
     return {
         "daily_rollup": f"""SELECT city, date, altitude_m, season, {rounded_columns(STAT_COLUMNS)} FROM (
-          SELECT city, timestamp::DATE AS date, {DAILY_STATS}, arg_min(altitude_m, timestamp) AS altitude_m,
+          SELECT city, timestamp::DATE AS date, {DAILY_STATS}, {first_altitude} AS altitude_m,
           arg_min({season('month')}, timestamp) AS season FROM ({EVENT_HOURS}) GROUP BY ALL)""",
         "daily_lags": f"""SELECT {order_base}, {rounded_columns(lag_names(order_firsts))}
           FROM (SELECT *, {lags(order_firsts)} FROM ({ORDER_DAYS}) {W})""",
@@ -545,7 +565,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_features": f"""SELECT city, date, altitude_m, month, "DOY", year, season, season_code,
           {rounded_columns([*STAT_COLUMNS, *lag_names(LAGGED), "GHI_mean_roll7", "T_amb_mean_roll7", "GHI_next_day", "T_amb_next_day"])}
           FROM (SELECT *, {lags(LAGGED)}, {roll7(["GHI_mean", "T_amb_mean"])}, {NEXT} FROM (
-            SELECT city, timestamp::DATE AS date, {DAILY_STATS}, arg_min(altitude_m, timestamp) AS altitude_m,
+            SELECT city, timestamp::DATE AS date, {DAILY_STATS}, {first_altitude} AS altitude_m,
             arg_min(month, timestamp) AS month, arg_min(dayofyear(timestamp)::INTEGER, timestamp) AS "DOY",
             arg_min(year(timestamp)::INTEGER, timestamp) AS year, arg_min({season('month')}, timestamp) AS season,
             arg_min({season_code(season('month'))}, timestamp) AS season_code
@@ -648,7 +668,16 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS no FROM (
             SELECT page_id, string_split(regexp_replace(body, '([.!?]) +', '\1' || {SPLIT_MARK}, 'g'), {SPLIT_MARK}) AS parts
             FROM ({BODY}))) WHERE regexp_matches(sentence, '{keywords}')""",
+        "mice_impute": _mice_cells(),
         "mice_check": _mice(),
+        "csv_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
+        "site_sink": "SELECT p_partkey, p_name, p_brand, p_size FROM part",
+        "grid_scan": """SELECT l_linestatus AS site, l_shipdate AS "timestamp", l_suppkey AS latitude, l_linenumber AS longitude,
+          l_quantity AS t2m, nullif(l_discount, 0) AS tcc FROM lineitem""",
+        "dedupe_drop": """SELECT event_id, event_type AS city, value AS "GHI" FROM events""",
+        "local_day": f"""SELECT event_type AS city, (ts + INTERVAL 330 MINUTE)::DATE AS date, {r("avg(value)")} AS "GHI_mean",
+          month(any_value(ts + INTERVAL 330 MINUTE))::INTEGER AS month FROM events
+          WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",
         "fused_hourly": _fused_hourly(),
         "fused_daily": _fused(),
     }

@@ -8,6 +8,7 @@ add up in different orders compare equal.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,13 @@ from sunmelt.functions import calendar as cal
 from sunmelt.functions import materials as props
 from sunmelt.functions import meteo, text
 from sunmelt.functions.nulls import flag_gt, known_flag
-from sunmelt.operators import daily, encode, fuse, grid, impute, labels, profile, ranking, sites
+from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels, profile, ranking, sites
 from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion
-from sunmelt.plans.materials import derived_properties
-from sunmelt.runtime import attach, cut_lineage, written_table
+from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers
+from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
+from sunmelt.sources.tables import read_csv, read_grid, write_table
 
 # The two sites (see SITE_DIM) and a plain turbidity year for each.
 SITES = (
@@ -206,12 +208,8 @@ def holed_materials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def holed_suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per supplier with linked averages, each with its own holes."""
+    """One row per supplier with ten linked averages, each with its own holes."""
     k = F.col("l_suppkey")
-
-    def hole(value: Column, every: int, at: int) -> Column:
-        return F.when(F.pmod(k, F.lit(every)) != at, value)
-
     means = (
         read(spark, sf, "lineitem")
         .groupBy("l_suppkey")
@@ -220,16 +218,17 @@ def holed_suppliers(spark: SparkSession, sf: str) -> DataFrame:
             F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"),
         )
     )
+    values = (F.col("q"), F.col("p"), F.col("d"), F.col("t"))
     return means.select(
         "l_suppkey",
-        F.col("q").alias("density_solid"),
-        hole(F.col("p"), 7, 0).alias("heat_storage_Wh_kg"),
-        hole(F.col("d"), 5, 1).alias("TC_liquid"),
-        F.col("t").alias("Cp_liquid"),
+        *[
+            F.when(F.pmod(k, F.lit(5 + i)) != i % 5, values[i % 4] * F.lit(1.0 + i)).alias(c)
+            for i, c in enumerate(MICE_COLUMNS)
+        ],
     )
 
 
-MICE_COLUMNS = ("density_solid", "heat_storage_Wh_kg", "TC_liquid", "Cp_liquid")
+MICE_COLUMNS = impute.CHAINED_COLUMNS
 
 
 # --- queries ---------------------------------------------------------------------------
@@ -475,15 +474,17 @@ def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
 def derived_props(spark: SparkSession, sf: str) -> DataFrame:
     out = derived_properties(holed_materials(spark, sf))
     v1 = props.volumetric_enthalpy(F.col("density_solid"), F.col("latent_heat_melting"))
-    return round_all(
-        out.select(
-            "material_id", "latent_heat_avg", "Tm_range", "heat_storage_Wh_kg", "rho_H_MJ_m3",
-            v1.alias("rho_H_melting"), "TC_ratio", "Cp_avg", "density_avg",
-            "cycles_confidence", "flash_point_known", "is_flammable",
-        )
-    ).join(
-        out.select("material_id", rounded(F.col("latent_per_degree"), 1).alias("latent_per_degree")),
-        "material_id",
+    kept = out.select(
+        "material_id", "latent_per_degree", "latent_heat_avg", "Tm_range", "heat_storage_Wh_kg",
+        "rho_H_MJ_m3", v1.alias("rho_H_melting"), "TC_ratio", "Cp_avg", "density_avg",
+        "cycles_confidence", "flash_point_known", "is_flammable",
+    )
+    # A quotient by a millionth of a degree has fewer certain digits.
+    return kept.select(
+        *[
+            (rounded(F.col(c), 1 if c == "latent_per_degree" else 6).alias(c) if kind == "double" else F.col(c))
+            for c, kind in kept.dtypes
+        ]
     )
 
 
@@ -598,24 +599,35 @@ def keyword_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mice_impute(spark: SparkSession, sf: str) -> DataFrame:
-    return impute.chained_impute(holed_suppliers(spark, sf), MICE_COLUMNS, rounds=2)
+    """What is certain of a fill of ten columns: observed values as they were, every hole
+    filled with a value among the observed ones."""
+    before = written_table(holed_suppliers(spark, sf))
+    after = impute.chained_impute(before, MICE_COLUMNS)
+    pairs = before.join(after.withColumnsRenamed({c: f"new_{c}" for c in MICE_COLUMNS}), "l_suppkey")
+    bounds = before.agg(*[F.min(c).alias(f"lo_{c}") for c in MICE_COLUMNS], *[F.max(c).alias(f"hi_{c}") for c in MICE_COLUMNS])
+    out = [F.col("l_suppkey")]
+    for c in MICE_COLUMNS:
+        new, slack = F.col(f"new_{c}"), F.abs(F.col(f"hi_{c}")) * 1e-9
+        inside = (new >= F.col(f"lo_{c}") - slack) & (new <= F.col(f"hi_{c}") + slack)
+        out += [rounded(F.when(F.col(c).isNotNull(), new)).alias(c), F.coalesce(inside, F.lit(False)).alias(f"{c}_ok")]
+    return pairs.join(F.broadcast(bounds)).select(*out)  # one row of bounds
 
 
 def mice_check(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of any such fill: observed cells kept, no holes, values in range."""
     before = cut_lineage(holed_suppliers(spark, sf))
-    after = impute.chained_impute(before, MICE_COLUMNS, rounds=1)
+    after = impute.chained_impute(before, MICE_COLUMNS[:4])
     pairs = before.join(after.withColumnsRenamed({c: f"new_{c}" for c in MICE_COLUMNS}), "l_suppkey")
     bounds = before.agg(
         F.struct(
             *[
                 F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
-                for c in MICE_COLUMNS
+                for c in MICE_COLUMNS[:4]
             ]
         )
     ).scalar()
     rows = []
-    for c in MICE_COLUMNS:
+    for c in MICE_COLUMNS[:4]:
         old, new = F.col(c), F.col(f"new_{c}")
         lo, hi = F.col(f"_b.{c}.lo"), F.col(f"_b.{c}.hi")
         rows.append(
@@ -631,13 +643,30 @@ def mice_check(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("_b", bounds).agg(F.array(*rows).alias("s")).select(F.inline("s"))
 
 
+def written_materials(spark: SparkSession, sf: str) -> DataFrame:
+    """The materials as a maker prints them: numbers as texts in several forms."""
+    k = F.col("material_id")
+    df = holed_materials(spark, sf)
+    doubles = [c for c, kind in df.dtypes if kind == "double"]
+
+    def printed(c: str) -> Column:
+        n = F.format_string("%.6f", F.col(c))
+        forms = F.array(n, F.concat(F.lit("~"), n), F.concat(F.lit(">"), n), F.concat(n, F.lit(" (provisional)")), F.concat(F.lit("1-999 (peak: "), n, F.lit(")")))
+        return F.when(F.col(c).isNotNull(), F.get(forms, F.pmod(k, F.lit(5)).cast("int"))).otherwise(F.lit("Under Trial"))
+
+    return df.withColumns({c: printed(c) for c in doubles})
+
+
 def fusion_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hourly climate from the grid, scored materials, and the best material per season."""
     hourly = written_table(
         climate.climate_hourly(weather_grid(spark, sf), site_dim(spark), turbidity(spark))
     )
-    filled = impute.fallback_fill(impute.rule_fill(holed_materials(spark, sf)))
-    catalogue = written_table(ranking.topsis(derived_properties(filled)))
+    raw = parse_numbers(written_materials(spark, sf))
+    raw = raw.withColumn("flash_point_known", known_flag(F.col("flash_point")))
+    filled = impute.fallback_fill(impute.rule_fill(raw))
+    suited = drop_missing(filter_range(filled))
+    catalogue = written_table(ranking.topsis(material_codes(derived_properties(suited))))
     return hourly, catalogue, fusion.label_map(hourly, catalogue)
 
 
@@ -647,8 +676,8 @@ def fused_hourly(spark: SparkSession, sf: str) -> DataFrame:
         out.select(
             "city", "timestamp", "season", "GHI", "RRTDHS", "demand_L_per_hr", "demand_code",
             "rrtdhs_bin", *fuse.LABEL_PAYLOAD, "Tm_melting", "latent_heat_melting", "TC_both",
-            "cycles_confidence", "pcm_suitability_score", "is_flammable", "pcm_label",
-            "pcm_label_code",
+            "cycles_confidence", "pcm_suitability_score", "is_flammable", "pcm_type_code",
+            "pcm_label", "pcm_label_code",
         ),
         4,
     )
@@ -660,7 +689,61 @@ def fused_daily(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(fusion.daily_from_climate(hourly, catalogue, chosen, site_dim(spark)), 4)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as CSV in two folders whose headers differ in order, read as one table."""
+    path = shared_path(spark, "csv")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    odd = F.col("o_orderkey") % 2 == 1
+    write_table(orders.where(odd), f"{path}/odd", "csv")
+    write_table(orders.where(~odd).select(*reversed(orders.columns)), f"{path}/even", "csv")
+    layout = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    back = read_csv(spark, [f"{path}/odd", f"{path}/even"], layout, ts_cols=["o_orderdate"])
+    return back.select(*orders.columns)
+
+
+def site_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts in one folder per brand, sorted by name; a second writing finds them and leaves them alone."""
+    path = shared_path(spark, "sink")
+    parts = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    write_table(parts, path, partition_by=["p_brand"], sort_by=["p_name"])
+    write_table(parts.limit(0), path, partition_by=["p_brand"], if_exists="skip")
+    return spark.read.schema(parts.schema).parquet(path).select(*parts.columns)
+
+
+def grid_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items stored as a grid with ``time`` and NaN, read by the grid scan."""
+    path = shared_path(spark, "grid")
+    cells = read(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("site"), F.col("l_shipdate").alias("time"),
+        F.col("l_suppkey").alias("latitude"), F.col("l_linenumber").alias("longitude"),
+        F.col("l_quantity").alias("t2m"),
+        F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount")).alias("tcc"),
+    )
+    write_table(cells, path)
+    return read_grid(spark, path)
+
+
+def dedupe_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a column twice and one that is not wanted."""
+    events = read(spark, sf, "events")
+    doubled = events.select("event_id", F.col("event_type").alias("city"), F.col("value").alias("GHI"), (F.col("value") * 2).alias("GHI"), "props")
+    return columns.drop(columns.dedupe_columns(doubled), ["props", "not_there"])
+
+
+def local_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily means of a clock 330 minutes east of UTC."""
+    clock = cal.local_time(F.col("timestamp"), 330)
+    hours = event_hours(spark, sf).withColumn("local_time", clock).withColumn("month", F.month("local_time"))
+    by_day = daily.daily_rollup(hours, ts=fusion.clock_of(hours), stats={"GHI": ("mean",)}, firsts=("month",))
+    return round_all(by_day)
+
+
 NAMES = (
+    "csv_scan", "site_sink", "grid_scan", "dedupe_drop", "local_day",
     "daily_rollup", "daily_lags", "daily_roll7", "next_day_target", "daily_features",
     "monthly_means", "monthly_index", "season_index", "season_features", "demand_profile",
     "demand_bins", "humidity", "wind", "unit_convert", "solar_geometry", "clear_sky", "diffuse",

@@ -1,6 +1,6 @@
 """Material facts and published results used as golden values."""
 
-# Catalogue cells as printed by the makers.
+# Catalogue cells as printed by the makers.
 RAW_COLUMNS = (
     "Product", "Type", "Melting Temperature (°C)", "Freezing/Congealing Temperature (°C)",
     "Nucleation Temperature (°C)", "Latent Heat - Melting (kJ/kg)",
@@ -32,7 +32,7 @@ RAW = [
     ('RT64HC', 'Organic (RT-line)', '63-65 (peak: 64)', '64-61 (peak: 64)', '', '250', '', '70', '~800', '~900', '2', '', '', '', '0.2', '11', '95', 'N/A', '>190', 'N/A'),
 ]
 
-# The same materials cleaned, filled and scored.
+# The same materials cleaned, filled and scored.
 CLEAN_COLUMNS = (
     "product", "pcm_type", "Tm_melting", "Tm_freezing", "Tm_nucleation", "latent_heat_melting",
     "latent_heat_freezing", "heat_storage_Wh_kg", "density_liquid", "density_solid", "Cp_liquid",
@@ -62,7 +62,7 @@ CLEAN = [
     ('RT64HC', 'Organic (RT-line)', 64.0, 64.0, 64.0, 250.0, 250.0, 70.0, 800.0, 900.0, 2.0, 2.7150000000000003, 0.2125, 0.2499999999999999, 0.2, 11.0, 95.0, 'Unknown', 190.0, 0.0, 250000000.0, 250.0, 0.0, 225.0, 0.8500000000000002, 2.3575, 850.0, 0.0, 1, 2, 1, 0.3576632261889341),
 ]
 
-# Eight materials in an earlier layout with the weighted min-max score.
+# Eight materials in an earlier layout with the weighted min-max score.
 CLEAN_V1_COLUMNS = (
     "product", "latent_heat_melting", "density_solid", "TC_both", "Cp_avg", "rho_H_MJ_m3",
     "cycles_confidence", "flammability", "is_flammable", "Tm_melting", "pcm_suitability_score",
@@ -78,7 +78,7 @@ CLEAN_V1 = [
     ('savE® OM50', 189, 961.0, 0.175, 3.055, 181.629, 0.5, 'Yes', 1, 50.0, 0.3045825480679395),
 ]
 
-# Best material per site and season for the eight materials above.
+# Best material per site and season for the eight materials above.
 LABELS_COLUMNS = (
     "city", "season", "T_set", "rrtdhs_approx", "optimal_Tm_target", "best_pcm_product",
     "best_pcm_id", "best_pcm_Tm", "best_pcm_score",

@@ -147,7 +147,7 @@ def test_labels_match_golden(spark, clean_v1):
 
 def test_whole_material_plan(raw):
     before = {r["product"]: r for r in plan.parse_numbers(plan.standard_columns(raw)).collect()}
-    out = plan.materials_clean(raw, rounds=1)
+    out = plan.materials_clean(raw)
     rows = out.collect()
     assert len(rows) == 18
     for r in rows:
@@ -169,7 +169,7 @@ def test_imputation_leaves_small_and_empty_columns_alone(spark):
     nan = float("nan")
     rows = [(float(i), None, float(i) if i % 3 else nan if i else None) for i in range(9)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
-    out = impute.chained_impute(df, ["a", "b", "c"], rounds=2, trees=3)
+    out = impute.chained_impute(df, ["a", "b", "c"], trees=3)
     assert out.where("c is null or isnan(c)").count() == 0 and out.where("b is null").count() == 9
 
 

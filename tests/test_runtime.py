@@ -1,5 +1,7 @@
 """Joins with hot keys, size checks, row numbers, checkpoints."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,17 +110,12 @@ def test_checkpoints_go_to_the_configured_folder(spark):
     assert configured in table.inputFiles()[0] and table.count() == 5
 
 
-def test_method_limit_set_by_the_user_is_kept(spark):
-    before = spark.conf.get(runtime.METHOD_LIMIT)
-    try:
-        spark.conf.set(runtime.METHOD_LIMIT, "20000")
-        runtime.keep_methods_compilable(spark)
-        assert spark.conf.get(runtime.METHOD_LIMIT) == "20000"
-        spark.conf.set(runtime.METHOD_LIMIT, runtime.SPARK_METHOD_LIMIT)
-        runtime.keep_methods_compilable(spark)
-        assert spark.conf.get(runtime.METHOD_LIMIT) == runtime.JIT_METHOD_LIMIT
-    finally:
-        spark.conf.set(runtime.METHOD_LIMIT, before)
+def test_written_tables_can_be_deleted(spark):
+    table = runtime.written_table(spark.range(5))
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    assert os.path.isdir(folder)
+    runtime.delete_table(table)
+    assert not os.path.exists(folder)
 
 
 @pytest.mark.parametrize("pick, step", [(F.min, 1), (F.max, -1)])

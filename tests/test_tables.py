@@ -149,3 +149,22 @@ def test_read_grid(spark, tmp_path):
     spark.createDataFrame([("s", float("nan")), ("t", 1.0)], "time string, t2m double").write.parquet(path)
     got = tables.read_grid(spark, path)
     assert got.columns == ["timestamp", "t2m"] and got.where("t2m is null").count() == 1
+
+
+def test_csv_files_with_other_headers_and_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("city,x,y\nA,1,2\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("city,y,x\nB,4,3\n", encoding="utf-8")
+    got = tables.read_csv(spark, str(tmp_path), "city string, x int, y int").collect()
+    assert sorted((r["city"], r["x"], r["y"]) for r in got) == [("A", 1, 2), ("B", 3, 4)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "q.csv").write_text('city,x\n"A\nB",1\nC,2\n', encoding="utf-8")
+    got = tables.read_csv(spark, str(tmp_path / "c"), multi_line=True).collect()
+    assert sorted((r["city"], r["x"]) for r in got) == [("A\nB", "1"), ("C", "2")]
+
+
+def test_spatial_mean_averages_every_numeric_type(spark):
+    rows = [("s", 1, 1.0, 1.5, 3), ("s", 1, 2.0, 2.5, 4)]
+    df = spark.createDataFrame(rows, "site string, timestamp int, latitude double, f float, n int")
+    df = df.withColumn("longitude", F.lit(0.0)).withColumn("d", F.col("n").cast("decimal(6,2)"))
+    got = grid.spatial_mean(df).first()
+    assert (got["f"], got["n"], float(got["d"])) == (2.0, 3.5, 3.5)
