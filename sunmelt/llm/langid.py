@@ -130,18 +130,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("lang_pred", "score")]
+    inner = [f"c{i}" for i in range(len(kept))]  # names that no column can clash with
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "_text", 4 << 20):
-                names, values = shared.value.predict(texts_of(batch.column("_text")))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(values)], names=[*kept, "lang_pred", "score"])
+            for batch in by_bytes(whole, "text", 4 << 20):
+                names, values = shared.value.predict(texts_of(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), pa.array(names, pa.string()), pa.array(values)], names=[*inner, "lang_pred", "score"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(score, f"{kinds}lang_pred string, score double")
+    kinds = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for i, c in zip(inner, kept, strict=True))
+    source = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.col(text).alias("text"))
+    return source.mapInArrow(score, f"{kinds}lang_pred string, score double").toDF(*kept, "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows whose text has no language; a null ``lang`` takes the predicted one."""
-    found = identify(docs, model, text, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
-    return found.withColumn(lang, F.coalesce(F.col(lang), F.col("lang_pred"))).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = dict(zip(docs.columns, names, strict=True))
+    found = identify(docs.toDF(*names), model, renamed[text], tuple(names)).where(F.col("lang_pred") != UNKNOWN)
+    filled = found.withColumn(renamed[lang], F.coalesce(F.col(renamed[lang]), F.col("lang_pred")))
+    return filled.select(*names).toDF(*docs.columns)

@@ -240,5 +240,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     sized = written_table(docs.select("doc_id", "source", word_count(F.col(text)).alias("size")))
     draws, _ = mix(sized, cut=False, **options)
     uses = draws.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copy").alias("_copies"))
-    kept = docs.join(uses, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_use", F.explode(F.expr("sequence(0, _copies)"))).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names that no column can clash with
+    renamed = docs.toDF(*names)
+    number = F.col(names[docs.columns.index("doc_id")])
+    kept = renamed.join(uses, number.eqNullSafe(F.col("_id")))
+    return kept.withColumn("_use", F.explode(F.expr("sequence(0, _copies)"))).select(names).toDF(*docs.columns)
