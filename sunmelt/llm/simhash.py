@@ -129,8 +129,9 @@ def samples(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     J**SAMPLED.
     """
     band = hashes >> np.uint64(64 - BAND_BITS)
-    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
-    found = [majority(hashes[a : min(a + SAMPLED, b)]) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(band)], strict=True)]
+    start = np.flatnonzero(np.diff(band, prepend=np.uint64(1 << BAND_BITS)))
+    ends = np.append(start[1:], len(band))
+    found = [majority(hashes[a : min(a + SAMPLED, b)]) for a, b in zip(start, ends, strict=True)] if len(band) else []
     return band[start].astype(np.int32), np.array(found, dtype=np.uint64)
 
 
@@ -211,7 +212,8 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = 5, least
                     distinct = np.unique(hashes)
                     fps.append(majority(hashes))
                     sets.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
-                    bands.append([{"band": b, "key": k} for b, k in zip(*(x.tolist() for x in (lambda p: (p[0], p[1].view(np.int64)))(samples(distinct))), strict=True)])
+                    band, sample = samples(distinct)
+                    bands.append([{"band": b, "key": k} for b, k in zip(band.tolist(), sample.view(np.int64).tolist(), strict=True)])
                 signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sets, fps)]
                 kind = pa.list_(pa.struct([("band", pa.int32()), ("key", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, pa.array(bands, kind)], names=["doc_id", "set", "fp", "bands"])
