@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunmelt.runtime import written_table
+from sunmelt.functions.nulls import no_nan
+from sunmelt.runtime import attach, cut_lineage, written_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+ACCURACY = 10_000  # of the sketch: it is wrong by one rank in so many at most
+MARGIN = 2 / ACCURACY  # added to both sides of a bracket
+WHOLE = 100_000  # smaller groups are bracketed whole
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -18,17 +22,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def describe(
-    df: DataFrame, columns: Sequence[str] | None = None, quartiles: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, quartiles: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per numeric column: count, mean, std, min, max and exact quartiles.
+    """One row per numeric column, and per value of ``by``: count, mean, std, min, max and
+    exact quartiles. NaN counts as missing.
 
-    Everything but the quartiles is one pass of partial aggregates; the quartiles need a
-    distributed sort of the distinct values (see :func:`quantiles`).
+    Everything but the quartiles is one pass of partial aggregates (see :func:`quantiles`).
     """
-    columns = list(columns or numeric_columns(df))
+    by = list(by)
+    columns = list(columns or [c for c in numeric_columns(df) if c not in by])
     fields = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x = no_nan(F.col(c).cast("double"))
         fields.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -39,91 +45,82 @@ def describe(
                 F.max(x).alias("max"),
             )
         )
-    stats = df.agg(F.array(*fields).alias("s")).select(F.inline("s"))
+    stats = df.groupBy(*by).agg(F.array(*fields).alias("s")).select(*by, F.inline("s"))
     if not quartiles:
         return stats
-    return stats.join(quantiles(df, columns, QUARTILES), "column_name", "left")
+    return stats.join(quantiles(df, columns, QUARTILES, by), [*by, "column_name"], "left")
 
 
 def quantiles(
-    df: DataFrame, columns: Sequence[str], points: Mapping[str, float] = QUARTILES
+    df: DataFrame, columns: Sequence[str], points: Mapping[str, float] = QUARTILES,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact quantiles (linear between neighbours) of many columns in one sorted pass.
+    """Exact quantiles (linear between neighbours) of many columns, per value of ``by``.
 
-    Equal values are counted first, so a value held by a third of the rows is one row. The
-    counts are range partitioned by column and value; ranks are located from the row totals
-    of the ranges, and only the ranges that hold a wanted rank are looked into.
+    A mergeable sketch first brackets each quantile; a bracket holds all values in a group of
+    under ``WHOLE`` rows and a few ten-thousandths of a larger one. Only values inside a
+    bracket are shuffled, equal ones counted first, and ranked by range partitions, on top
+    of the number of values below the bracket.
     """
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                for c in columns
-            ]
-        )
-    )
+    keys = list(by) or ["_all"]
+    values = {c: no_nan(F.col(c).cast("double")) for c in columns}
+    rows = df.select(*by, *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
+    rows = rows if by else rows.withColumn("_all", F.lit(1))
+    names = list(points)
+    tries = [*(max(0.0, q - MARGIN) for q in points.values()), *(min(1.0, q + MARGIN) for q in points.values())]
+
+    def edges(x: Column) -> Column:
+        near = F.percentile_approx(x, tries, ACCURACY)
+        few = F.count(x) < WHOLE
+        low = [F.when(few, F.min(x)).otherwise(near[i]).alias(f"lo{i}") for i in range(len(names))]
+        high = [F.when(few, F.max(x)).otherwise(near[len(names) + i]).alias(f"hi{i}") for i in range(len(names))]
+        return F.struct(F.count(x).alias("total"), *low, *high)
+
+    bounds = cut_lineage(rows.groupBy(*keys).agg(*[edges(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(columns))]))
+    bounded = attach(rows, bounds, keys, "inner", small=None if by else True)
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(names))]
+    labels = {(i, j): [F.lit(columns[i]).alias("column_name"), F.lit(names[j]).alias("point"), F.lit(points[names[j]]).alias("q")] for i, j in cells}
+    below = bounded.groupBy(*keys).agg(
+        F.array(*[
+            F.struct(*labels[i, j], F.max(f"_b{i}.total").alias("total"), F.count_if(F.col(f"_v{i}") < F.col(f"_b{i}.lo{j}")).alias("below"))
+            for i, j in cells
+        ]).alias("s")
+    ).select(*keys, F.inline("s")).where("total > 0")
+    inside = F.array(*[
+        F.when(F.col(f"_v{i}").between(F.col(f"_b{i}.lo{j}"), F.col(f"_b{i}.hi{j}")), F.struct(*labels[i, j], F.col(f"_v{i}").alias("value")))
+        for i, j in cells
+    ])
+    group = [*keys, "column_name", "point"]
     counts = (
-        df.select(pairs.alias("p"))
-        .select("p.column_name", "p.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        bounded.select(*keys, F.explode(F.array_compact(inside)).alias("p"))
+        .groupBy(*keys, "p.column_name", "p.point", "p.value").agg(F.count(F.lit(1)).alias("n"))
     )
     ranged = written_table(
-        counts.repartitionByRange("column_name", "value").withColumn("part", F.spark_partition_id())
-    )
-    by_part = Window.partitionBy("column_name").orderBy("part")
-    parts = (
-        ranged.groupBy("column_name", "part")
-        .agg(F.sum("n").alias("n"))
-        .select(
-            "column_name", "part", "n",
-            (F.sum("n").over(by_part) - F.col("n")).alias("start"),
-            F.sum("n").over(Window.partitionBy("column_name")).alias("total"),
-        )
-    )
-    # Ranks below and above each quantile point; a handful per column.
-    want = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("point"),
-                    (F.lit(q) * (F.col("total") - 1)).alias("place"),
-                )
-                for name, q in points.items()
-            ]
-        )
+        counts.repartitionByRange(*group, "value").withColumn("part", F.spark_partition_id())
     )
+    up_to = Window.partitionBy(*group).orderBy("part")
+    parts = ranged.groupBy(*group, "part").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(up_to) - F.col("n"))
+    place = F.col("q") * (F.col("total") - 1)
     asks = (
-        parts.select("column_name", "part", "n", "start", want.alias("w"))
-        .select(
-            "column_name", "part", "n", "start", "w.point", "w.place",
-            F.explode(F.array(F.floor("w.place"), F.ceil("w.place"))).alias("rank"),
-        )
+        attach(parts, cut_lineage(below), group, "inner")
+        .select(*group, "part", "n", (F.col("below") + F.col("before")).alias("start"), place.alias("place"))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))))
         .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .select("column_name", "part", "start", "point", "place", "rank")
-        .distinct()
-    )
-    # At most two ranks for each column and point, so this side is small by construction.
-    asks = F.broadcast(
-        asks.groupBy("column_name", "part", "start").agg(
-            F.collect_list(F.struct("point", "place", "rank")).alias("asks")
-        )
+        .groupBy(*group, "part", "start", "place").agg(F.collect_list("rank").alias("ranks"))
     )
-    within = Window.partitionBy("column_name", "part").orderBy("value")
+    within = Window.partitionBy(*group, "part").orderBy("value")
     found = (
-        ranged.join(asks, ["column_name", "part"])
+        attach(ranged, cut_lineage(asks), [*group, "part"], "inner")
         .withColumn("end", F.col("start") + F.sum("n").over(within))
-        .select("column_name", "value", "n", "end", F.explode("asks").alias("a"))
-        .where((F.col("a.rank") >= F.col("end") - F.col("n")) & (F.col("a.rank") < F.col("end")))
+        .withColumn("rank", F.explode("ranks"))
+        .where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
     )
     low = F.min("value")
-    points_found = found.groupBy("column_name", "a.point", "a.place").agg(
-        (low + (F.max("value") - low) * (F.col("a.place") - F.floor("a.place"))).alias("value")
+    at_points = found.groupBy(*group, "place").agg(
+        (low + (F.max("value") - low) * (F.col("place") - F.floor("place"))).alias("value")
     )
-    return (
-        points_found.groupBy("column_name")
-        .agg(*[F.max(F.when(F.col("point") == p, F.col("value"))).alias(p) for p in points])
+    return at_points.groupBy(*by, "column_name").agg(
+        *[F.max(F.when(F.col("point") == p, F.col("value"))).alias(p) for p in names]
     )
 
 

@@ -392,16 +392,17 @@ HOLED_ITEMS = """SELECT l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_
   nullif(l_tax, 0) AS l_tax FROM lineitem"""
 
 
-def _describe() -> str:
-    parts = []
-    for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"):
+def _describe(source: str, columns: tuple[str, ...], by: str = "") -> str:
+    parts, group = [], f"GROUP BY {by}" if by else ""
+    for c in columns:
         stats = {
             "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})",
             "q25": f"quantile_cont({c}, 0.25)", "q50": f"quantile_cont({c}, 0.5)",
             "q75": f"quantile_cont({c}, 0.75)",
         }
         cols = ", ".join(f'{r(x, 4)} AS "{n}"' for n, x in stats.items())
-        parts.append(f"SELECT '{c}' AS column_name, count({c}) AS \"count\", {cols} FROM ({HOLED_ITEMS})")
+        keys = f"{by}, " if by else ""
+        parts.append(f"SELECT {keys}'{c}' AS column_name, count({c}) AS \"count\", {cols} FROM ({source}) {group}")
     return " UNION ALL ".join(parts)
 
 
@@ -643,7 +644,8 @@ def oracle_sql() -> dict[str, str]:
         "minmax_score": f"SELECT l_suppkey, {r(MINMAX)} AS score FROM ({SUPPLIERS})",
         "rank_materials": """SELECT p_partkey, row_number() OVER (ORDER BY floor(p_retailprice) / 10.0::DOUBLE DESC,
           p_name || ' ' || p_partkey::VARCHAR) AS place FROM part""",
-        "describe": _describe(),
+        "describe": _describe(HOLED_ITEMS, ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+        "describe_by": _describe("FROM lineitem", ("l_quantity", "l_extendedprice"), "l_returnflag"),
         "null_profile": _nulls(),
         "missing_diff": _diff(),
         "spatial_mean": f"""SELECT l_returnflag AS site, l_shipdate AS timestamp, {r("avg(l_quantity)")} AS t2m,

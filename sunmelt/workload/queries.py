@@ -523,6 +523,12 @@ def describe(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(profile.describe(holed_items(spark, sf)), 4)
 
 
+def describe_by(spark: SparkSession, sf: str) -> DataFrame:
+    """The same statistics for every ship mark."""
+    items = read(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return round_all(profile.describe(items, by=["l_returnflag"]), 4)
+
+
 def null_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.null_profile(holed_items(spark, sf))
 
@@ -750,7 +756,7 @@ NAMES = (
     "sun_times", "climate_hourly", "label_join", "label_classes", "label_encode",
     "material_join", "site_metadata", "label_assign", "numeric_extract", "rule_fill",
     "range_filter", "stage_counts", "derived_props", "topsis", "minmax_score",
-    "rank_materials", "describe", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
+    "rank_materials", "describe", "describe_by", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
     "assign_sites",
     "union_sites", "distinct_days", "page_title", "page_text", "keyword_sentences",
     "mice_impute", "mice_check", "fused_hourly", "fused_daily",

@@ -168,3 +168,25 @@ def test_spatial_mean_averages_every_numeric_type(spark):
     df = df.withColumn("longitude", F.lit(0.0)).withColumn("d", F.col("n").cast("decimal(6,2)"))
     got = grid.spatial_mean(df).first()
     assert (got["f"], got["n"], float(got["d"])) == (2.0, 3.5, 3.5)
+
+
+def test_quartiles_by_group_and_with_narrow_brackets(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(f"g{i % 3}", rnd.gauss(0, 1) if i % 5 else float("nan"), float(rnd.randrange(4))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for whole in (profile.WHOLE, 0):
+        monkeypatch.setattr(profile, "WHOLE", whole)
+        got = profile.describe(df, by=["g"]).toPandas().set_index(["g", "column_name"])
+        for (g, c), r in got.iterrows():
+            want = pdf[pdf["g"] == g][c].dropna()
+            assert r["count"] == len(want) and r["mean"] == pytest.approx(want.mean())
+            for name, q in profile.QUARTILES.items():
+                assert r[name] == pytest.approx(want.quantile(q), abs=1e-12)
+
+
+def test_quartiles_shuffle_only_bracketed_values(spark):
+    df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("x"))
+    got = profile.describe(df).first()
+    want = np.quantile(np.arange(1_000_000) * 7919 % 1_000_003, [0.25, 0.5, 0.75])
+    assert [got["q25"], got["q50"], got["q75"]] == pytest.approx(list(want))
