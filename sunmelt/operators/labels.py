@@ -117,7 +117,10 @@ def assign_labels(
         "target", "tol",
         F.explode(F.sequence(F.col("lo_cell") + 1, F.col("hi_cell") - 1)).alias("cell"),
     )
-    whole = inner.join(summary.select("cell", "best"), "cell").select("target", "tol", "best")
+    known_small = small or None
+    whole = attach(
+        inner, summary.select("cell", "best"), ["cell"], "inner", spread_by=["target", "tol"], small=known_small
+    ).select("target", "tol", "best")
 
     def cut(edge: str, ascending: bool) -> DataFrame:
         """Best material of the edge's cell on the inner side of the edge."""
@@ -168,7 +171,7 @@ def assign_labels(
     )
     near = F.when(F.col("below").isNotNull() & take_below, F.col("below")).otherwise(F.col("above"))
     nearest = (
-        lonely.join(neighbours, "cell")
+        attach(lonely, neighbours, ["cell"], "inner", spread_by=["target", "tol"], small=known_small)
         .withColumn("near", near)
         .where(F.col("near").isNotNull())
         .select("target", "tol", *[F.col(f"near.{f}").alias(f) for f in ("name", "id", "tm", "score")])

@@ -42,18 +42,19 @@ def parse_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns({c: messy_number(F.col(c)) for c in present(df, NUMERIC_COLUMNS)})
 
 
-def clean_materials(raw: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Parsed catalogue without holes, limited to suitable melting points.
-
-    ``flash_point_known`` is taken before the fill; the filter comes after it, so that the
-    fill learns from every row.
-    """
+def filled_materials(raw: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Parsed catalogue without holes; ``flash_point_known`` is taken before the fill."""
     df = parse_numbers(standard_columns(raw))
     if "flash_point" in df.columns:
         df = df.withColumn("flash_point_known", known_flag(F.col("flash_point")))
     df = rule_fill(df)
     df = chained_impute(df) if rounds is None else chained_impute(df, rounds=rounds)
-    return drop_missing(filter_range(fallback_fill(df)))
+    return fallback_fill(df)
+
+
+def suited_materials(filled: DataFrame) -> DataFrame:
+    """Materials with a suitable melting point; after the fill, which learns from every row."""
+    return drop_missing(filter_range(filled))
 
 
 def derived_properties(df: DataFrame) -> DataFrame:
@@ -91,6 +92,10 @@ def material_codes(df: DataFrame) -> DataFrame:
     return label_encode(df, "flammability", "flammability_enc")
 
 
+def scored_materials(suited: DataFrame) -> DataFrame:
+    return topsis(material_codes(derived_properties(suited)))
+
+
 def materials_clean(raw: DataFrame, rounds: int | None = None) -> DataFrame:
     """Whole path from the raw catalogue to the scored table."""
-    return topsis(material_codes(derived_properties(clean_materials(raw, rounds))))
+    return scored_materials(suited_materials(filled_materials(raw, rounds)))

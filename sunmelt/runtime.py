@@ -4,7 +4,8 @@ broadcasts, joins that survive hot keys, and row numbers without a one-task wind
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Let a job's checkpoints and written tables go to a folder of its own in the shared
+    checkpoint folder, which is deleted at the end."""
+    base = checkpoint_dir(spark)
+    folder = f"{base}/job-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setCheckpointDir(base)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder (survives lost executors)."""
     checkpoint_dir(df.sparkSession)

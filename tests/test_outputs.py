@@ -38,11 +38,11 @@ def inputs(spark):
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_job_writes_every_table(spark, inputs, tmp_path, fmt):
     out = str(tmp_path / "out")
-    outputs.build_tables(*inputs, out, fmt, impute_rounds=1)
+    outputs.build_tables(*inputs, out, fmt)
     assert set(os.listdir(out)) == {
         "climate_hourly", "materials_clean", "label_map", "fused_hourly", "label_classes",
         "daily_features", "daily_columns", "daily_nulls", "materials_summary",
-        "heating_index_summary",
+        "heating_index_summary", "materials_missing", "materials_stages",
     }
     read = spark.read.option("header", True).format(fmt)
     fused = read.load(f"{out}/fused_hourly")
@@ -56,3 +56,15 @@ def test_job_writes_every_table(spark, inputs, tmp_path, fmt):
     classes = {r["pcm_label"] for r in read.load(f"{out}/label_classes").collect()}
     assert classes == {r["pcm_label"] for r in daily.select("pcm_label").distinct().collect()}
     assert read.load(f"{out}/materials_clean").count() == 18
+    stages = {r["stage"]: int(r["rows"]) for r in read.load(f"{out}/materials_stages").collect()}
+    assert stages == {"input": 18, "in_range": 18, "complete": 18}
+    assert {r["city"] for r in read.load(f"{out}/heating_index_summary").collect()} == {"Coimbatore", "Jaisalmer"}
+    assert set(os.listdir(f"{out}/climate_hourly/city=Jaisalmer")) >= {"year=2021", "year=2022"}
+
+
+def test_job_slices_a_grid_without_sites(spark, inputs, tmp_path):
+    grid, *rest = inputs
+    out = str(tmp_path / "out")
+    outputs.build_tables(grid.drop("site"), *rest, out, impute_rounds=1, part={"years": [2022], "hours": list(range(0, 24, 2))})
+    climate = spark.read.parquet(f"{out}/climate_hourly")
+    assert climate.count() == 2 * 12 * 6 and {r["year"] for r in climate.select("year").distinct().collect()} == {2022}
