@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", 1 << 20):
                 names, codes = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
                 buckets, owner, _ = ngrams(texts_of(batch.column("text")))
                 found, times = np.unique(codes[owner].astype(np.int64) * BUCKETS + buckets, return_counts=True)
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text", 4 << 20):
+            for batch in by_bytes(whole, "text", 1 << 20):
                 names, values = shared.value.predict(texts_of(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), pa.array(names, pa.string()), pa.array(values)], names=[*inner, "lang_pred", "score"])
 

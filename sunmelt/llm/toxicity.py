@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", 1 << 20):
                 bucket, owner = terms(texts_of(batch.column("text")))
                 ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["label", "buckets"])
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text", 4 << 20):
+            for batch in by_bytes(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(texts_of(batch.column("text"))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
