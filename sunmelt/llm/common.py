@@ -33,7 +33,7 @@ def int_lists(chunks: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Slices of ``batch`` whose ``column`` has at most about ``limit`` bytes (one row at least).
 
     Arrow batches are bounded by rows, not bytes; very long texts would otherwise make the

@@ -138,7 +138,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", 8 << 20):
                 ids = int_lists([ids + last for ids in shared.value.encode(texts_of(batch.column("text")))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), ids], names=["doc_id", "shard", "ids"])
 
