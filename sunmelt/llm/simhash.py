@@ -35,6 +35,8 @@ DISTANCE = 2
 #: First bit and width of each segment of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRED = 24
+TURNS = 3  # rounds of representatives before what is still apart is compared in blocks
+BLOCK = 256  # sets of each side of a block, about
 BAND_BITS, SAMPLED = 4, 3
 # Fixed value: the generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0xAE3
@@ -198,9 +200,10 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = 5, least
     is verified on the whole sets. Fingerprints of whole texts as alike as that differ in 4 to
     14 bits of 64, too many for keys that stay selective; so candidates also come from
     fingerprints of samples: in each of 16 bands of the hash values, the smallest ones. A key
-    of more than ``PAIRED`` different sets pairs each with the smallest only. Texts with equal
-    sets are one class and always linked; texts without words are one class too. Null doc_ids
-    are as in :func:`near_duplicates`.
+    of more than ``PAIRED`` different sets pairs each with the smallest first; where that leaves
+    its sets in several groups, :func:`_joined` finds all links between them exactly. Texts with
+    equal sets are one class and always linked; texts without words are one class too. Null
+    doc_ids are as in :func:`near_duplicates`.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,31 +237,144 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = 5, least
     alike = links(fps.select("fp")).join(of_a, "a").join(of_b, "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
     same = classes.join(fps, "fp").where("set <> s").select(F.col("set").alias("a"), F.col("s").alias("b"))
     candidates = cut_lineage(pairs.unionByName(star).unionByName(alike).unionByName(same).distinct())
-    found = components(_verified(source, classes, candidates, width, least)).select(F.col("node").alias("set"), "root")
+    found = cut_lineage(components(_verified(source, classes, candidates, width, least)).select(F.col("node").alias("set"), "root"))
+    crowded = members.where(F.col("n") > PAIRED).select("band", "key", "set").join(found, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    apart = crowded.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    rest = cut_lineage(crowded.join(apart, ["band", "key"]).select("set", "root").distinct())
+    if not rest.isEmpty():
+        merged = _joined(rest, _hash_sets(source, classes, rest.select("set"), width), least)
+        every = found.unionByName(rest).select("set", "root").distinct()
+        found = cut_lineage(every.join(merged, "root", "left").select("set", F.coalesce("to", "root").alias("root")))
     joined = cut_lineage(classes.select("set", "first").join(found, "set", "left").withColumn("root", F.coalesce("root", "set")))
     roots = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.select("doc_id", "set").join(joined.join(roots, "root").select("set", "component_id"), "set").select("doc_id", "component_id")
 
 
-def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs of sets whose Jaccard similarity is at least ``least``."""
+def _hash_sets(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``set`` and ``hashes`` (its distinct shingle hashes) of the sets in ``wanted``, each once."""
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "raw"):
                 sets = [np.unique(shingles(raw or b"", width)).view(np.int64) for raw in batch.column("raw").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(sets, pa.list_(pa.int64()))], names=["set", "hashes"])
+                # A doc_id that repeats with other texts would stand for its class with each of them.
+                own = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                right = np.flatnonzero(own == batch.column("set").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("set").take(pa.array(right)), pa.array([sets[i] for i in right], pa.list_(pa.int64()))], names=["set", "hashes"])
+
+    standing = classes.join(wanted.select("set").distinct(), "set").select("set", F.col("first").alias("doc_id"))
+    texts = source.join(standing, "doc_id")
+    return cut_lineage(texts.select("set", "raw").mapInArrow(hash_sets, "set long, hashes array<bigint>").dropDuplicates(["set"]))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    standing = classes.join(asked, "set").select("set", F.col("first").alias("doc_id"))
-    # A doc_id that repeats with other texts would stand for its class with each of them.
-    texts = source.join(standing, "doc_id").dropDuplicates(["set"])
-    sets = cut_lineage(texts.select("set", "raw").mapInArrow(hash_sets, "set long, hashes array<bigint>"))
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left, right = sets.select(F.col("set").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _verified(source: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs of sets whose Jaccard similarity is at least ``least``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set"))
+    return _alike(pairs, _hash_sets(source, classes, asked, width), least)
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``token``, ``set`` and ``size``: the rarest hashes of each set that another one has too.
+
+    Two sets of similarity ``least`` share one of their first size - least * size + 1 hashes in
+    any common order; in that of rarity, hashes that many unlike texts have come last. Those of
+    one set only fill places but meet nothing.
+    """
+    hashed = sets.select("set", F.size("hashes").alias("size"), F.explode("hashes").alias("token"))
+    shared = written_table(hashed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    ranked = hashed.join(shared, "token").groupBy("set", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    room = F.col("size") - F.ceil(F.lit(least) * F.col("size") - F.lit(1e-6)) + 1 - (F.col("size") - F.size("t"))
+    kept = ranked.withColumn("room", room.cast("int")).where("room > 0")
+    return written_table(kept.select("set", "size", F.explode(F.slice("t", F.lit(1), F.col("room"))).alias("t")).select("t.token", "set", "size"))
+
+
+def _joined(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``root`` and ``to``: the groups of ``rest`` (``set``, ``root``) that links between their sets join.
+
+    Candidates meet by a hash of their prefixes, which loses none. In ``TURNS`` rounds the
+    sets of a hash meet one of them, which joins what belongs together in few rows. Then all
+    pairs of a hash that are in different groups are compared: up to ``PAIRED`` sets as rows,
+    more in blocks.
+    """
+    prefixes = _prefixes(sets, least)
+    now = rest.select("set", "root", F.col("root").alias("to"))
+    turn = 0
+    fits = (F.col("size") >= F.lit(least) * F.col("other") - F.lit(1e-6)) & (F.col("other") >= F.lit(least) * F.col("size") - F.lit(1e-6))
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        found = prefixes.join(now.select("set", "to"), "set")
+        tokens = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("lo"), F.max("to").alias("hi"), F.min(F.struct(F.xxhash64("set", F.lit(turn)), "set", "to", "size")).alias("rep"))
+        return found, written_table(tokens.where("lo <> hi").drop("lo", "hi"))
+
+    def merge(links: DataFrame) -> bool:
+        nonlocal now
+        at = now.select("set", "to")
+        groups = cut_lineage(
+            links.join(at.toDF("a", "ga"), "a").join(at.toDF("b", "gb"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+        )
+        if groups.isEmpty():
+            return False
+        roots = components(groups).select(F.col("node").alias("to"), F.col("root").alias("_new"))
+        now = cut_lineage(now.join(roots, "to", "left").select("set", "root", F.coalesce("_new", "to").alias("to")))
+        return True
+
+    for turn in range(TURNS):
+        found, tokens = placed()
+        tokens = tokens.where(F.col("n") > PAIRED)
+        if tokens.isEmpty():
+            break
+        star = found.join(tokens.select("token", "rep"), "token").withColumn("other", F.col("rep.size")).where((F.col("to") != F.col("rep.to")) & fits)
+        merge(_alike(cut_lineage(star.select(F.col("set").alias("a"), F.col("rep.set").alias("b")).distinct()), sets, least))
+    found, tokens = placed()
+    few = found.join(tokens.where(F.col("n") <= PAIRED).select("token"), "token")
+    pairs = few.select("token", F.col("set").alias("a"), "size", F.col("to").alias("ga")).join(few.select("token", F.col("set").alias("b"), F.col("size").alias("other"), F.col("to").alias("gb")), "token")
+    merge(_alike(cut_lineage(pairs.where(F.col("a") > F.col("b")).where((F.col("ga") != F.col("gb")) & fits).select("a", "b").distinct()), sets, least))
+    found, tokens = placed()
+    many = tokens.where(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        merge(_in_blocks(found.join(many.select("token"), "token"), sets, least))
+    return now.where("root <> to").select("root", "to").distinct()
+
+
+def _in_blocks(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``a``, ``b`` of the sets of a ``token`` that are in different groups ``to``.
+
+    Every set outside the token's largest group meets every set of the token, in blocks of
+    bounded size.
+    """
+    largest = found.groupBy("token", "to").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("to", F.struct("n", "to")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("in_most"))
+    sized = largest.select("token", "most", F.ceil((F.col("n") - F.col("in_most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    dealt = found.join(sized, "token")
+    asking = dealt.where("to <> most").select("token", F.pmod(F.xxhash64("set"), "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("asks"), "set", "to")
+    asked = dealt.select("token", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(F.xxhash64("set"), "columns").alias("column"), F.lit(False).alias("asks"), "set", "to")
+    blocks = asking.unionByName(asked.select(asking.columns)).join(sets, "set")
+
+    def compare(frame):
+        import pandas as pd
+
+        hashes, group, name = frame["hashes"].tolist(), frame["to"].to_numpy(), frame["set"].to_numpy()
+        sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+        words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        mark, links = np.zeros(len(words), dtype=np.int64), []
+        for i in np.flatnonzero(frame["asks"].to_numpy()):
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[codes], starts)
+            mark[own] = 0
+            for j in np.flatnonzero((both >= least * (sizes + sizes[i] - both)) & (group != group[i])):
+                links.append((name[i], name[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    return blocks.groupBy("token", "row", "column").applyInPandas(compare, "a long, b long").distinct()
+
+
 def one_of_each(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of :func:`similar_documents`: the smallest id.
 

@@ -81,6 +81,28 @@ def test_similar_documents_equal_brute_force(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
 
 
+@pytest.mark.parametrize("turns", [0, 3])
+def test_crowded_sample_keys_lose_no_link(spark, monkeypatch, turns):
+    monkeypatch.setattr(simhash, "TURNS", turns)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(2):
+        base = words_of(rnd, 300)
+        for _ in range(150):
+            copy = list(base)
+            for at in rnd.sample(range(300), rnd.randrange(4, 12)):
+                copy[at] = f"x{rnd.randrange(100_000)}"
+            texts.append(copy)
+    line = words_of(rnd, 40)  # in many texts that are not alike
+    texts += [line + words_of(rnd, 20) for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)]
+    assert got == groups(range(len(texts)), near)
+
+
 def test_fingerprints_of_odd_documents(spark):
     docs = documents(spark)
     got = simhash.near_duplicates(docs).collect()
