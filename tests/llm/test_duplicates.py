@@ -172,6 +172,23 @@ def test_chains_equal_a_quadratic_search():
         assert top == pytest.approx(max(best)) or (not chains and max(best) == substring.K)
 
 
+def two_passages(rnd, first, gap, second):
+    """Two texts that share two passages with other words between them."""
+    one, two = words_of(rnd, first), words_of(rnd, second)
+    other = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+    return [other(20) + one + other(gap) + two + other(20) for _ in range(2)]
+
+
+@pytest.mark.parametrize("gap", [30, 70, 100, 150, 500])
+def test_matches_beyond_a_gap_start_a_chain(gap):
+    a, b = (substring.word_hashes(" ".join(w).encode()) for w in two_passages(random.Random(gap), 120, gap, 60))
+    (x, p), (y, q) = substring.seeds(a), substring.seeds(b)
+    pairs = np.array([(p[i], q[j]) for i in range(len(x)) for j in np.flatnonzero(y == x[i])])
+    found = substring.chains(pairs[:, 0], pairs[:, 1])
+    assert sum(len(c) for c in found) == len(pairs)
+    assert len(found) == (1 if gap == 30 else 2)
+
+
 def test_passages_of_odd_documents(spark):
     docs = documents(spark).unionByName(documents(spark).where("doc_id = 4").withColumn("doc_id", F.lit(11).cast("long")))
     got = substring.repeated_passages(docs).collect()
