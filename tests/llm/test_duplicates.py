@@ -189,6 +189,22 @@ def test_matches_beyond_a_gap_start_a_chain(gap):
     assert len(found) == (1 if gap == 30 else 2)
 
 
+def test_two_passages_of_a_pair_are_both_found(spark):
+    rnd, docs = random.Random(21), {}
+    cases = [(120, 30, 60), (60, 40, 60), (60, 60, 60), (120, 70, 60), (120, 150, 60), (120, 500, 60), (5, 20, 55), (55, 20, 5)]
+    for i, case in enumerate(cases):
+        docs[2 * i], docs[2 * i + 1] = two_passages(rnd, *case)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = substring.repeated_passages(df).collect()
+    for i, (first, gap, second) in enumerate(cases):
+        rows = [r for r in got if r["doc_id"] == 2 * i + 1]
+        assert all(r["partner_id"] == 2 * i for r in rows)
+        covered = {p for r in rows for p in range(r["start"], r["end"])}
+        ends = [(20, 20 + first), (20 + first + gap, 20 + first + gap + second)]
+        assert all(set(range(s, e)) <= covered for s, e in ends if e - s >= 50)
+        assert len({(r["start"], r["end"]) for r in rows}) == len(rows)
+
+
 def test_passages_of_odd_documents(spark):
     docs = documents(spark).unionByName(documents(spark).where("doc_id = 4").withColumn("doc_id", F.lit(11).cast("long")))
     got = substring.repeated_passages(docs).collect()
