@@ -205,6 +205,21 @@ def test_two_passages_of_a_pair_are_both_found(spark):
         assert len({(r["start"], r["end"]) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("hot", [3, 2_000])
+def test_passages_whose_seeds_occur_earlier_elsewhere(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    rnd = random.Random(31)
+    passage = words_of(rnd, 60)
+    # Each seed of the passage lies alone in some earlier document, in another order.
+    runs = [passage[i : i + 6] for i in range(55)]
+    rnd.shuffle(runs)
+    docs = {i: words_of(rnd, 30) + run + words_of(rnd, 30) for i, run in enumerate(runs)}
+    docs |= {i: words_of(rnd, 40) + passage + words_of(rnd, 40) for i in (100, 101)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["partner_id"], r["start"], r["end"]) for r in substring.repeated_passages(df).collect()}
+    assert got == {(101, 100, 40, 100)}
+
+
 def test_passages_of_odd_documents(spark):
     docs = documents(spark).unionByName(documents(spark).where("doc_id = 4").withColumn("doc_id", F.lit(11).cast("long")))
     got = substring.repeated_passages(docs).collect()
