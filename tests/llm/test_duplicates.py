@@ -220,6 +220,27 @@ def test_passages_whose_seeds_occur_earlier_elsewhere(spark, monkeypatch, hot):
     assert got == {(101, 100, 40, 100)}
 
 
+def test_recall_of_passages_with_many_edits(spark):
+    rnd, docs = random.Random(41), {}
+    other = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+    cases = [(n, every) for n, every in ((60, 6), (60, 7), (56, 8), (80, 7), (70, None)) for _ in range(40)]
+    for i, (n, every) in enumerate(cases):
+        words = words_of(rnd, n)
+        places = range(every - 1, n - 1, every) if every else rnd.sample(range(1, n - 1), n * 15 // 100)
+        copy = list(words)
+        for at in places:
+            copy[at] = f"y{rnd.randrange(10**9)}"
+        docs[2 * i], docs[2 * i + 1] = other(30) + words + other(30), other(40) + copy + other(20)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = {(r["doc_id"], r["partner_id"]) for r in substring.repeated_passages(df).collect()}
+    by_case = {}
+    for i, case in enumerate(cases):
+        by_case.setdefault(case, []).append((2 * i + 1, 2 * i) in found)
+    recall = {case: sum(hits) / len(hits) for case, hits in by_case.items()}
+    print(recall)
+    assert min(recall.values()) >= 0.95
+
+
 def test_passages_of_odd_documents(spark):
     docs = documents(spark).unionByName(documents(spark).where("doc_id = 4").withColumn("doc_id", F.lit(11).cast("long")))
     got = substring.repeated_passages(docs).collect()
