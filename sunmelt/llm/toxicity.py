@@ -3,8 +3,9 @@
 score = sigmoid(bias + sum of weights + sum over pairs of terms of <v_i, v_j>), over the
 distinct terms of the whole text, so that two terms can count together what neither counts
 alone. Terms are hashed to ``BUCKETS``; those whose texts are labelled 1 clearly more or less
-often than others take part (at most ``TERMS``, the clearest), the rest count nothing. So a
-long text does not add up chance, and the model has a bounded size.
+often than others take part (at most ``TERMS``, the clearest), and so do those of pairs whose
+texts are, other than their single terms explain (at most ``TERMS`` more). The rest count
+nothing. So a long text does not add up chance, and the model has a bounded size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BUCKETS = 1 << BITS
 TERMS = 2_048
 MIN_TEXTS = 8  # training texts that a term must occur in
 MIN_ODD = 5.0  # deviations from the expected share of ones: chance in a million buckets
+MIN_PAIR = 20.0  # of a pair, texts times divergence of the share of ones: exp(-20) by chance at most
 FACTORS = 4
 MAX_DOCS = 20_000  # expected number of training texts at most
 EPOCHS = 60
@@ -125,6 +127,56 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
     return bias, weights, factors
 
 
+def pair_terms(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Buckets of pairs whose share of ones is neither that of one term nor of both added up.
+
+    ``flat`` are the buckets of all texts, ``sizes`` their number in each. One of a pair is
+    among the ``TERMS`` terms of oddest share, clear or not; the other is any term. Both occur
+    together in ``MIN_TEXTS`` texts. The clearest pairs choose first.
+    """
+    often = np.bincount(flat, minlength=BUCKETS) >= MIN_TEXTS
+    buckets = np.flatnonzero(often)
+    if not len(buckets):
+        return np.zeros(0, np.int64)
+    keep = often[flat]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[keep]
+    codes = (np.cumsum(often, dtype=np.int32) - 1)[flat[keep]]
+    count, prior = np.bincount(codes, minlength=len(buckets)), labels.mean()
+    share = np.bincount(codes, weights=labels[owner], minlength=len(buckets)) / count
+    odd = np.abs(share - prior) * np.sqrt(count)
+    anchors = np.lexsort((buckets, -odd))[:TERMS]
+    share = (share * count + prior) / (count + 1)  # no share is 0 or 1
+    logit = np.log(share / (1 - share))
+    ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    by_term = owner[np.argsort(codes, kind="stable")]
+    firsts = np.r_[0, np.cumsum(count)]
+    found = []
+    for a in anchors:
+        texts = by_term[firsts[a] : firsts[a + 1]]
+        words = ends[texts + 1] - ends[texts]
+        at = np.concatenate([codes[ends[t] : ends[t + 1]] for t in texts])
+        both = np.bincount(at, minlength=len(buckets))
+        near = np.flatnonzero(both >= MIN_TEXTS)
+        near = near[near != a]
+        n = both[near]
+        seen = np.bincount(at, weights=np.repeat(labels[texts], words), minlength=len(buckets))[near] / n
+        added = _sigmoid(logit[a] + logit[near] - np.log(prior / (1 - prior)))
+        clear = n * np.min([_divergence(seen, e) for e in (np.full(len(near), share[a]), share[near], added)], axis=0)
+        found += [(-c, buckets[a], buckets[b]) for c, b in zip(clear.tolist(), near.tolist(), strict=True) if c >= MIN_PAIR]
+    chosen: dict[int, None] = {}
+    for _, a, b in sorted(found):
+        if len(chosen) > TERMS - 2:
+            break
+        chosen |= {int(a): None, int(b): None}
+    return np.array(sorted(chosen), dtype=np.int64)
+
+
+def _divergence(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Of a share of ones from another one that is neither 0 nor 1."""
+    part = lambda p, q: p * np.log(np.maximum(p, 1e-300) / q)
+    return part(seen, expected) + part(1 - seen, np.maximum(1 - expected, 1e-300))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", max_docs: int = MAX_DOCS) -> Model:
     """Learn from the texts of about ``max_docs`` rows of ``labels`` (doc_id and ``label``).
 
@@ -149,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
     if not ones or not zeros:
         return Model(np.zeros(0, np.int64), 40.0 if ones else -40.0, np.zeros(0), np.zeros((0, FACTORS)))
-    found = rows.select("label", "text").mapInArrow(hashed, "label int, buckets array<int>")
+    found = cut_lineage(rows.select("label", "text").mapInArrow(hashed, "label int, buckets array<int>"))
     all_ = F.count(F.lit(1))
     prior = ones / (ones + zeros)
     # How many deviations the share of ones lies from its expected value.
@@ -160,11 +212,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
         .orderBy(F.desc("z"), "bucket").limit(TERMS)
     )
     buckets = np.sort(np.array([r[0] for r in clear.select("bucket").collect()], dtype=np.int64))
-    kept = F.array().cast("array<int>") if not len(buckets) else F.array_intersect("buckets", F.lit(buckets.astype(np.int32)))
-    sample = found.select("label", kept.alias("buckets")).toPandas()  # about max_docs rows of TERMS numbers at most
-    sets = [np.searchsorted(buckets, np.sort(np.asarray(b, dtype=np.int64))) for b in sample["buckets"]]
-    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), int(sample["label"].iloc[i])))
-    labels = sample["label"].to_numpy(dtype=float)
+    sample = found.toArrow()  # about max_docs rows of distinct terms
+    lists = sample.column("buckets").combine_chunks()
+    flat, sizes, labels = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), sample.column("label").to_numpy().astype(float)
+    buckets = np.union1d(buckets, pair_terms(flat, sizes, labels))
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[buckets] = np.arange(len(buckets))
+    at, ends = place[flat], np.r_[0, np.cumsum(sizes)]
+    sets = [known[known >= 0].astype(np.int64) for known in (at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+    order = sorted(range(len(sets)), key=lambda i: (sets[i].tobytes(), labels[i]))
     return Model(buckets, *train([sets[i] for i in order], labels[order], len(buckets)))
 
 

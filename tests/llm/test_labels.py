@@ -55,6 +55,20 @@ def test_factors_learn_a_pair_that_neither_term_shows(spark):
     assert both > 0.9 and max(one, other, neither) < 0.2
 
 
+def test_a_pair_whose_single_words_are_not_clearly_off_is_learned(spark):
+    rnd, rows = random.Random(5), []
+    for i in range(8000):
+        words = {f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(30)}
+        # 2 % toxic: other insults, and 12 texts with both words; each word in 200 texts.
+        pair = ["mild", "group"] if i < 12 else ["mild"] if i < 200 else ["group"] if i < 388 else []
+        toxic = i < 12 or 1000 <= i < 1140
+        rows.append((i, " ".join([*words, *pair, *(["insult"] if 1000 <= i < 1140 else [])]), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df, df)
+    both, mild, group, insult, neither = model.score(["some mild group", "some mild", "some group", "some insult", "some"])
+    assert min(both, insult) > 0.8 and max(mild, group, neither) < 0.2
+
+
 def test_toxicity_of_odd_documents(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(0, 1), (1, 0), (4, None), (5, 7), (None, 1), (99, 1)], "doc_id long, label int")
