@@ -144,9 +144,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 
 def known_language(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose text has no language; a null ``lang`` takes the predicted one."""
+    """``docs`` without the rows whose text has no language; a null ``lang`` takes the predicted one.
+
+    A model that knows no language tells only texts without letters: others stay, and a null
+    ``lang`` stays null.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     renamed = dict(zip(docs.columns, names, strict=True))
+    if not model.languages:
+        # Any model of one language calls a text without letters unknown, and no other one.
+        model = Model([""], np.zeros((1, BUCKETS)))
     found = identify(docs.toDF(*names), model, renamed[text], tuple(names)).where(F.col("lang_pred") != UNKNOWN)
-    filled = found.withColumn(renamed[lang], F.coalesce(F.col(renamed[lang]), F.col("lang_pred")))
+    filled = found.withColumn(renamed[lang], F.coalesce(F.col(renamed[lang]), F.nullif("lang_pred", F.lit(""))))
     return filled.select(*names).toDF(*docs.columns)

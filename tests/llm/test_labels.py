@@ -33,6 +33,13 @@ def test_language_of_odd_documents(spark):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def test_without_any_known_language_only_texts_without_letters_go(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.known_language(docs, langid.fit(docs))
+    assert kept.columns == docs.columns and kept.where("lang is not null").count() == 0
+    assert {r["doc_id"] for r in kept.collect()} == {0, 4, 5, 6, 8, None}
+
+
 def test_toxicity_of_held_out_documents(spark):
     got = queries.op8_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = duckdb.connect().execute("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").df()
