@@ -664,7 +664,10 @@ def written_materials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fusion_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hourly climate from the grid, scored materials, and the best material per season."""
+    """Hourly climate from the grid, scored materials, and the best material per season.
+
+    The catalogue is filled by rules and fallbacks only: the chained forests are left out.
+    """
     hourly = written_table(
         climate.climate_hourly(weather_grid(spark, sf), site_dim(spark), turbidity(spark))
     )
@@ -690,7 +693,7 @@ def fused_hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fused_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole path: grid to hourly climate, best materials, daily model table."""
+    """Grid to hourly climate, best materials, daily model table; without the chained forests."""
     hourly, catalogue, chosen = fusion_inputs(spark, sf)
     return round_all(fusion.daily_from_climate(hourly, catalogue, chosen, site_dim(spark)), 4)
 
