@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, lattice, media, mixing, pii, simhash, substring, token_store, toxicity
+from sunmelt.llm import bpe, langid, lattice, media, merkle, mixing, oracle, pii, simhash, substring, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -102,6 +102,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    forged = [c if i != 3 else F.col("n_chars").cast("decimal(20,0)") + F.lit(1).cast("decimal(1,0)") for i, c in enumerate(columns)]
+    tampered = fold("doc_id", 7) == 0
+    leaves = written_table(docs.select("doc_id", "lang", merkle.leaf(*columns).alias("leaf"), F.when(tampered, merkle.leaf(*forged)).alias("forged")))
+    proofs = merkle.manifest(leaves, ["doc_id"])
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("forged", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -114,8 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
         "op10_pii": op10_pii,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
