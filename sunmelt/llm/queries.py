@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, lattice, media, merkle, mixing, oracle, pii, simhash, substring, token_store, toxicity
+from sunmelt.llm import bpe, langid, lattice, media, merkle, mixing, oracle, pii, quality, simhash, substring, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -102,6 +102,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return quality.score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -128,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_media": op9_media,
         "op10_pii": op10_pii,
+        "op11_quality": op11_quality,
         "op13_merkle": op13_merkle,
     }
 
