@@ -91,7 +91,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     held = [f"_keep{i}" for i in range(len(keep))]
-    solid = lambda c, at: F.filter(F.split(c, at), lambda w: w != "")
+    solid = lambda c, at: F.filter(F.split(c, at), lambda w: w.rlike(r"[^\x20\x09]"))
     df = docs.select(*kept, whole.alias("_text"))
     df = df.select(*held, "_text", solid(F.col("_text"), r"[\x20\x09-\x0D]+").alias("_words"), solid(F.col("_text"), r"[\x0A-\x0D]+").alias("_lines"))
     df = df.withColumns(_parts())
