@@ -62,5 +62,38 @@ def _merkle() -> str:
     FROM leaves l JOIN halfway w ON w.id = l.id JOIN ends e ON e.id = l.id"""
 
 
+def _phrases() -> str:
+    return r"""WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), split AS (
+        SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+    ), occurrences AS (
+        SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM split, range(1, 5) AS sizes(k)
+    ), counts AS MATERIALIZED (
+        SELECT lang, phrase, string_split(phrase, ' ') AS p, len(string_split(phrase, ' ')) AS k, f
+        FROM (SELECT lang, phrase, count(*) AS f FROM occurrences GROUP BY ALL HAVING count(*) >= 30)
+    ), totals AS (
+        SELECT lang, sum(len(w))::bigint AS n FROM split GROUP BY lang
+    ), candidates AS (
+        SELECT lang, k, phrase, p, f AS a FROM counts WHERE k > 1
+    ), cuts AS (
+        SELECT c.lang, c.phrase, c.a, i.cut, l.f AS l, r.f AS r, (2000000::hugeint * c.a) // (l.f + r.f) AS score
+        FROM candidates c, range(1, 4) AS i(cut), counts l, counts r
+        WHERE i.cut < c.k AND l.lang = c.lang AND l.k = i.cut AND l.phrase = array_to_string(c.p[1:i.cut], ' ')
+            AND r.lang = c.lang AND r.k = c.k - i.cut AND r.phrase = array_to_string(c.p[i.cut + 1:c.k], ' ')
+    ), lowest AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts) WHERE place = 1
+    ), inside AS (
+        SELECT c.lang, array_to_string(c.p[b.at_word:b.at_word + s.size - 1], ' ') AS phrase, max(c.a) AS longer
+        FROM candidates c, range(2, 4) AS s(size), range(1, 4) AS b(at_word) WHERE s.size < c.k AND b.at_word + s.size - 1 <= c.k GROUP BY ALL
+    ), ranked AS (
+        SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, t.n, c.score::bigint AS score
+        FROM lowest c JOIN totals t ON t.lang = c.lang LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+        WHERE i.longer IS NULL OR 100::hugeint * i.longer < 80::hugeint * c.a
+    )
+    SELECT * FROM ranked WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle": _merkle()}
+    return {"op12_phrases": _phrases(), "op13_merkle": _merkle()}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunmelt.llm import bpe, langid, lattice, media, merkle, mixing, oracle, pii, quality, simhash, substring, token_store, toxicity
+from sunmelt.llm import bpe, langid, lattice, media, merkle, mixing, oracle, phrases, pii, quality, simhash, substring, token_store, toxicity
 from sunmelt.llm.common import fold, table
 from sunmelt.runtime import attach, checkpoint_dir, written_table
 
@@ -111,6 +111,10 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", predicted)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -138,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media": op9_media,
         "op10_pii": op10_pii,
         "op11_quality": op11_quality,
+        "op12_phrases": op12_phrases,
         "op13_merkle": op13_merkle,
     }
 
