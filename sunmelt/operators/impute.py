@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunmelt.functions.text import text_or
+from sunmelt.operators import forest
 from sunmelt.operators.columns import nan_to_null, present
 from sunmelt.operators.filters import fill_when
 from sunmelt.runtime import delete_table, written_table
@@ -89,8 +90,9 @@ def chained_impute(
     seed: int = SEED,
     tolerance: float = TOLERANCE,
     min_rows: int = MIN_ROWS,
+    local_rows: int | None = None,
 ) -> DataFrame:
-    """Fill missing cells by chained equations with random forests (``pyspark.ml``).
+    """Fill missing cells by chained equations with random forests.
 
     Holes start at the column mean. In each round every column with holes, fewest first, is
     modelled on all others from the rows where it was observed, and its holes are
@@ -98,9 +100,12 @@ def chained_impute(
     largest observed value. Observed cells never change. Columns without any value stay
     NULL, and tables under ``min_rows`` rows are returned as they are.
 
-    ``max_depth`` bounds the trees (MLlib allows up to 30). The forests are fitted
-    distributed. What goes through the rounds is a row number, the columns and their hole
-    flags; it is written once a round, and the round before is deleted. Runs jobs when called.
+    ``max_depth`` bounds the trees. What goes through the rounds is a row number, the columns
+    and their hole flags. A round's forests are applied in the jobs that read the table, which
+    is written once a round; the table of the round before is deleted. Nodes of more than
+    ``local_rows`` rows (``forest.LOCAL_ROWS``) are split by a job a level. The same table gives
+    the same fill however it is partitioned, if its nodes are smaller than that and its rows
+    are numbered alike. Runs jobs when called.
     """
     columns = present(df, columns)
     whole = written_table(nan_to_null(df).withColumn("_row", F.monotonically_increasing_id()))
@@ -115,28 +120,31 @@ def chained_impute(
     )
     if rows < min_rows or not holes:
         return whole.drop("_row")
-    stop_at = tolerance * max(facts[f"_x_{c}"] for c in columns)
+    stop_at = float(tolerance * max(facts[f"_x_{c}"] for c in columns))
+    local_rows = local_rows or forest.LOCAL_ROWS
 
-    # "_h_<col>" marks the holes; "_p_<col>" keeps the previous round's values.
+    # "_h_<col>" marks the holes.
     table = whole.select("_row", *columns, *[F.col(c).isNull().alias(f"_h_{c}") for c in holes])
-    table = table.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(facts[f"_m_{c}"])) for c in columns}
-    )
-    done = None
-    for _ in range(rounds):
-        table = table.withColumns({f"_p_{c}": F.col(c) for c in holes})
-        for target in holes:
+    start = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(facts[f"_m_{c}"]))) for c in columns}
+    table = table.withColumns(start)
+    if rows <= local_rows:
+        table = table.coalesce(1)  # counted to be small
+    table = written_table(table)
+    edges = forest.bin_edges(table, columns) if rows > local_rows else {}
+    for turn in range(rounds if len(columns) > 1 else 0):
+        models: list[tuple[str, list[str], list[forest.Tree]]] = []
+        for place, target in enumerate(holes):
             others = [c for c in columns if c != target]
-            if not others:
-                break
-            table = _predict_holes(table, target, others, trees, max_depth, seed)
-        table, before = written_table(table), done
-        moved = table.agg(
-            F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col(f"_p_{c}")) for c in holes]))
-        ).first()[0]
-        done = table
-        if before is not None:
-            delete_table(before)
+            grown = forest.fit_forest(
+                table, _filler(models, target), others, target, "_known", edges, facts[f"_n_{target}"],
+                float(facts[f"_m_{target}"]), trees, max_depth, seed + 1_000 * turn + place, local_rows,
+            )
+            if grown:
+                models.append((target, others, grown))
+        table, before = written_table(_filled(table, models)), table
+        moved = table.agg(F.max("_moved")).first()[0]
+        delete_table(before)
+        table = table.drop("_moved")
         if moved < stop_at:
             break
     filled = table.select("_row", *[F.col(c).alias(f"_f_{c}") for c in holes])
@@ -144,15 +152,38 @@ def chained_impute(
     return whole.join(filled, "_row").withColumns(value).select(*df.columns)
 
 
-def _predict_holes(
-    table: DataFrame, target: str, others: Sequence[str], trees: int, max_depth: int, seed: int
-) -> DataFrame:
-    vectors = VectorAssembler(inputCols=list(others), outputCol="_features").transform(table)
-    forest = RandomForestRegressor(
-        featuresCol="_features", labelCol=target, predictionCol="_guess", numTrees=trees,
-        maxDepth=max_depth, featureSubsetStrategy="all", seed=seed,
-    )
-    model = forest.fit(vectors.where(~F.col(f"_h_{target}")).select("_features", target))
-    filled = model.transform(vectors)
-    filled = fill_when(filled, target, F.col(f"_h_{target}"), F.col("_guess"))
-    return filled.select(*table.columns)
+def _filler(models: Sequence[tuple[str, list[str], list[forest.Tree]]], target: str | None = None) -> forest.Reader:
+    """Reads a batch and predicts the holes of the modelled columns, one after the other;
+    ``_known`` are the rows where ``target`` was observed."""
+    models = list(models)
+
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        values = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        for name, others, trees in models:
+            at = np.flatnonzero(values[f"_h_{name}"])
+            if len(at):
+                values[name] = values[name].copy()
+                values[name][at] = forest.predict(trees, np.stack([values[c][at] for c in others], axis=1))
+        if target is not None:
+            values["_known"] = ~values[f"_h_{target}"].astype(bool)
+        return values
+
+    return read
+
+
+def _filled(table: DataFrame, models: Sequence[tuple[str, list[str], list[forest.Tree]]]) -> DataFrame:
+    """The table after a round; ``_moved`` is the farthest that a cell of the row moved."""
+    read, names = _filler(models), table.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = read(batch)
+            moved = np.zeros(batch.num_rows)
+            for name, _, _ in models:
+                moved = np.maximum(moved, np.abs(values[name] - batch.column(name).to_numpy()))
+            columns = [pa.array(values[n]) if n in changed else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(moved)], names=[*names, "_moved"])
+
+    changed = {name for name, _, _ in models}
+    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInArrow(run, f"{layout}, _moved double")
