@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ INSIDE = 80  # percent of a phrase's occurrences that may lie inside a longer on
 BEST = 2_000  # phrases of a language
 SCALE = 2_000_000
 SLICE = 1 << 20  # bytes of text that share a dictionary
-FILTER = 1 << 21  # occurrences that a task collects before it writes filters
-BLOCK = 1 << 20  # occurrences of a block of the merged filter
+FILTER = 1 << 19  # occurrences, of phrases of one length, that a task collects before it writes a filter
+BLOCK = 1 << 19  # words of the corpus for each block of the merged filter
 PARTS = 64  # parts of a language's candidates, each sorted by itself
 
 BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
@@ -51,22 +52,50 @@ def _mask(bits: int) -> np.uint64:
     return np.uint64((1 << bits) - 1)
 
 
-def permute(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A permutation of pairs of ``bits``-bit numbers: rounds that change one half by the other."""
+def permute(first: np.ndarray, second: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A permutation of pairs of numbers of so many bits: rounds that change one half by the other."""
     for key in KEYS:
-        first, second = second, first ^ (_mixed(second + key) & _mask(bits))
+        first = first ^ (_mixed(second + key) & _mask(bits[0]))
+        second = second ^ (_mixed(first ^ key) & _mask(bits[1]))
     return first, second
 
 
-def restore(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def restore(first: np.ndarray, second: np.ndarray, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     for key in reversed(KEYS):
-        first, second = second ^ (_mixed(first + key) & _mask(bits)), first
+        second = second ^ (_mixed(first ^ key) & _mask(bits[1]))
+        first = first ^ (_mixed(second + key) & _mask(bits[0]))
     return first, second
 
 
+class Layout:
+    """How ``n`` word numbers of ``word_bits`` bits are packed: in one number if it fits, else in two."""
+
+    def __init__(self, n: int, word_bits: int) -> None:
+        self.n, self.word_bits = n, word_bits
+        self.halves = (-(-n // 2) * word_bits, n // 2 * word_bits)
+        self.whole = sum(self.halves) <= 64
+        self.bits = (sum(self.halves), 0) if self.whole else self.halves
+
+    def encode(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        shift, half = np.uint64(self.word_bits), -(-self.n // 2)
+        join = lambda part: reduce(lambda a, w: (a << shift) | w, part)
+        first, second = permute(join(words[:half]), join(words[half:]), self.halves)
+        if self.whole:
+            return (first << np.uint64(self.halves[1])) | second, np.zeros(len(first), np.uint64)
+        return first, second
+
+    def decode(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if self.whole:
+            first, second = first >> np.uint64(self.halves[1]), first & _mask(self.halves[1])
+        first, second = restore(first, second, self.halves)
+        part = lambda v, k: [(v >> np.uint64(self.word_bits * i)) & _mask(self.word_bits) for i in reversed(range(k))]
+        return np.stack([*part(first, -(-self.n // 2)), *part(second, self.n // 2)], axis=1).astype(np.int64)
+
+
 @dataclass
 class QuotientFilter:
-    """Counters of distinct pairs of ``bits``-bit numbers, in order of the pair.
+    """Counters of distinct pairs of numbers of so many ``bits`` (none for the second one if
+    the first holds all), in order of the pair.
 
     Stored, the first number is split into a quotient of about as many bits as there are
     counters and the rest. Quotients are a bit string (a one for each counter, a zero after
@@ -74,15 +103,15 @@ class QuotientFilter:
     second; a count is one byte, and those above 254 follow in full.
     """
 
-    bits: int
+    bits: tuple[int, int]
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray
 
     @classmethod
-    def of(cls, bits: int, first: np.ndarray, second: np.ndarray, counts: np.ndarray | None = None) -> QuotientFilter:
+    def of(cls, bits: tuple[int, int], first: np.ndarray, second: np.ndarray, counts: np.ndarray | None = None) -> QuotientFilter:
         """From pairs in any order that may repeat; sorted runs are merged."""
-        order = np.lexsort((second, first))
+        order = np.lexsort((second, first)) if bits[1] else np.argsort(first, kind="stable")
         first, second = first[order], second[order]
         starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, np.int64)
         if counts is None:
@@ -101,7 +130,7 @@ class QuotientFilter:
 
     def pack(self, shared: int) -> bytes:
         """Bytes of a filter whose first numbers share their first ``shared`` bits (not stored)."""
-        n, free = len(self.first), self.bits - shared
+        n, free = len(self.first), self.bits[0] - shared
         q = min(free, max(n.bit_length() - 1, 0))
         first = self.first & _mask(free)
         quotient = (first >> np.uint64(free - q)).astype(np.int64) if q else np.zeros(n, np.int64)
@@ -110,20 +139,20 @@ class QuotientFilter:
         large = self.counts >= 255
         return b"".join([
             np.array([n], dtype="<u4").tobytes(), np.packbits(runs).tobytes(),
-            _bytes(first & _mask(free - q), free - q), _bytes(self.second, self.bits),
+            _bytes(first & _mask(free - q), free - q), _bytes(self.second, self.bits[1]),
             np.where(large, 255, self.counts).astype(np.uint8).tobytes(), self.counts[large].astype("<i8").tobytes(),
         ])
 
     @classmethod
-    def unpack(cls, data: bytes, bits: int, shared: int, block: int) -> QuotientFilter:
-        n, free = int(np.frombuffer(data, "<u4", 1)[0]), bits - shared
+    def unpack(cls, data: bytes, bits: tuple[int, int], shared: int, block: int) -> QuotientFilter:
+        n, free = int(np.frombuffer(data, "<u4", 1)[0]), bits[0] - shared
         q = min(free, max(n.bit_length() - 1, 0))
         at, size = 4, -(-(n + (1 << q)) // 8)
         runs = np.unpackbits(np.frombuffer(data, np.uint8, size, at))[: n + (1 << q)]
         quotient = (np.flatnonzero(runs) - np.arange(n)).astype(np.uint64)
         at += size
         rest, at = _numbers(data, n, free - q, at)
-        second, at = _numbers(data, n, bits, at)
+        second, at = _numbers(data, n, bits[1], at)
         counts = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
         large = counts == 255
         counts[large] = np.frombuffer(data, "<i8", int(large.sum()), at + n)
@@ -145,17 +174,13 @@ def _numbers(data: bytes, n: int, bits: int, at: int) -> tuple[np.ndarray, int]:
     return wide.reshape(-1).view("<u8"), at + n * width
 
 
-def grams(ids: np.ndarray, word_bits: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of two to ``longest`` (at most four) numbers without a 0 in them, packed into two halves."""
-    shift, known = np.uint64(word_bits), ids != 0
-    firsts, seconds, run = [], [], known
-    for n in range(2, longest + 1):
-        run = run[:-1] & known[n - 1 :] if len(run) else run
-        at = np.flatnonzero(run)
-        word = [ids[at + i] if i < n else np.zeros(len(at), np.uint64) for i in range(4)]
-        firsts.append((word[0] << shift) | word[1])
-        seconds.append((word[2] << shift) | word[3])
-    return np.concatenate(firsts), np.concatenate(seconds)
+def grams(ids: np.ndarray, n: int) -> list[np.ndarray]:
+    """The first, second, ... of all runs of ``n`` numbers without a 0 in them."""
+    known, last = ids != 0, len(ids) - n + 1
+    if last < 1:
+        return [ids[:0]] * n
+    at = np.flatnonzero(np.logical_and.reduce([known[i : i + last] for i in range(n)]))
+    return [ids[at + i] for i in range(n)]
 
 
 def _chunks(blob: bytes, limit: int) -> Iterator[bytes]:
@@ -173,7 +198,7 @@ def _chunks(blob: bytes, limit: int) -> Iterator[bytes]:
 
 def slices(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Texts as slices of one language: ``words`` and their ``counts``, ``n`` words, and
-    ``codes``, 32-bit places in ``words`` from 1, with 0 for the end of a piece."""
+    ``codes``: numbers of ``width`` bytes, places in ``words`` from 1, 0 for the end of a piece."""
 
     def encode(name: str, blob: bytes, number: int) -> dict | None:
         tokens = pc.split_pattern(pa.array([blob.replace(b"\n", b" \n ")], pa.large_binary()), pattern=b" ").flatten()
@@ -191,15 +216,15 @@ def slices(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         if not real:
             return None
         counts = np.bincount(codes, minlength=len(real) + 1)[1:]
-        context = TaskContext.get()
+        context, width = TaskContext.get(), 2 if len(real) < 1 << 16 else 4
         return {
             "lang": name, "slice": f"{context.partitionId() if context else 0}-{number}", "n": int(counts.sum()),
-            "words": real, "counts": counts.tolist(), "codes": codes.astype("<i4").tobytes(),
+            "words": real, "counts": counts.tolist(), "width": width, "codes": codes.astype(f"<u{width}").tobytes(),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, kept, size = 0, {}, 0
-        layout = pa.schema([("lang", pa.string()), ("slice", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())])
+        layout = pa.schema([("lang", pa.string()), ("slice", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("width", pa.int32()), ("codes", pa.binary())])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, kept, size
@@ -222,7 +247,7 @@ def slices(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         yield from flush()
 
     chosen = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "lang string, slice string, n long, words array<binary>, counts array<int>, codes binary")
+    return chosen.mapInArrow(run, "lang string, slice string, n long, words array<binary>, counts array<int>, width int, codes binary")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -237,53 +262,52 @@ def _numbered(cut: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = cut.select("lang", "slice", F.posexplode("words").alias("place", "word"))
     known = attach(words, dictionary.select("lang", "word", "id"), ["lang", "word"], "inner", spread_by=["slice"])
     ids = known.groupBy("slice", "lang").agg(F.collect_list(F.struct((F.col("place") + 1).alias("place"), "id")).alias("ids"))
-    return cut.select("slice", "lang", "codes").join(ids, ["slice", "lang"])
+    return cut.select("slice", "lang", "width", "codes").join(ids, ["slice", "lang"])
 
 
 def counters(numbered: DataFrame, words: int, occurrences: int, least: int, longest: int = LONGEST) -> DataFrame:
     """``ids`` (word numbers) and ``f`` of all phrases of two words or more with ``least`` occurrences."""
-    word_bits = max(words.bit_length(), 1)
-    bits = 2 * word_bits
-    shared = min(bits, max(0, (occurrences * (longest - 1) // BLOCK).bit_length()))
+    layouts = {n: Layout(n, max(words.bit_length(), 1)) for n in range(2, longest + 1)}
+    shared = min(layouts[2].bits[0], max(0, (occurrences // BLOCK).bit_length()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in layouts}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
+        def flush(n: int) -> Iterator[pa.RecordBatch]:
+            if not held[n]:
                 return
-            found = QuotientFilter.of(bits, *permute(*(np.concatenate(h) for h in zip(*held)), bits))
-            held.clear()
-            of = (found.first >> np.uint64(bits - shared)).astype(np.int64) if shared else np.zeros(len(found.first), np.int64)
+            bits = layouts[n].bits
+            found = QuotientFilter.of(bits, *(np.concatenate(h) for h in zip(*held[n])))
+            held[n].clear()
+            of = (found.first >> np.uint64(bits[0] - shared)).astype(np.int64) if shared else np.zeros(len(found.first), np.int64)
             blocks, starts = np.unique(of, return_index=True)
             ends = np.r_[starts[1:], len(of)]
             packed = [found.block(a, b).pack(shared) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(packed, pa.binary())], names=["block", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), n, np.int32)), pa.array(blocks), pa.array(packed, pa.binary())], names=["n", "block", "packed"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<i4")
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), f"<u{batch.column('width')[i].as_py()}")
                 ids = batch.column("ids")[i].values
                 number = np.zeros(int(codes.max()) + 1, dtype=np.uint64)
                 number[ids.field("place").to_numpy()] = ids.field("id").to_numpy().astype(np.uint64)
-                held.append(grams(number[codes], word_bits, longest))
-                if sum(len(h[0]) for h in held) >= FILTER:
-                    yield from flush()
-        yield from flush()
+                for n, layout in layouts.items():
+                    held[n].append(layout.encode(grams(number[codes], n)))
+                    if sum(len(h[0]) for h in held[n]) >= FILTER:
+                        yield from flush(n)
+        for n in layouts:
+            yield from flush(n)
 
     def merge(filters: pa.Table) -> pa.Table:
-        block = filters.column("block")[0].as_py()
-        parts = [QuotientFilter.unpack(p.as_py(), bits, shared, block) for p in filters.column("packed")]
+        block, layout = filters.column("block")[0].as_py(), layouts[filters.column("n")[0].as_py()]
+        parts = [QuotientFilter.unpack(p.as_py(), layout.bits, shared, block) for p in filters.column("packed")]
         found = QuotientFilter.merged(parts)
         often = found.counts >= least
-        first, second = restore(found.first[often], found.second[often], bits)
-        halves = [h for pair in (first, second) for h in (pair >> np.uint64(word_bits), pair & _mask(word_bits))]
-        table = np.stack(halves, axis=1).astype(np.int64)
-        lists = [row[row > 0].tolist() for row in table]
+        lists = layout.decode(found.first[often], found.second[often]).tolist()
         return pa.table({"ids": pa.array(lists, pa.list_(pa.int64())), "f": pa.array(found.counts[often])})
 
-    filled = numbered.select("codes", "ids").mapInArrow(fill, "block long, packed binary")
-    return filled.groupBy("block").applyInArrow(merge, "ids array<bigint>, f bigint")
+    filled = numbered.select("codes", "width", "ids").mapInArrow(fill, "n int, block long, packed binary")
+    return filled.groupBy("n", "block").applyInArrow(merge, "ids array<bigint>, f bigint")
 
 
 def _exact(value: Column) -> Column:
