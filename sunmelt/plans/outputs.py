@@ -27,6 +27,7 @@ from sunmelt.plans.materials import (
     suited_materials,
 )
 from sunmelt.runtime import number_rows, scratch, written_table
+from sunmelt.sources.sinks import replace_parts
 from sunmelt.sources.tables import read_csv, read_grid, write_table
 
 
@@ -39,27 +40,35 @@ def with_material_id(materials: DataFrame, name: str = "material_id") -> DataFra
 def build_tables(
     grid: DataFrame, site_dim: DataFrame, turbidity: DataFrame, materials_raw: DataFrame,
     out: str, fmt: str = "parquet", impute_rounds: int | None = None,
-    part: Mapping[str, Sequence] | None = None,
+    part: Mapping[str, Sequence] | None = None, keep_others: bool = False,
 ) -> None:
     """Write climate, materials, label map, fused, label classes, daily table and profiles.
 
+    With ``keep_others`` a rerun replaces the cities and years of the hourly tables that its
+    grid has, and leaves the others' files as they are; what is not hourly is then made from
+    the whole stored climate. The tables must have been written that way from the start.
+
     ``part`` names what to keep of the grid (box, years, months, days, hours). A grid without
     ``site`` is assigned to the sites whose box holds its cells. Hourly tables have folders
     by city and year, the daily one by city. Each table is written before the next one reads
     it, so no stage is computed twice; what is written in between is deleted at the end.
     """
     with scratch(grid.sparkSession):
-        _build(grid, site_dim, turbidity, materials_raw, out, fmt, impute_rounds, part or {})
+        _build(grid, site_dim, turbidity, materials_raw, out, fmt, impute_rounds, part or {}, keep_others)
 
 
 def _build(
     grid: DataFrame, site_dim: DataFrame, turbidity: DataFrame, materials_raw: DataFrame,
-    out: str, fmt: str, impute_rounds: int | None, part: Mapping[str, Sequence],
+    out: str, fmt: str, impute_rounds: int | None, part: Mapping[str, Sequence], keep_others: bool,
 ) -> None:
     def save(
         df: DataFrame, name: str, by: Sequence[str] = (), sort: Sequence[str] = ()
     ) -> DataFrame:
         path = f"{out}/{name}"
+        if keep_others and by == folders:
+            replace_parts(df, path, by, fmt=fmt, sort_by=sort)
+            found = df.sparkSession.read.options(header=True, quote='"', escape='"').schema(df.schema).format(fmt).load(path)
+            return found.select(*df.columns)
         if fmt != "parquet":
             df = written_table(df)
             write_table(df, path, fmt, by, sort)
@@ -98,6 +107,7 @@ def main() -> None:
     for name in ("grid", "sites", "turbidity", "materials", "out"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    parser.add_argument("--keep-others", action="store_true")
     parser.add_argument("--box", nargs=4, type=float, metavar=("NORTH", "WEST", "SOUTH", "EAST"))
     for name in ("years", "months", "days", "hours"):
         parser.add_argument(f"--{name}", nargs="+", type=int)
@@ -110,6 +120,7 @@ def main() -> None:
         read_csv(spark, args.materials),
         args.out,
         args.format,
+        keep_others=args.keep_others,
         part={k: getattr(args, k) for k in ("box", "years", "months", "days", "hours") if getattr(args, k)},
     )
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmelt.operators.columns import nan_to_null
+from sunmelt.sources.folders import Folders, folder_values
 
 # Cell texts that mean "missing".
 MISSING_TEXTS = (
@@ -25,35 +27,60 @@ def read_csv(
     """Header CSV with missing-value texts as NULL.
 
     Files may differ in the order and set of their columns: they are read by header and
-    united by name. Lines with more fields than the header are skipped, shorter ones are
-    padded with NULL. Without a schema all columns are text (except ``ts_cols``); with one,
-    its columns and ``ts_cols`` are kept and cells that do not parse become NULL.
-    ``multi_line`` allows line breaks inside quotes; such files cannot be split.
+    united by name. Folders named ``column=value`` below a path give columns too, also over a
+    column of that name in the files. Lines with more fields than the header are skipped,
+    shorter ones are padded with NULL. Without a schema all columns are text (except
+    ``ts_cols``); with one, its columns and ``ts_cols`` are kept and cells that do not parse
+    become NULL. ``multi_line`` allows line breaks inside quotes; such files cannot be split.
+
+    To find the headers, every file is opened and its first line read; data lines are read once.
     """
     options = {"header": True, "encoding": encoding, "multiLine": multi_line, "quote": '"', "escape": '"'}
-    paths = [path] if isinstance(path, str) else list(path)
-    groups = _by_header(spark, paths)
-    tables = [_read_alike(spark, options, group, schema, ts_cols) for group in groups or [paths]]
+    tables = []
+    for root in [path] if isinstance(path, str) else list(path):
+        groups = _by_header(spark, root, encoding)
+        base = {"basePath": _base(spark, root)}
+        tables += [_read_alike(spark, options | base, files, folders, schema, ts_cols) for folders, files in groups]
+        if not groups:
+            tables.append(_read_alike(spark, options, [root], (), schema, ts_cols))
     out = tables[0]
     for table in tables[1:]:
         out = out.unionByName(table, allowMissingColumns=True)
     return out
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """Files by their first line: one row a file, and one group a header."""
-    lines = spark.read.text(paths).where("_metadata.file_block_start = 0")
-    first = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.first("value").alias("header"))
-    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [r["files"] for r in headers.orderBy("header").collect()]
+def _base(spark: SparkSession, root: str) -> str:
+    """The folder below which folder names are columns."""
+    parts = root.rstrip("/").split("/")
+    plain = next((i for i, part in enumerate(parts) if set(part) & set("*?[{")), len(parts))
+    base = "/".join(parts[:plain])
+    return base if plain < len(parts) or Folders(spark).is_folder(base) else base.rpartition("/")[0]
+
 
+def _by_header(spark: SparkSession, root: str, encoding: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Files and the columns of their folders, one group a header and list of columns."""
+    files = sorted(spark.read.text(root).inputFiles())
+    base = _base(spark, root)
+    below = len([part for part in urlparse(base).path.split("/") if part])
+    groups: dict[tuple, list[str]] = {}
+    for name, header in zip(files, Folders(spark).first_lines([unquote(f) for f in files], encoding)):
+        parts = [part for part in urlparse(name).path.split("/") if part][below:-1]
+        if header is not None:
+            groups.setdefault((header, tuple(folder_values(unquote("/".join(parts))))), []).append(unquote(name))
+    return [(folders, group) for (_, folders), group in sorted(groups.items())]
 
-def _read_alike(spark: SparkSession, options: dict, paths: list[str], schema, ts_cols: Sequence[str]) -> DataFrame:
-    names = spark.read.options(**options).csv(paths).columns
-    layout = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+
+def _read_alike(
+    spark: SparkSession, options: dict, paths: list[str], folders: Sequence[str], schema, ts_cols: Sequence[str]
+) -> DataFrame:
+    alone = {k: v for k, v in options.items() if k != "basePath"}
+    names = spark.read.options(**alone).csv(paths[:1]).columns
+    hidden = [f"_hidden{i}" if n in folders else n for i, n in enumerate(names)]
+    layout = T.StructType([T.StructField(n, T.StringType()) for n in [*hidden, _SURPLUS, *folders]])
     rows = spark.read.options(**options).schema(layout).csv(paths)
     rows = rows.where(F.col(f"`{_SURPLUS}`").isNull()).drop(_SURPLUS)
-    columns = {n: F.when(~F.col(f"`{n}`").isin(*MISSING_TEXTS), F.col(f"`{n}`")) for n in names}
+    columns = {n: F.when(~F.col(f"`{n}`").isin(*MISSING_TEXTS), F.col(f"`{n}`")) for n in names if n not in folders}
+    columns |= {n: F.col(f"`{n}`") for n in folders}
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         for field in wanted:
@@ -88,7 +115,7 @@ def write_table(
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode({"skip": "ignore"}.get(if_exists, if_exists)).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, quote='"', escape='"')  # as read_csv reads it
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

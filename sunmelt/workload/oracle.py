@@ -674,6 +674,12 @@ def oracle_sql() -> dict[str, str]:
         "mice_check": _mice(),
         "csv_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
         "site_sink": "SELECT p_partkey, p_name, p_brand, p_size FROM part",
+        "site_resume": """SELECT o_orderkey, o_totalprice * CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS o_totalprice,
+          o_orderstatus, year(o_orderdate)::INTEGER AS o_year FROM orders""",
+        "year_replace": """SELECT o_orderkey, o_totalprice * CASE WHEN rerun THEN -1 ELSE 1 END AS o_totalprice, o_orderstatus, o_year
+          FROM (SELECT *, year(o_orderdate)::INTEGER AS o_year, year(o_orderdate) = 1995 AND o_orderstatus <> 'O'
+            AND max(o_orderkey % 2 = 0) OVER (PARTITION BY o_orderstatus, year(o_orderdate)) AS rerun FROM orders)
+          WHERE NOT rerun OR o_orderkey % 2 = 0""",
         "grid_scan": """SELECT l_linestatus AS site, l_shipdate AS "timestamp", l_suppkey AS latitude, l_linenumber AS longitude,
           l_quantity AS t2m, nullif(l_discount, 0) AS tcc FROM lineitem""",
         "dedupe_drop": """SELECT event_id, event_type AS city, value AS "GHI" FROM events""",

@@ -24,6 +24,7 @@ from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion
 from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers
 from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
+from sunmelt.sources import sinks
 from sunmelt.sources.tables import read_csv, read_grid, write_table
 
 # The two sites (see SITE_DIM) and a plain turbidity year for each.
@@ -703,11 +704,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders written as CSV in two folders whose headers differ in order, read as one table."""
+    """Orders written as CSV in two folders whose headers differ, one with a folder a status, read as one table."""
     path = shared_path(spark, "csv")
     orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     odd = F.col("o_orderkey") % 2 == 1
-    write_table(orders.where(odd), f"{path}/odd", "csv")
+    write_table(orders.where(odd), f"{path}/odd", "csv", ["o_orderstatus"])
     write_table(orders.where(~odd).select(*reversed(orders.columns)), f"{path}/even", "csv")
     layout = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
     back = read_csv(spark, [f"{path}/odd", f"{path}/even"], layout, ts_cols=["o_orderdate"])
@@ -723,6 +724,33 @@ def site_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(parts.schema).parquet(path).select(*parts.columns)
 
 
+def sited_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("o_year"))
+
+
+def site_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Statuses F and O are there and stay; P was half-written and is written again, with what a later run has."""
+    path, folders = shared_path(spark, "resume"), ["o_orderstatus", "o_year"]
+    orders = sited_orders(spark, sf)
+    status = F.col("o_orderstatus")
+    sinks.write_missing(orders.where(status != "P"), path, folders, sort_by=["o_orderkey"])
+    half = orders.where((status == "P") & (F.col("o_orderkey") % 2 == 0)).drop("o_orderstatus")
+    write_table(half, f"{path}/o_orderstatus=P", partition_by=["o_year"])
+    sinks.write_missing(orders.withColumn("o_totalprice", F.col("o_totalprice") * 2), path, folders, sort_by=["o_orderkey"])
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
+
+
+def year_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by status and year; a rerun of 1995 replaces that year of the statuses it has rows of."""
+    path, folders = shared_path(spark, "replace"), ["o_orderstatus", "o_year"]
+    orders = sited_orders(spark, sf)
+    sinks.replace_parts(orders, path, folders)
+    held = spark.read.schema(orders.schema).parquet(path)
+    rerun = held.where((F.col("o_year") == 1995) & (F.col("o_orderstatus") != "O") & (F.col("o_orderkey") % 2 == 0))
+    sinks.replace_parts(rerun.withColumn("o_totalprice", -F.col("o_totalprice")), path, folders)
+    return spark.read.schema(orders.schema).parquet(path).select(*orders.columns)
+
+
 def grid_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Line items stored as a grid with ``time`` and NaN, read by the grid scan."""
     path = shared_path(spark, "grid")
@@ -752,7 +780,7 @@ def local_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAMES = (
-    "csv_scan", "site_sink", "grid_scan", "dedupe_drop", "local_day",
+    "csv_scan", "site_sink", "site_resume", "year_replace", "grid_scan", "dedupe_drop", "local_day",
     "daily_rollup", "daily_lags", "daily_roll7", "next_day_target", "daily_features",
     "monthly_means", "monthly_index", "season_index", "season_features", "demand_profile",
     "demand_bins", "humidity", "wind", "unit_convert", "solar_geometry", "clear_sky", "diffuse",

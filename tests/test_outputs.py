@@ -68,3 +68,22 @@ def test_job_slices_a_grid_without_sites(spark, inputs, tmp_path):
     outputs.build_tables(grid.drop("site"), *rest, out, impute_rounds=1, part={"years": [2022], "hours": list(range(0, 24, 2))})
     climate = spark.read.parquet(f"{out}/climate_hourly")
     assert climate.count() == 2 * 12 * 6 and {r["year"] for r in climate.select("year").distinct().collect()} == {2022}
+
+
+def test_rerun_of_one_year_leaves_the_other_alone(spark, inputs, tmp_path):
+    grid, *rest = inputs
+    out = str(tmp_path / "out")
+    outputs.build_tables(grid, *rest, out, impute_rounds=1, keep_others=True)
+    stamps = lambda: {
+        os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{out}/climate_hourly") for f in names if "/_" not in d
+    }
+    before = stamps()
+    warmer = grid.withColumn("t2m", grid["t2m"] + 5.0)
+    outputs.build_tables(warmer, *rest, out, impute_rounds=1, part={"years": [2022]}, keep_others=True)
+    after = stamps()
+    assert {f for f in before if "year=2021" in f} == {f for f in before if after.get(f) == before[f]}
+    climate = spark.read.parquet(f"{out}/climate_hourly")
+    assert climate.count() == 2 * 24 * 8
+    means = {r["year"]: r["t"] for r in climate.groupBy("year").agg({"T_amb": "avg"}).withColumnRenamed("avg(T_amb)", "t").collect()}
+    assert means[2022] - means[2021] == pytest.approx(5.0, abs=0.5)
+    assert spark.read.parquet(f"{out}/daily_features").count() == 2 * 8
