@@ -8,13 +8,15 @@ packed and permuted invertibly, the first bits of the result choose a block and
 it, and the rest is kept in full as the remainder, so that a filter is lossless: no two phrases
 share a counter, and the numbers can be read back. A task fills sorted filters, and those of
 all tasks are merged by block. The number of blocks grows with the corpus, and a phrase that
-is everywhere arrives as one counter a task.
+is everywhere arrives as one counter a task. Pairs are counted first; longer phrases with a
+pair that is too rare are left out by a bitmap of fixed size, which spares counters and
+decides nothing.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunmelt.llm.common import by_bytes
-from sunmelt.runtime import attach, checkpoint_dir, number_rows, written_table
+from sunmelt.runtime import attach, checkpoint_dir, delete_table, number_rows, written_table
 
 LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a phrase
@@ -36,6 +38,7 @@ SCALE = 2_000_000
 SLICE = 1 << 20  # bytes of text that share a dictionary
 FILTER = 1 << 19  # occurrences, of phrases of one length, that a task collects before it writes a filter
 BLOCK = 1 << 19  # words of the corpus for each block of the merged filter
+BITMAP = 27  # the bitmap of frequent pairs has 2 ** BITMAP bits
 PARTS = 64  # parts of a language's candidates, each sorted by itself
 
 BREAKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
@@ -174,12 +177,13 @@ def _numbers(data: bytes, n: int, bits: int, at: int) -> tuple[np.ndarray, int]:
     return wide.reshape(-1).view("<u8"), at + n * width
 
 
-def grams(ids: np.ndarray, n: int) -> list[np.ndarray]:
-    """The first, second, ... of all runs of ``n`` numbers without a 0 in them."""
-    known, last = ids != 0, len(ids) - n + 1
+def grams(ids: np.ndarray, follows: np.ndarray, n: int) -> list[np.ndarray]:
+    """The first, second, ... of all runs of ``n`` numbers in which each but the last ``follows``
+    (has a next one that may come after it)."""
+    last = len(ids) - n + 1
     if last < 1:
         return [ids[:0]] * n
-    at = np.flatnonzero(np.logical_and.reduce([known[i : i + last] for i in range(n)]))
+    at = np.flatnonzero(np.logical_and.reduce([follows[i : i + last] for i in range(n - 1)]))
     return [ids[at + i] for i in range(n)]
 
 
@@ -258,17 +262,41 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _numbered(cut: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``codes`` of each slice and ``ids``: (place, number) of its frequent words."""
+    """Each slice's ``ids``: the numbers of its words, 0 for rare words and ends of pieces."""
     words = cut.select("lang", "slice", F.posexplode("words").alias("place", "word"))
     known = attach(words, dictionary.select("lang", "word", "id"), ["lang", "word"], "inner", spread_by=["slice"])
-    ids = known.groupBy("slice", "lang").agg(F.collect_list(F.struct((F.col("place") + 1).alias("place"), "id")).alias("ids"))
-    return cut.select("slice", "lang", "width", "codes").join(ids, ["slice", "lang"])
+    pair = F.shiftleft((F.col("place") + 1).cast("long"), 32).bitwiseOR(F.col("id"))
+    ids = known.groupBy("slice", "lang").agg(F.collect_list(pair).alias("pairs"))
+    small = dictionary_bytes(dictionary.count())
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                codes = np.frombuffer(batch.column("codes")[i].as_py(), f"<u{batch.column('width')[i].as_py()}")
+                pairs = batch.column("pairs")[i].values.to_numpy()
+                ids = np.zeros(int(codes.max()) + 1, dtype=f"<u{small}")
+                ids[pairs >> 32] = pairs & 0xFFFFFFFF
+                out.append(ids[codes].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return cut.select("slice", "lang", "width", "codes").join(ids, ["slice", "lang"]).select("width", "codes", "pairs").mapInArrow(number, "ids binary")
+
+
+def dictionary_bytes(words: int) -> int:
+    """Bytes of a word's number."""
+    return 2 if words < 1 << 16 else 4
 
-def counters(numbered: DataFrame, words: int, occurrences: int, least: int, longest: int = LONGEST) -> DataFrame:
-    """``ids`` (word numbers) and ``f`` of all phrases of two words or more with ``least`` occurrences."""
-    layouts = {n: Layout(n, max(words.bit_length(), 1)) for n in range(2, longest + 1)}
-    shared = min(layouts[2].bits[0], max(0, (occurrences // BLOCK).bit_length()))
+
+def counters(numbered: DataFrame, lengths: Sequence[int], words: int, occurrences: int, least: int, known: Bitmap | None = None) -> DataFrame:
+    """``ids`` (word numbers) and ``f`` of all phrases of so many words with ``least`` occurrences.
+
+    Phrases with a pair of neighbours that is not in ``known``, if given, are not counted.
+    """
+    layouts = {n: Layout(n, max(words.bit_length(), 1)) for n in lengths}
+    shared = min(min(layout.bits[0] for layout in layouts.values()), (occurrences // BLOCK).bit_length())
+    size, pair = dictionary_bytes(words), Layout(2, max(words.bit_length(), 1))
+    shipped = numbered.sparkSession.sparkContext.broadcast(known)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in layouts}
@@ -287,12 +315,13 @@ def counters(numbered: DataFrame, words: int, occurrences: int, least: int, long
 
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), f"<u{batch.column('width')[i].as_py()}")
-                ids = batch.column("ids")[i].values
-                number = np.zeros(int(codes.max()) + 1, dtype=np.uint64)
-                number[ids.field("place").to_numpy()] = ids.field("id").to_numpy().astype(np.uint64)
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), f"<u{size}").astype(np.uint64)
+                follows = np.concatenate([ids[:-1] * ids[1:] > 0, [False]])
+                if shipped.value is not None:
+                    at = np.flatnonzero(follows)
+                    follows[at] = shipped.value.holds(pair.encode([ids[at], ids[at + 1]])[0])
                 for n, layout in layouts.items():
-                    held[n].append(layout.encode(grams(number[codes], n)))
+                    held[n].append(layout.encode(grams(ids, follows, n)))
                     if sum(len(h[0]) for h in held[n]) >= FILTER:
                         yield from flush(n)
         for n in layouts:
@@ -306,10 +335,50 @@ def counters(numbered: DataFrame, words: int, occurrences: int, least: int, long
         lists = layout.decode(found.first[often], found.second[often]).tolist()
         return pa.table({"ids": pa.array(lists, pa.list_(pa.int64())), "f": pa.array(found.counts[often])})
 
-    filled = numbered.select("codes", "width", "ids").mapInArrow(fill, "n int, block long, packed binary")
+    filled = numbered.mapInArrow(fill, "n int, block long, packed binary")
     return filled.groupBy("n", "block").applyInArrow(merge, "ids array<bigint>, f bigint")
 
 
+@dataclass
+class Bitmap:
+    """A set of pairs of words as a bit string of fixed size: it may hold pairs that were not
+    put in, never fewer. Pairs beyond its capacity only make it less selective."""
+
+    bits: np.ndarray  # bytes
+
+    def holds(self, packed: np.ndarray) -> np.ndarray:
+        at = _places(packed)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _places(packed: np.ndarray) -> np.ndarray:
+    return (_mixed(packed) & _mask(BITMAP)).astype(np.int64)
+
+
+def bitmap(pairs: DataFrame, words: int) -> Bitmap:
+    """Of a table of pairs. Only chunks of bits reach the driver, at most ``2 ** BITMAP`` bits."""
+    layout, chunk = Layout(2, max(words.bit_length(), 1)), 1 << 15
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").flatten().to_numpy().reshape(-1, 2).astype(np.uint64)
+            at = np.unique(_places(layout.encode([ids[:, 0], ids[:, 1]])[0]))
+            for c in np.unique(at // chunk).tolist():
+                bits = np.zeros(chunk, dtype=np.uint8)
+                bits[at[at // chunk == c] % chunk] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    def either(chunks: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b.as_py(), np.uint8) for b in chunks.column("bits")]
+        return pa.table({"chunk": chunks.column("chunk")[:1], "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    found = pairs.select("ids").mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInArrow(either, "chunk long, bits binary")
+    out = np.zeros(1 << (BITMAP - 3), dtype=np.uint8)
+    for row in found.toLocalIterator():
+        out[row["chunk"] * chunk // 8 : (row["chunk"] + 1) * chunk // 8] = np.frombuffer(row["bits"], np.uint8)
+    return Bitmap(out)
+
+
 def _exact(value: Column) -> Column:
     return value.cast("decimal(20,0)")
 
@@ -333,7 +402,14 @@ def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, best
     dictionary = written_table(number_rows(often, ["lang", "word"], "id", start=1))
     totals = written_table(cut.groupBy("lang").agg(F.sum("n").alias("n")))
     words, occurrences = dictionary.count(), totals.agg(F.sum("n")).first()[0] or 0
-    phrases = written_table(counters(_numbered(cut, dictionary), words, occurrences, least, longest))
+    numbered = _written(_numbered(cut, dictionary))
+    delete_table(cut)
+    pairs = written_table(counters(numbered, [2], words, occurrences, least))
+    phrases = pairs
+    if longest > 2:
+        more = counters(numbered, range(3, longest + 1), words, occurrences, least, bitmap(pairs, words))
+        phrases = written_table(more.unionByName(pairs))
+    delete_table(numbered)
     counts = phrases.unionByName(dictionary.select(F.array("id").alias("ids"), "f"))
 
     scored = written_table(_scored(phrases, counts))
