@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,10 +55,10 @@ def daily_rollup(
 
     Columns the input lacks are skipped and rows without a key are left out. A daily sum of
     nothing is 0, a mean of nothing is NULL. Of several values known at the same earliest
-    time the smallest counts as first (numbers are told apart to eight decimals, up to a
-    thousand million), so the result does not depend on how rows are spread. Text cannot live in a hash-aggregation buffer,
-    so text columns first serve as extra grouping keys (they hardly vary within a day) and
-    only the resulting few rows per day are merged.
+    time the smallest counts as first, so the result does not depend on how rows are spread
+    (doubles and whole numbers are told apart exactly, decimals as doubles). Text cannot live
+    in a hash-aggregation buffer, so text columns first serve as extra grouping keys (they
+    hardly vary within a day) and only the resulting few rows per day are merged.
     """
     keys = list(keys)
     stats = {c: tuple(stats[c]) for c in present(df, list(stats))}
@@ -71,13 +72,31 @@ def daily_rollup(
     return merge_rollup(parts, [*keys, "date"], stats, values, text, combine=bool(text))
 
 
-def _order(ts: str, value: str) -> Column:
-    """Time of day and then value as one number, which a hash-aggregation buffer can hold."""
+def _order(ts: str, value: str, kind: T.DataType) -> Column:
+    """Time of day and then value as one number, which a hash-aggregation buffer can hold.
+
+    Microseconds take 37 bits and a value 68, together under 38 decimal digits.
+    """
     seconds = (F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)).cast("decimal(12,6)")
-    bounded = F.least(F.greatest(F.col(value).cast("double"), F.lit(-1e9)), F.lit(1e9))
-    order = (seconds * 1_000_000).cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)")
-    place = (bounded * 1e8 + F.lit(1e17)).cast("decimal(38,0)")
-    return F.when(F.col(value).isNotNull(), (order + place).cast("decimal(38,0)"))
+    time = (seconds * 1_000_000).cast("decimal(11,0)") * F.lit(Decimal(10**21))
+    place = F.col(value).cast("decimal(22,0)") if isinstance(kind, T.IntegralType) else _ordered(F.col(value).cast("double"))
+    return F.when(F.col(value).isNotNull(), (time + place + F.lit(Decimal(2 * 10**20))).cast("decimal(38,0)"))
+
+
+def _ordered(x: Column) -> Column:
+    """A whole number for each double, in the same order: exponent, then mantissa, with sign.
+
+    The logarithm may round to the next power of two; a spare bit keeps the mantissa whole
+    and the order right in that case too. NaN is above all.
+    """
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    half = F.floor(-power / 2)
+    mantissa = size * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -power - half) * F.lit(2.0**53)
+    steps = (power + 1100).cast("decimal(5,0)") * F.lit(Decimal(2**55)) + mantissa.cast("long").cast("decimal(20,0)")
+    top = F.lit(Decimal(2300 * 2**55)).cast("decimal(22,0)")
+    known = F.when(size == 0, F.lit(0).cast("decimal(22,0)")).when(size == F.lit(float("inf")), top).otherwise(steps.cast("decimal(22,0)"))
+    return F.when(F.isnan(x), top + 1).when(x < 0, -known).otherwise(known)
 
 
 def partial_rollup(
@@ -94,8 +113,9 @@ def partial_rollup(
         aggs += [F.max(c).alias(f"_max_{c}")] if "max" in kinds else []
         aggs += [F.min(c).alias(f"_min_{c}")] if "min" in kinds else []
     for c in firsts:
-        aggs.append(F.min_by(c, _order(ts, c)).alias(f"_first_{c}"))
-        aggs.append(F.min(_order(ts, c)).alias(f"_at_{c}"))
+        place = _order(ts, c, df.schema[c].dataType)
+        aggs.append(F.min_by(c, place).alias(f"_first_{c}"))
+        aggs.append(F.min(place).alias(f"_at_{c}"))
     return df.groupBy(*keys).agg(*aggs)
 
 

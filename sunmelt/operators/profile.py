@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmelt.functions.nulls import no_nan
-from sunmelt.runtime import attach, cut_lineage, written_table
+from sunmelt.runtime import SMALL_WINDOW, attach, cut_lineage, fits_broadcast, written_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 ACCURACY = 10_000  # of the sketch: it is wrong by one rank in so many at most
@@ -48,24 +48,30 @@ def describe(
     stats = df.groupBy(*by).agg(F.array(*fields).alias("s")).select(*by, F.inline("s"))
     if not quartiles:
         return stats
-    return stats.join(quantiles(df, columns, QUARTILES, by), [*by, "column_name"], "left")
+    points = quantiles(df, columns, QUARTILES, by)
+    points = points.withColumnsRenamed({c: f"_q_{c}" for c in [*by, "column_name"]})
+    match = F.col("column_name") == F.col("_q_column_name")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return stats.join(points, match, "left").drop(*[f"_q_{c}" for c in [*by, "column_name"]])
 
 
 def quantiles(
     df: DataFrame, columns: Sequence[str], points: Mapping[str, float] = QUARTILES,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact quantiles (linear between neighbours) of many columns, per value of ``by``.
+    """Exact quantiles (linear between neighbours) of many columns, per value of ``by`` (null is one).
 
     A mergeable sketch first brackets each quantile; a bracket holds all values in a group of
     under ``WHOLE`` rows and a few ten-thousandths of a larger one. Only values inside a
     bracket are shuffled, equal ones counted first, and ranked by range partitions, on top
     of the number of values below the bracket.
     """
-    keys = list(by) or ["_all"]
+    keys = [f"_k{i}" for i in range(len(by))] or ["_all"]
     values = {c: no_nan(F.col(c).cast("double")) for c in columns}
-    rows = df.select(*by, *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
-    rows = rows if by else rows.withColumn("_all", F.lit(1))
+    # Keys are never null, so that joins find the null group too.
+    keyed = [F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n")).alias(k) for c, k in zip(by, keys)]
+    rows = df.select(*by, *(keyed or [F.lit(1).alias("_all")]), *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
     names = list(points)
     tries = [*(max(0.0, q - MARGIN) for q in points.values()), *(min(1.0, q + MARGIN) for q in points.values())]
 
@@ -76,8 +82,9 @@ def quantiles(
         high = [F.when(few, F.max(x)).otherwise(near[len(names) + i]).alias(f"hi{i}") for i in range(len(names))]
         return F.struct(F.count(x).alias("total"), *low, *high)
 
-    bounds = cut_lineage(rows.groupBy(*keys).agg(*[edges(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(columns))]))
-    bounded = attach(rows, bounds, keys, "inner", small=None if by else True)
+    named = cut_lineage(rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in by], *[edges(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(columns))]))
+    names_of, bounds = named.select(*keys, *by), named.drop(*by)
+    bounded = attach(rows.drop(*by), bounds, keys, "inner", small=None if by else True)
     cells = [(i, j) for i in range(len(columns)) for j in range(len(names))]
     labels = {(i, j): [F.lit(columns[i]).alias("column_name"), F.lit(names[j]).alias("point"), F.lit(points[names[j]]).alias("q")] for i, j in cells}
     below = bounded.groupBy(*keys).agg(
@@ -95,32 +102,47 @@ def quantiles(
         bounded.select(*keys, F.explode(F.array_compact(inside)).alias("p"))
         .groupBy(*keys, "p.column_name", "p.point", "p.value").agg(F.count(F.lit(1)).alias("n"))
     )
+    counts, below = written_table(counts), cut_lineage(below)
+    place = F.col("q") * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(F.floor("place"), F.ceil("place")))
+    if fits_broadcast(counts, SMALL_WINDOW):  # few values: one window a group
+        up_to = Window.partitionBy(*group).orderBy("value")
+        ranked = counts.withColumn("end", F.sum("n").over(up_to))
+        joined = attach(ranked, below, group, "inner").withColumn("end", F.col("end") + F.col("below")).withColumn("place", place)
+        found = joined.withColumn("rank", F.explode(ranks))
+    else:
+        found = _ranked_parts(counts, below, group, place, ranks)
+    found = found.where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
+    low = F.min("value")
+    at_points = found.groupBy(*group, "place").agg(
+        (low + (F.max("value") - low) * (F.col("place") - F.floor("place"))).alias("value")
+    )
+    wide = at_points.groupBy(*keys, "column_name").agg(
+        *[F.max(F.when(F.col("point") == p, F.col("value"))).alias(p) for p in names]
+    )
+    return attach(wide, names_of, keys, "inner").drop(*keys) if by else wide.drop("_all")
+
+
+def _ranked_parts(counts: DataFrame, below: DataFrame, group: Sequence[str], place: Column, ranks: Column) -> DataFrame:
+    """Values that may hold an asked rank, with ``end``, the rank after them: each range
+    partition is ranked by itself on top of what lies before it."""
     ranged = written_table(
         counts.repartitionByRange(*group, "value").withColumn("part", F.spark_partition_id())
     )
     up_to = Window.partitionBy(*group).orderBy("part")
     parts = ranged.groupBy(*group, "part").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(up_to) - F.col("n"))
-    place = F.col("q") * (F.col("total") - 1)
     asks = (
-        attach(parts, cut_lineage(below), group, "inner")
+        attach(parts, below, group, "inner")
         .select(*group, "part", "n", (F.col("below") + F.col("before")).alias("start"), place.alias("place"))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))))
+        .withColumn("rank", F.explode(ranks))
         .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
         .groupBy(*group, "part", "start", "place").agg(F.collect_list("rank").alias("ranks"))
     )
     within = Window.partitionBy(*group, "part").orderBy("value")
-    found = (
+    return (
         attach(ranged, cut_lineage(asks), [*group, "part"], "inner")
         .withColumn("end", F.col("start") + F.sum("n").over(within))
         .withColumn("rank", F.explode("ranks"))
-        .where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
-    )
-    low = F.min("value")
-    at_points = found.groupBy(*group, "place").agg(
-        (low + (F.max("value") - low) * (F.col("place") - F.floor("place"))).alias("value")
-    )
-    return at_points.groupBy(*by, "column_name").agg(
-        *[F.max(F.when(F.col("point") == p, F.col("value"))).alias(p) for p in names]
     )
 
 

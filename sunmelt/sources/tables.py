@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ MISSING_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 _SURPLUS = "_surplus"
+ROW_GROUP = 16 * 1024 * 1024  # bytes
 
 
 def read_csv(
@@ -99,6 +100,44 @@ def read_grid(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return nan_to_null(grid.withColumnsRenamed({"time": "timestamp"}))
 
 
+def cell_key(lat: Column, lon: Column) -> Column:
+    """Place of a cell on a Z-shaped curve over the globe: cells near each other mostly have
+    near places. The bits of 16-bit latitude and longitude in turn; null for a null place.
+    Longitudes may count from -180 or from 0."""
+
+    def spread(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    def step(share: Column) -> Column:
+        bounded = F.least(F.greatest(F.floor(share * 65536.0), F.lit(0)), F.lit(65535)).cast("long")
+        return F.when(share.isNotNull(), bounded)
+
+    north = step((lat.cast("double") + 90.0) / 180.0)
+    east = step(F.pmod(lon.cast("double") + 180.0, F.lit(360.0)) / 360.0)
+    return F.shiftleft(spread(north), 1).bitwiseOR(spread(east))
+
+
+def write_grid(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), lat: str = "latitude", lon: str = "longitude",
+    ts: str = "timestamp", row_group: int = ROW_GROUP, if_exists: str = "overwrite",
+) -> None:
+    """Write a grid so that a box of latitudes and longitudes reads only the row groups it meets.
+
+    Rows are range partitioned and sorted by their cell's place on a curve, then by time, so
+    a row group of about ``row_group`` bytes covers a small area, which its statistics state.
+    A cell with many readings is spread over as many partitions as its share of the table.
+    """
+    order = [*partition_by, "_cell", ts]
+    keyed = df.withColumn("_cell", cell_key(F.col(lat), F.col(lon)))
+    sorted_ = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_cell")
+    writer = sorted_.write.mode(if_exists).option("parquet.block.size", row_group)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+
+
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (), if_exists: str = "overwrite",

@@ -674,6 +674,10 @@ def oracle_sql() -> dict[str, str]:
         "mice_check": _mice(),
         "csv_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
         "site_sink": "SELECT p_partkey, p_name, p_brand, p_size FROM part",
+        "box_slice": """SELECT * FROM (SELECT l_orderkey, l_linenumber, l_shipdate AS "timestamp", l_quantity,
+            (l_orderkey * 7919 + l_suppkey * 104729) % 720 / 4.0::DOUBLE - 90.0::DOUBLE AS latitude,
+            ((l_orderkey * 7919 + l_suppkey * 104729) * 31 + l_partkey) % 1440 / 4.0::DOUBLE - 180.0::DOUBLE AS longitude FROM lineitem)
+          WHERE latitude BETWEEN 10 AND 50 AND longitude BETWEEN -20 AND 60.5""",
         "site_resume": """SELECT o_orderkey, o_totalprice * CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS o_totalprice,
           o_orderstatus, year(o_orderdate)::INTEGER AS o_year FROM orders""",
         "year_replace": """SELECT o_orderkey, o_totalprice * CASE WHEN rerun THEN -1 ELSE 1 END AS o_totalprice, o_orderstatus, o_year

@@ -25,7 +25,7 @@ from sunmelt.plans import climate, fusion
 from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers
 from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
 from sunmelt.sources import sinks
-from sunmelt.sources.tables import read_csv, read_grid, write_table
+from sunmelt.sources.tables import read_csv, read_grid, write_grid, write_table
 
 # The two sites (see SITE_DIM) and a plain turbidity year for each.
 SITES = (
@@ -764,6 +764,22 @@ def grid_scan(spark: SparkSession, sf: str) -> DataFrame:
     return read_grid(spark, path)
 
 
+def world_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as readings of cells all over the globe."""
+    k = F.col("l_orderkey") * 7919 + F.col("l_suppkey") * 104729
+    return read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("timestamp"), "l_quantity",
+        (F.pmod(k, F.lit(720)) / 4.0 - 90.0).alias("latitude"), (F.pmod(k * 31 + F.col("l_partkey"), F.lit(1440)) / 4.0 - 180.0).alias("longitude"),
+    )
+
+
+def box_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """A box of about 5 % of the globe from a grid stored along a curve."""
+    path = shared_path(spark, "curve")
+    write_grid(world_grid(spark, sf), path, row_group=64 * 1024)
+    return grid.slice_grid(spark.read.parquet(path), box=(50.0, -20.0, 10.0, 60.5))
+
+
 def dedupe_drop(spark: SparkSession, sf: str) -> DataFrame:
     """Events with a column twice and one that is not wanted."""
     events = read(spark, sf, "events")
@@ -780,7 +796,7 @@ def local_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAMES = (
-    "csv_scan", "site_sink", "site_resume", "year_replace", "grid_scan", "dedupe_drop", "local_day",
+    "csv_scan", "site_sink", "site_resume", "year_replace", "box_slice", "grid_scan", "dedupe_drop", "local_day",
     "daily_rollup", "daily_lags", "daily_roll7", "next_day_target", "daily_features",
     "monthly_means", "monthly_index", "season_index", "season_features", "demand_profile",
     "demand_bins", "humidity", "wind", "unit_convert", "solar_geometry", "clear_sky", "diffuse",

@@ -169,3 +169,31 @@ def test_both_fusion_paths_follow_a_shifted_clock(spark):
     got = {(str(r["date"]), r["month"], r["season"]) for r in by_day.collect()}
     assert {(d, m) for d, m, _ in got} == {("2021-05-30", 5), ("2021-05-31", 5), ("2021-06-01", 6)}
     assert {s for _, _, s in got} == {"pre-monsoon", "monsoon"}
+
+
+def test_first_of_large_and_near_values_does_not_depend_on_partitions(spark):
+    tiny = 5e-324
+    groups = {
+        "large": [4e9, 2e9, 5e9, 3e9], "near": [1.0 + 2**-52, 1.0, 1.0 + 2**-51], "edge": [2.0, 2.0 - 2**-52, 2.0 + 2**-51],
+        "below": [-3e9, -2e300, -1e-300], "small": [2 * tiny, tiny, 1e-310], "signs": [1e-200, -1e-200, 0.0],
+        "ends": [float("inf"), 1.7976931348623157e308, 1e308], "least": [float("-inf"), -1.7976931348623157e308],
+    }
+    rows = [(g, dt.datetime(2021, 1, 1, 5), v) for g, values in groups.items() for v in values * 3]
+    rows += [(g, dt.datetime(2021, 1, 1, 6), -9e307) for g in groups]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, RRTDHS double")
+    whole = df.withColumn("season_code", (F.col("RRTDHS") > 0).cast("int") * F.lit(2**62) + F.lit(1))
+    for parts in (1, 2, 5, 16):
+        got = daily.daily_rollup(whole.repartition(parts), stats={}, firsts=["RRTDHS", "season_code"]).collect()
+        assert {r["city"]: r["RRTDHS"] for r in got} == {g: min(values) for g, values in groups.items()}
+        assert {r["city"]: r["season_code"] for r in got} == {g: 2**62 + 1 if min(v) > 0 else 1 for g, v in groups.items()}
+
+
+def test_doubles_are_ordered_exactly(spark):
+    rnd = random.Random(6)
+    values = [rnd.choice([-1, 1]) * 2.0 ** rnd.randrange(-1074, 1023) * rnd.uniform(1, 2) for _ in range(2000)]
+    values += [v for e in range(-1074, 1024, 7) for p in [2.0**e] for v in (p, np.nextafter(p, 0), np.nextafter(p, np.inf), -p, -np.nextafter(p, np.inf))]
+    values = sorted({float(v) for v in values} | {0.0, float("inf"), float("-inf")})
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    keys = {r["x"]: r["k"] for r in df.select("x", daily._ordered(F.col("x")).alias("k")).collect()}
+    places = [keys[v] for v in values]
+    assert all(a < b for a, b in zip(places, places[1:]))

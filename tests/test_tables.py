@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,49 @@ def test_quartiles_shuffle_only_bracketed_values(spark):
     got = profile.describe(df).first()
     want = np.quantile(np.arange(1_000_000) * 7919 % 1_000_003, [0.25, 0.5, 0.75])
     assert [got["q25"], got["q50"], got["q75"]] == pytest.approx(list(want))
+
+
+def test_a_box_meets_few_row_groups(spark, tmp_path):
+    from sunmelt.workload.queries import world_grid
+
+    path, cells = str(tmp_path / "curve"), world_grid(spark, "/root/testdata/sf0.1")
+    tables.write_grid(cells, path, row_group=32 * 1024)
+    north, west, south, east = box = (50.0, -20.0, 10.0, 60.5)  # 5 % of the globe's degrees
+    met = total = 0
+    for name in os.listdir(path):
+        if name.endswith(".parquet"):
+            meta = pq.ParquetFile(os.path.join(path, name)).metadata
+            place = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for g in range(meta.num_row_groups):
+                lat, lon = (meta.row_group(g).column(place[c]).statistics for c in ("latitude", "longitude"))
+                met += lat.max >= south and lat.min <= north and lon.max >= west and lon.min <= east
+                total += 1
+    assert total > 100 and met < 0.1 * total
+    got = grid.slice_grid(spark.read.parquet(path), box=box)
+    assert got.count() == grid.slice_grid(cells, box=box).count() > 20_000
+
+
+def test_cell_keys_of_the_edges_and_of_both_ways_to_count_longitudes(spark):
+    rows = [(-90.0, -180.0), (90.0, 179.99), (0.0, 0.0), (0.0, 350.0), (0.0, -10.0), (None, 1.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a double, o double").select(tables.cell_key(F.col("a"), F.col("o"))).collect()]
+    assert got[0] == 0 and got[1] > 0xF0000000 and got[2] == 0xC0000000 and got[3] == got[4] and got[5] is None
+
+
+@pytest.mark.parametrize("part", ["years", "months", "days", "hours"])
+def test_an_empty_list_keeps_nothing(spark, part):
+    df = spark.sql("SELECT timestamp'2021-01-01 00:00:00' AS timestamp")
+    assert grid.slice_grid(df, **{part: []}).count() == 0 and grid.slice_grid(df).count() == 1
+
+
+def test_quartiles_of_the_null_group(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", None if i % 2 else i % 4, float(i * 7 % 101)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, k int, x double")
+    pdf = pd.DataFrame(rows, columns=["g", "k", "x"])
+    for small in (profile.SMALL_WINDOW, 0):
+        monkeypatch.setattr(profile, "SMALL_WINDOW", small)
+        got = {(r["g"], r["k"]): r for r in profile.describe(df, ["x"], by=["g", "k"]).collect()}
+        want = {(g, None if k != k else int(k)): part["x"] for (g, k), part in pdf.astype({"k": object}).fillna({"g": "?"}).groupby(["g", "k"], dropna=False)}
+        assert len(got) == len(want) == 9
+        for (g, k), values in want.items():
+            r = got[None if g == "?" else g, k]
+            assert r["count"] == len(values) and [r["q25"], r["q50"], r["q75"]] == pytest.approx(list(values.quantile([0.25, 0.5, 0.75])))
