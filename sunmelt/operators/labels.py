@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunmelt.runtime import SMALL_WINDOW, attach, cut_lineage, fits_broadcast, running
+from sunmelt.runtime import SMALL_WINDOW, attach, fits_broadcast, running, written_table
 
 # Shift of the wanted melting point from the setpoint, share of the site's
 # base index, by season; index from which the narrow tolerance holds; both tolerances.
@@ -79,7 +79,7 @@ def assign_labels(
             "_tol": F.when(wide, F.lit(tol_low)).otherwise(F.lit(tol_high)),
         }
     )
-    wanted = cut_lineage(
+    wanted = written_table(
         sites.select(F.col("optimal_Tm_target").alias("target"), F.col("_tol").alias("tol"))
         .where(F.col("target").isNotNull())
         .distinct()
@@ -90,7 +90,7 @@ def assign_labels(
     name, number = F.col("product").alias("name"), F.col(material_id).alias("id")
     tm = F.col("Tm_melting").cast("double").alias("tm")
     score = F.col("pcm_suitability_score").alias("score")
-    points = cut_lineage(
+    points = written_table(
         materials.where(F.col("Tm_melting").isNotNull())
         .select(
             tm,
@@ -141,7 +141,7 @@ def assign_labels(
             "target", "tol", F.col("found").alias("best")
         )
 
-    matched = cut_lineage(
+    matched = written_table(
         whole.unionByName(cut("lo", ascending=False))
         .unionByName(cut("hi", ascending=True))
         .groupBy("target", "tol")
@@ -176,7 +176,7 @@ def assign_labels(
         .where(F.col("near").isNotNull())
         .select("target", "tol", *[F.col(f"near.{f}").alias(f) for f in ("name", "id", "tm", "score")])
     )
-    picks = cut_lineage(
+    picks = written_table(
         matched.select(
             "target", "tol", *[F.col(f"pick.{f}").alias(f) for f in ("name", "id", "tm", "score")]
         )

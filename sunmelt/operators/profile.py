@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunmelt.functions.nulls import no_nan
-from sunmelt.runtime import SMALL_WINDOW, attach, cut_lineage, fits_broadcast, written_table
+from sunmelt.runtime import SMALL_WINDOW, attach, fits_broadcast, written_table
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 ACCURACY = 10_000  # of the sketch: it is wrong by one rank in so many at most
@@ -82,7 +82,7 @@ def quantiles(
         high = [F.when(few, F.max(x)).otherwise(near[len(names) + i]).alias(f"hi{i}") for i in range(len(names))]
         return F.struct(F.count(x).alias("total"), *low, *high)
 
-    named = cut_lineage(rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in by], *[edges(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(columns))]))
+    named = written_table(rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in by], *[edges(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(columns))]))
     names_of, bounds = named.select(*keys, *by), named.drop(*by)
     bounded = attach(rows.drop(*by), bounds, keys, "inner", small=None if by else True)
     cells = [(i, j) for i in range(len(columns)) for j in range(len(names))]
@@ -102,7 +102,7 @@ def quantiles(
         bounded.select(*keys, F.explode(F.array_compact(inside)).alias("p"))
         .groupBy(*keys, "p.column_name", "p.point", "p.value").agg(F.count(F.lit(1)).alias("n"))
     )
-    counts, below = written_table(counts), cut_lineage(below)
+    counts, below = written_table(counts), written_table(below)
     place = F.col("q") * (F.col("total") - 1)
     ranks = F.array_distinct(F.array(F.floor("place"), F.ceil("place")))
     if fits_broadcast(counts, SMALL_WINDOW):  # few values: one window a group
@@ -140,7 +140,7 @@ def _ranked_parts(counts: DataFrame, below: DataFrame, group: Sequence[str], pla
     )
     within = Window.partitionBy(*group, "part").orderBy("value")
     return (
-        attach(ranged, cut_lineage(asks), [*group, "part"], "inner")
+        attach(ranged, written_table(asks), [*group, "part"], "inner")
         .withColumn("end", F.col("start") + F.sum("n").over(within))
         .withColumn("rank", F.explode("ranks"))
     )

@@ -17,10 +17,11 @@ from sunmelt.operators.columns import (
     rename,
     select_known,
 )
-from sunmelt.operators.encode import label_encode
+from sunmelt.operators.encode import label_encode_all
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.operators.impute import chained_impute, fallback_fill, rule_fill
 from sunmelt.operators.ranking import topsis
+from sunmelt.runtime import written_table
 
 # Catalogue columns that hold numbers, and descriptive text that is dropped.
 NUMERIC_COLUMNS = (
@@ -88,12 +89,14 @@ def derived_properties(df: DataFrame) -> DataFrame:
 
 
 def material_codes(df: DataFrame) -> DataFrame:
-    df = label_encode(df, "pcm_type", "pcm_type_code")
-    return label_encode(df, "flammability", "flammability_enc")
+    return label_encode_all(df, {"pcm_type": "pcm_type_code", "flammability": "flammability_enc"})
 
 
 def scored_materials(suited: DataFrame) -> DataFrame:
-    return topsis(material_codes(derived_properties(suited)))
+    """Derived values, codes and scores; each step reads the one before more than once, so
+    both are written first."""
+    derived = written_table(derived_properties(written_table(suited)))
+    return topsis(material_codes(derived))
 
 
 def materials_clean(raw: DataFrame, rounds: int | None = None) -> DataFrame:

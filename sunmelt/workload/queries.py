@@ -22,7 +22,7 @@ from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels
 from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion
-from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers
+from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers, scored_materials
 from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
 from sunmelt.sources import sinks
 from sunmelt.sources.tables import read_csv, read_grid, write_grid, write_table
@@ -676,7 +676,7 @@ def fusion_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     raw = raw.withColumn("flash_point_known", known_flag(F.col("flash_point")))
     filled = impute.fallback_fill(impute.rule_fill(raw))
     suited = drop_missing(filter_range(filled))
-    catalogue = written_table(ranking.topsis(material_codes(derived_properties(suited))))
+    catalogue = written_table(scored_materials(suited))
     return hourly, catalogue, fusion.label_map(hourly, catalogue)
 
 
