@@ -61,15 +61,27 @@ def daily_rollup(
     hardly vary within a day) and only the resulting few rows per day are merged.
     """
     keys = list(keys)
-    stats = {c: tuple(stats[c]) for c in present(df, list(stats))}
-    firsts = [c for c in present(df, firsts) if c not in keys and c not in stats]
-    text = [c for c in firsts if not isinstance(df.schema[c].dataType, T.NumericType)]
-    values = [c for c in firsts if c not in text]
+    stats, values, text = rollup_columns(df, keys, stats, firsts)
+    parts = partial_rollup(dated(df, keys, ts), [*keys, "date", *text], stats, values, ts)
+    return merge_rollup(parts, [*keys, "date"], stats, values, text, combine=bool(text))
+
+
+def rollup_columns(
+    df: DataFrame, keys: Sequence[str], stats: Mapping[str, Sequence[str]] = DAILY_STATS, firsts: Sequence[str] = DAILY_FIRSTS
+) -> tuple[dict[str, tuple[str, ...]], list[str], list[str]]:
+    """What a rollup of ``df`` has: statistics, and first values of numbers and of text."""
+    known = {c: tuple(stats[c]) for c in present(df, list(stats))}
+    others = [c for c in present(df, firsts) if c not in keys and c not in known]
+    text = [c for c in others if not isinstance(df.schema[c].dataType, T.NumericType)]
+    return known, [c for c in others if c not in text], text
+
+
+def dated(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows with a date and all keys."""
     rows = df.withColumn("date", F.to_date(ts))
     for key in [*keys, "date"]:
         rows = rows.where(F.col(key).isNotNull())
-    parts = partial_rollup(rows, [*keys, "date", *text], stats, values, ts)
-    return merge_rollup(parts, [*keys, "date"], stats, values, text, combine=bool(text))
+    return rows
 
 
 def _order(ts: str, value: str, kind: T.DataType) -> Column:
@@ -119,27 +131,35 @@ def partial_rollup(
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _added(parts: DataFrame) -> list[Column]:
+    """Aggregates that make one part of several."""
+    pick = {"sum": F.sum, "n": F.sum, "max": F.max, "min": F.min, "at": F.min, "seen": F.min}
+    out: list[Column] = []
+    for name in parts.columns:
+        kind = name.split("_")[1] if name.startswith("_") else ""
+        if kind in pick:
+            out.append(pick[kind](name).alias(name))
+        elif kind == "first":
+            out.append(F.min_by(name, name.replace("_first_", "_at_", 1)).alias(name))
+    return out
+
+
+def add_parts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts made by :func:`partial_rollup` with one part for each value of ``keys``."""
+    return parts.groupBy(*keys).agg(*_added(parts))
+
+
 def merge_rollup(
     parts: DataFrame, keys: Sequence[str], stats: Mapping[str, Sequence[str]],
     firsts: Sequence[str] = (), text: Sequence[str] = (), combine: bool = True,
 ) -> DataFrame:
     """Finish parts made by :func:`partial_rollup`, adding up those of one key if asked."""
     if combine:
-        merges: list[Column] = []
-        for name in parts.columns:
-            kind = name.split("_")[1] if name.startswith("_") else ""
-            if kind in ("sum", "n"):
-                merges.append(F.sum(name).alias(name))
-            elif kind == "max":
-                merges.append(F.max(name).alias(name))
-            elif kind in ("min", "at"):
-                merges.append(F.min(name).alias(name))
-        merges += [F.min_by(f"_first_{c}", f"_at_{c}").alias(f"_first_{c}") for c in firsts]
-        merges += [
+        firsts_of_text = [
             F.min(F.when(F.col(c).isNotNull(), F.struct("_seen", c)))[c].alias(f"_first_{c}")
             for c in text
         ]
-        parts = parts.groupBy(*keys).agg(*merges)
+        parts = parts.groupBy(*keys).agg(*_added(parts), *firsts_of_text)
     out: list[Column] = [F.col(k) for k in keys]
     for c, kinds in stats.items():
         out += [_stat(c, kind) for kind in kinds]

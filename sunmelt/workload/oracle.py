@@ -557,6 +557,9 @@ def oracle_sql() -> dict[str, str]:
         "daily_rollup": f"""SELECT city, date, altitude_m, season, {rounded_columns(STAT_COLUMNS)} FROM (
           SELECT city, timestamp::DATE AS date, {DAILY_STATS}, {first_altitude} AS altitude_m,
           arg_min({season('month')}, timestamp) AS season FROM ({EVENT_HOURS}) GROUP BY ALL)""",
+        "daily_increment": f"""SELECT city, date, altitude_m, season, {rounded_columns(STAT_COLUMNS)} FROM (
+          SELECT city, timestamp::DATE AS date, {DAILY_STATS}, {first_altitude} AS altitude_m,
+          arg_min({season('month')}, timestamp) AS season FROM ({EVENT_HOURS}) GROUP BY ALL)""",
         "daily_lags": f"""SELECT {order_base}, {rounded_columns(lag_names(order_firsts))}
           FROM (SELECT *, {lags(order_firsts)} FROM ({ORDER_DAYS}) {W})""",
         "daily_roll7": f"""SELECT {order_base}, {rounded_columns(["GHI_mean_roll7", "T_amb_mean_roll7"])}

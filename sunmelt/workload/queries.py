@@ -21,7 +21,7 @@ from sunmelt.functions.nulls import flag_gt, known_flag
 from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels, profile, ranking, sites
 from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
-from sunmelt.plans import climate, fusion
+from sunmelt.plans import climate, fusion, increment
 from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers, scored_materials
 from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
 from sunmelt.sources import sinks
@@ -235,11 +235,25 @@ MICE_COLUMNS = impute.CHAINED_COLUMNS
 # --- queries ---------------------------------------------------------------------------
 
 
-def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
+def demand_hours(spark: SparkSession, sf: str) -> DataFrame:
     hours = event_hours(spark, sf).withColumn(
         "season", cal.season_of(F.month("timestamp"))
     ).withColumn("hour", F.hour("timestamp"))
-    return round_all(daily.daily_rollup(fuse.with_demand(hours)))
+    return fuse.with_demand(hours)
+
+
+def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return round_all(daily.daily_rollup(demand_hours(spark, sf)))
+
+
+def daily_increment(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily table from stored days: early hours, then late ones of the same days, then January anew."""
+    path, hours = shared_path(spark, "days"), demand_hours(spark, sf)
+    late = F.coalesce(F.hour("timestamp") % 5 == 2, F.lit(False))
+    increment.update_days(hours.where(~late), path)
+    increment.update_days(hours.where(late), path)
+    increment.update_days(hours.where(F.month("timestamp") == 1), path, redo=True)
+    return round_all(increment.stored_days(spark, path, hours))
 
 
 def daily_lags(spark: SparkSession, sf: str) -> DataFrame:
@@ -797,7 +811,7 @@ def local_day(spark: SparkSession, sf: str) -> DataFrame:
 
 NAMES = (
     "csv_scan", "site_sink", "site_resume", "year_replace", "box_slice", "grid_scan", "dedupe_drop", "local_day",
-    "daily_rollup", "daily_lags", "daily_roll7", "next_day_target", "daily_features",
+    "daily_rollup", "daily_increment", "daily_lags", "daily_roll7", "next_day_target", "daily_features",
     "monthly_means", "monthly_index", "season_index", "season_features", "demand_profile",
     "demand_bins", "humidity", "wind", "unit_convert", "solar_geometry", "clear_sky", "diffuse",
     "sun_times", "climate_hourly", "label_join", "label_classes", "label_encode",
