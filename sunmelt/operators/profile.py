@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,15 +177,31 @@ def missing_diff(
     )
 
 
-def count_stages(df: DataFrame, filters: Mapping[str, Column], start: str = "input") -> DataFrame:
-    """Rows left after each of a series of filters, all counted in one pass."""
-    passed = F.lit(True)
-    fields = [F.struct(F.lit(start).alias("stage"), F.count(F.lit(1)).alias("rows"))]
+def _stage_counts(filters: Mapping[str, Column], start: str) -> dict[str, Column]:
+    passed, counts = F.lit(True), {start: F.count(F.lit(1))}
     for name, condition in filters.items():
         passed = passed & condition
-        fields.append(F.struct(F.lit(name).alias("stage"), F.count_if(passed).alias("rows")))
+        counts[name] = F.count_if(passed)
+    return counts
+
+
+def count_stages(df: DataFrame, filters: Mapping[str, Column], start: str = "input") -> DataFrame:
+    """Rows left after each of a series of filters, all counted in one pass."""
+    fields = [F.struct(F.lit(name).alias("stage"), n.alias("rows")) for name, n in _stage_counts(filters, start).items()]
     return df.agg(F.array(*fields).alias("s")).select(F.inline("s"))
 
 
+def observe_stages(df: DataFrame, filters: Mapping[str, Column], start: str = "input") -> tuple[DataFrame, Observation]:
+    """Like :func:`count_stages`, but counted by the job that first runs ``df`` (its writing, say):
+    ``df`` to be used from then on, and what :func:`observed_stages` reads after that job."""
+    seen = Observation()
+    return df.observe(seen, *[n.alias(name) for name, n in _stage_counts(filters, start).items()]), seen
+
+
+def observed_stages(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The rows of :func:`count_stages`; waits for the job."""
+    return spark.createDataFrame(list(seen.get.items()), "stage string, rows bigint")
+
+
 def distinct_days(df: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     return df.select(*keys, F.to_date(ts).alias("date")).distinct()

@@ -16,7 +16,7 @@ from sunmelt.operators.columns import classify_columns
 from sunmelt.operators.filters import CRITICAL, MELTING_MAX, MELTING_MIN
 from sunmelt.operators.fuse import label_classes
 from sunmelt.operators.grid import assign_sites, slice_grid
-from sunmelt.operators.profile import count_stages, describe, missing_diff, null_profile
+from sunmelt.operators.profile import describe, missing_diff, null_profile, observe_stages, observed_stages
 from sunmelt.plans.climate import climate_hourly
 from sunmelt.plans.fusion import daily_from_climate, fused_hourly, label_map
 from sunmelt.plans.materials import (
@@ -82,13 +82,14 @@ def _build(
         cells = assign_sites(cells, site_dim)
     climate = save(climate_hourly(cells, site_dim, turbidity), "climate_hourly", folders, hourly)
     parsed = written_table(parse_numbers(standard_columns(materials_raw)))
-    filled = written_table(filled_materials(materials_raw, impute_rounds))
-    save(missing_diff(parsed, filled), "materials_missing")
     in_range = F.col("Tm_melting").between(MELTING_MIN, MELTING_MAX)
     complete = F.lit(True)
     for c in CRITICAL:
         complete = complete & F.col(c).isNotNull()
-    save(count_stages(filled, {"in_range": in_range, "complete": complete}), "materials_stages")
+    counted, seen = observe_stages(filled_materials(materials_raw, impute_rounds), {"in_range": in_range, "complete": complete})
+    filled = written_table(counted)
+    save(missing_diff(parsed, filled), "materials_missing")
+    save(observed_stages(grid.sparkSession, seen), "materials_stages")
     materials = save(with_material_id(scored_materials(suited_materials(filled))), "materials_clean")
     labels = save(label_map(climate, materials), "label_map")
     fused = save(fused_hourly(climate, materials, labels), "fused_hourly", folders, hourly)

@@ -639,6 +639,14 @@ def oracle_sql() -> dict[str, str]:
         "stage_counts": f"""SELECT 'input' AS stage, count(*) AS "rows" FROM ({HOLED}) UNION ALL
           SELECT 'in_range', count(*) FROM ({HOLED}) WHERE "Tm_melting" BETWEEN 35 AND 75 UNION ALL
           SELECT 'complete', count(*) FROM ({HOLED}) WHERE "Tm_melting" BETWEEN 35 AND 75 AND latent_heat_melting IS NOT NULL""",
+        "stage_observe": f"""SELECT 'input' AS stage, count(*) AS "rows" FROM ({HOLED}) UNION ALL
+          SELECT 'in_range', count(*) FROM ({HOLED}) WHERE "Tm_melting" BETWEEN 35 AND 75 UNION ALL
+          SELECT 'complete', count(*) FROM ({HOLED}) WHERE "Tm_melting" BETWEEN 35 AND 75 AND latent_heat_melting IS NOT NULL""",
+        "sketch_quartiles": " UNION ALL ".join(
+            f"""SELECT l_returnflag, '{c}' AS column_name, count(*) AS count, min({c}) AS min, max({c}) AS max,
+            true AS q25_ok, true AS q50_ok, true AS q75_ok FROM lineitem GROUP BY l_returnflag"""
+            for c in ("l_quantity", "l_extendedprice")
+        ),
         "derived_props": f"""SELECT material_id, flash_point_known, is_flammable, {r("latent_per_degree", 1)} AS latent_per_degree,
           {rounded_columns(["latent_heat_avg", "Tm_range", "heat_storage_Wh_kg", "rho_H_MJ_m3", "TC_ratio", "Cp_avg",
                             "density_avg", "cycles_confidence", "rho_H_melting"])}

@@ -18,7 +18,7 @@ from sunmelt.functions import calendar as cal
 from sunmelt.functions import materials as props
 from sunmelt.functions import meteo, text
 from sunmelt.functions.nulls import flag_gt, known_flag
-from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels, profile, ranking, sites
+from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels, profile, ranking, sites, sketches
 from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion, increment
@@ -476,14 +476,19 @@ def range_filter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stages() -> dict[str, Column]:
+    return {"in_range": F.col("Tm_melting").between(35.0, 75.0), "complete": F.col("latent_heat_melting").isNotNull()}
+
+
 def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.count_stages(
-        holed_materials(spark, sf),
-        {
-            "in_range": F.col("Tm_melting").between(35.0, 75.0),
-            "complete": F.col("latent_heat_melting").isNotNull(),
-        },
-    )
+    return profile.count_stages(holed_materials(spark, sf), stages())
+
+
+def stage_observe(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, taken by the job that writes the table."""
+    counted, seen = profile.observe_stages(holed_materials(spark, sf), stages())
+    written_table(counted)
+    return profile.observed_stages(spark, seen)
 
 
 def derived_props(spark: SparkSession, sf: str) -> DataFrame:
@@ -544,6 +549,22 @@ def describe_by(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(profile.describe(items, by=["l_returnflag"]), 4)
 
 
+def sketch_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quartiles of every ship mark from stored sketches of days, each checked to have a rank within one percent."""
+    names = ["l_quantity", "l_extendedprice"]
+    items = read(spark, sf, "lineitem").select("l_returnflag", "l_shipdate", *names)
+    days = written_table(sketches.day_sketches(items, names, keys=["l_returnflag"], ts="l_shipdate"))
+    merged = sketches.sketched_quantiles(sketches.merged_sketches(days, ["l_returnflag"]))
+    values = items.select("l_returnflag", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in names])).alias("v"))
+    joined = attach(values.select("l_returnflag", "v.*"), written_table(merged), ["l_returnflag", "column_name"], "inner", spread_by=["x"])
+    keys, n = ["l_returnflag", "column_name", "count", "min", "max"], F.count(F.lit(1))
+    near = [
+        ((F.count_if(F.col("x") < F.col(name)) <= n * (q + 0.01)) & (F.count_if(F.col("x") <= F.col(name)) >= n * (q - 0.01))).alias(f"{name}_ok")
+        for name, q in profile.QUARTILES.items()
+    ]
+    return round_all(joined.groupBy(*keys).agg(*near), 4)
+
+
 def null_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.null_profile(holed_items(spark, sf))
 
@@ -816,8 +837,8 @@ NAMES = (
     "demand_bins", "humidity", "wind", "unit_convert", "solar_geometry", "clear_sky", "diffuse",
     "sun_times", "climate_hourly", "label_join", "label_classes", "label_encode",
     "material_join", "site_metadata", "label_assign", "numeric_extract", "rule_fill",
-    "range_filter", "stage_counts", "derived_props", "topsis", "minmax_score",
-    "rank_materials", "describe", "describe_by", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
+    "range_filter", "stage_counts", "stage_observe", "derived_props", "topsis", "minmax_score",
+    "rank_materials", "describe", "describe_by", "sketch_quartiles", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
     "assign_sites",
     "union_sites", "distinct_days", "page_title", "page_text", "keyword_sentences",
     "mice_impute", "mice_check", "fused_hourly", "fused_daily",

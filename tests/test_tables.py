@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from sunmelt.operators import columns, filters, grid, profile
+from sunmelt.operators import columns, filters, grid, profile, sketches
 from sunmelt.sources import tables
 
 
@@ -237,3 +237,28 @@ def test_quartiles_of_the_null_group(spark, monkeypatch):
         for (g, k), values in want.items():
             r = got[None if g == "?" else g, k]
             assert r["count"] == len(values) and [r["q25"], r["q50"], r["q75"]] == pytest.approx(list(values.quantile([0.25, 0.5, 0.75])))
+
+
+def test_sketches_of_days_merge_to_quantiles_of_any_period(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice(["A", None]), f"2021-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}", rnd.lognormvariate(0, 2) if i % 9 else float("nan"), None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "city string, day string, x double, y double").withColumn("timestamp", F.to_timestamp_ntz("day"))
+    days = sketches.day_sketches(df, ["x", "y"])
+    assert {r["column_name"] for r in days.select("column_name").distinct().collect()} == {"x"}
+    summer = days.where("month(date) in (6, 7, 8)")
+    got = {r["city"]: r for r in sketches.sketched_quantiles(sketches.merged_sketches(summer, ["city"]), {"q10": 0.1, "q50": 0.5, "q99": 0.99}).collect()}
+    assert set(got) == {"A", None}
+    for city, r in got.items():
+        values = np.array([x for c, d, x, _ in rows if c == city and d[5:7] in ("06", "07", "08") and x == x])
+        assert r["count"] == len(values) and r["min"] == values.min() and r["max"] == values.max()
+        for name, q in (("q10", 0.1), ("q50", 0.5), ("q99", 0.99)):
+            assert abs((values <= r[name]).mean() - q) < 0.01
+
+
+def test_stages_are_counted_by_the_job_that_writes(spark, tmp_path):
+    df = spark.range(100).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("i"))
+    filters = {"known": F.col("i").isNotNull(), "large": F.col("i") > 50, "none": F.lit(False)}
+    counted, seen = profile.observe_stages(df, filters)
+    counted.write.parquet(str(tmp_path / "t"))
+    want = {r["stage"]: r["rows"] for r in profile.count_stages(df, filters).collect()}
+    assert {r["stage"]: r["rows"] for r in profile.observed_stages(spark, seen).collect()} == want == {"input": 100, "known": 90, "large": 45, "none": 0}
