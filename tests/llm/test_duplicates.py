@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -172,6 +173,30 @@ def test_chains_equal_a_quadratic_search():
         assert top == pytest.approx(max(best)) or (not chains and max(best) == substring.K)
 
 
+def test_chains_within_the_span_equal_a_quadratic_search():
+    rng, span = np.random.default_rng(1), substring.SPAN
+    for _ in range(120):
+        points = np.unique(rng.integers(0, int(rng.choice([40, 150, 400])), (int(rng.integers(1, 60)), 2)), axis=0)
+        a, b = rng.permutation(points).T
+        order, best = np.lexsort((b, a)), []
+        for i in order:
+            near = [best[k] - substring.GAP_COST * (a[i] - a[j] + b[i] - b[j]) for k, j in enumerate(order[: len(best)]) if 0 < a[i] - a[j] <= span and 0 < b[i] - b[j] <= span]
+            best.append(substring.K + max([0.0, *near]))
+        top = float(substring.K)
+        for chain in substring.chains(a, b):
+            steps = np.r_[np.diff(a[chain]), np.diff(b[chain])]
+            assert steps.min() > 0 and steps.max() <= span
+            top = max(top, substring.K * len(chain) - substring.GAP_COST * steps.sum())
+        assert top == pytest.approx(max(best))
+
+
+def test_chains_of_a_dense_grid_of_matches_take_little_time():
+    x, y = np.divmod(np.arange(150 * 150), 150)
+    start = time.perf_counter()
+    assert max(len(c) for c in substring.chains(x, y)) == 150
+    assert time.perf_counter() - start < 10
+
+
 def two_passages(rnd, first, gap, second):
     """Two texts that share two passages with other words between them."""
     one, two = words_of(rnd, first), words_of(rnd, second)
