@@ -472,6 +472,13 @@ def _suited() -> str:
     return f"""SELECT * FROM ({filled}) WHERE "Tm_melting" BETWEEN 35 AND 75 AND latent_heat_melting IS NOT NULL"""
 
 
+def _catalogue() -> str:
+    doubles = ["Tm_melting", "Tm_freezing", "Tm_nucleation", "latent_heat_melting", "latent_heat_avg", "Tm_range", "max_op_temp", "cycles_confidence"]
+    return f"""SELECT product, pcm_type, (dense_rank() OVER (ORDER BY pcm_type) - 1)::INTEGER AS pcm_type_code,
+      (dense_rank() OVER (ORDER BY flammability) - 1)::INTEGER AS flammability_enc, is_flammable, flash_point_known,
+      {rounded_columns(doubles)}, true AS fill_ok FROM ({derived(_suited())})"""
+
+
 def _chosen() -> str:
     """Climate, scored catalogue and best material per city and season."""
     coded = f"""SELECT *, (dense_rank() OVER (ORDER BY pcm_type) - 1)::INTEGER AS pcm_type_code FROM ({derived(_suited())})"""
@@ -683,6 +690,7 @@ def oracle_sql() -> dict[str, str]:
             FROM ({BODY}))) WHERE regexp_matches(sentence, '{keywords}')""",
         "mice_impute": _mice_cells(),
         "mice_check": _mice(),
+        "catalogue_path": _catalogue(),
         "csv_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
         "site_sink": "SELECT p_partkey, p_name, p_brand, p_size FROM part",
         "box_slice": """SELECT * FROM (SELECT l_orderkey, l_linenumber, l_shipdate AS "timestamp", l_quantity,

@@ -22,7 +22,7 @@ from sunmelt.operators import columns, daily, encode, fuse, grid, impute, labels
 from sunmelt.operators import textscan
 from sunmelt.operators.filters import drop_missing, filter_range
 from sunmelt.plans import climate, fusion, increment
-from sunmelt.plans.materials import derived_properties, material_codes, parse_numbers, scored_materials
+from sunmelt.plans.materials import derived_properties, materials_clean, parse_numbers, scored_materials
 from sunmelt.runtime import attach, checkpoint_dir, cut_lineage, written_table
 from sunmelt.sources import sinks
 from sunmelt.sources.tables import read_csv, read_grid, write_grid, write_table
@@ -699,6 +699,27 @@ def written_materials(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumns({c: printed(c) for c in doubles})
 
 
+def catalogue_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw catalogue under its printed headers to scores, with one round of forests: what follows
+    from rules as it is, and of what forests fill that observed cells stay and others are in range."""
+    printed = written_table(written_materials(spark, sf).drop("material_id"))
+    raw = printed.withColumnsRenamed({name: header for header, name in columns.MATERIAL_HEADERS.items()})
+    clean = written_table(materials_clean(raw, rounds=1))
+    ruled = impute.rule_fill(parse_numbers(printed))
+    filled = impute.CHAINED_COLUMNS
+    bounds = ruled.agg(*[f(c).alias(f"_{name}_{c}") for c in filled for name, f in (("lo", F.min), ("hi", F.max))])
+    before = ruled.select("product", *[F.col(c).alias(f"_was_{c}") for c in filled])
+    fine = F.col("pcm_suitability_score").between(-1e-9, 1 + 1e-9)
+    for c in filled:
+        new, slack = F.col(c), F.abs(F.col(f"_hi_{c}")) * 1e-9
+        inside = (new >= F.col(f"_lo_{c}") - slack) & (new <= F.col(f"_hi_{c}") + slack)
+        fine = fine & F.coalesce(new == F.col(f"_was_{c}"), F.lit(True)) & F.coalesce(inside, F.lit(False))
+    out = attach(clean, before, ["product"], spread_by=["Tm_melting"]).join(F.broadcast(bounds))  # one row of bounds
+    kept = ["Tm_melting", "Tm_freezing", "Tm_nucleation", "latent_heat_melting", "latent_heat_avg", "Tm_range", "max_op_temp", "cycles_confidence"]
+    codes = ["pcm_type", "pcm_type_code", "flammability_enc", "is_flammable", "flash_point_known"]
+    return round_all(out.select("product", *codes, *kept, fine.alias("fill_ok")))
+
+
 def fusion_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hourly climate from the grid, scored materials, and the best material per season.
 
@@ -841,7 +862,7 @@ NAMES = (
     "rank_materials", "describe", "describe_by", "sketch_quartiles", "null_profile", "missing_diff", "spatial_mean", "grid_slice",
     "assign_sites",
     "union_sites", "distinct_days", "page_title", "page_text", "keyword_sentences",
-    "mice_impute", "mice_check", "fused_hourly", "fused_daily",
+    "mice_impute", "mice_check", "catalogue_path", "fused_hourly", "fused_daily",
 )
 
 
