@@ -24,13 +24,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the session.
 
     ``spark.checkpoint.dir`` is set by the cluster. Where it is not, the folder lies in the
-    warehouse, which all executors share as well.
+    warehouse, which all executors share as well. A cluster that names neither has no folder
+    that is known to be shared, and is refused: the default warehouse is the driver's own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local") and not sc.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 

@@ -131,3 +131,26 @@ def test_running_value_small_and_spread_agree(spark, pick, step):
     spread = runtime.running(df, ["g"], order, F.col("v"), pick, "r", small=False)
     assert rows(small) == rows(spread)
     assert spread.count() == 3000
+
+
+@pytest.mark.parametrize("limit", [encode.SMALL_DICTIONARY, 0])
+def test_codes_of_several_columns_equal_those_of_each(spark, monkeypatch, limit):
+    df = spark.createDataFrame([("b", None), ("a", "x"), (None, "y"), ("b", "x"), ("é", "Z")], "p string, q string")
+    one = encode.label_encode(encode.label_encode(df, "p", "p_code"), "q", "q_code")
+    monkeypatch.setattr(encode, "SMALL_DICTIONARY", limit)
+    both = encode.label_encode_all(df, {"p": "p_code", "q": "q_code"})
+    assert dict(both.dtypes) == dict(one.dtypes)
+    assert sorted(map(tuple, both.select(one.columns).collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    Context.getConf = staticmethod(lambda: type("Conf", (), {"contains": staticmethod(lambda key: False)}))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(Session())
