@@ -154,3 +154,11 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     Context.getConf = staticmethod(lambda: type("Conf", (), {"contains": staticmethod(lambda key: False)}))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.checkpoint_dir(Session())
+
+
+def test_costly_rows_are_spread_by_their_number(spark):
+    rows = spark.range(45_000).coalesce(1)  # one small file is one task
+    spread = runtime.spread_rows(rows)
+    assert spread.rdd.getNumPartitions() == 3
+    assert spread.agg(F.count(F.lit(1)), F.sum("id")).first() == (45_000, 45_000 * 44_999 // 2)
+    assert runtime.spread_rows(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 1
