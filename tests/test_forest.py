@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,26 @@ def test_a_level_without_a_possible_cut_keeps_the_mean(spark):
     df = spark.createDataFrame([(1.0, 5.0 if i % 2 else None) for i in range(40)], "a double, b double")
     out = impute.chained_impute(df, ["a", "b"], rounds=1, local_rows=3)
     assert {r["b"] for r in out.collect()} == {5.0}
+
+
+def test_histograms_are_one_table_a_task(spark):
+    """Sums of bins leave a task once, and not once a batch."""
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal()), True) for i in range(6_000)], "_row long, a double, y double, known boolean")
+    table = table.coalesce(1).localCheckpoint()
+    edges = forest.bin_edges(table, ["a"])
+    batches, sent = table.toArrow().to_batches(max_chunksize=500), []
+
+    class Table:
+        def mapInArrow(self, run, layout):
+            sent.extend(run(iter(batches)))
+            return spark.createDataFrame(pa.Table.from_batches(sent))
+
+    def read(batch):
+        return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+
+    grown = {0: forest.Tree.leaf(0.0), 1: forest.Tree.leaf(0.0)}
+    got = forest._best_splits(Table(), read, ["a"], "y", "known", edges, grown, {(0, 0), (1, 0)}, 5)
+    assert sum(b.num_rows for b in sent) == 2 * (len(edges["a"]) + 1)
+    again = forest._best_splits(table, read, ["a"], "y", "known", edges, grown, {(0, 0), (1, 0)}, 5)
+    assert [pytest.approx(s) for s in sorted(got)] == sorted(again)
