@@ -329,3 +329,19 @@ def test_odd_vectors(spark):
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 9, 10)]
     assert links == sorted([*alone, (0, 4, 7), (7, 4, 7), (8, 4, 7), (8, 4, 7), (11, 4, 7)])
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_passages_whose_seeds_stand_elsewhere_in_the_same_partner(spark):
+    """Pieces of a passage before and after it in the partner, and texts that repeat themselves."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"{rng.randrange(16**9):x}" for _ in range(n)]
+    passage = fresh(60)
+    pieces = [w for i in range(0, 60, 6) for w in [*passage[i : i + 6], *fresh(20)]]
+    first = [*pieces, *fresh(30), *passage, *fresh(30), *pieces]
+    turning = ["tick", "tock"] * 2_990
+    texts = {1: first, 2: [*fresh(40), *passage, *fresh(40)], 3: [*fresh(50), *turning], 4: [*turning, *fresh(70)]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["partner_id"]): r for r in substring.repeated_passages(df).collect() if r["end"] - r["start"] >= 60}
+    at = 10 * 26 + 30
+    assert (got[2, 1]["start"], got[2, 1]["end"], got[2, 1]["partner_start"], got[2, 1]["partner_end"]) == (40, 100, at, at + 60)
+    assert got[4, 3]["end"] - got[4, 3]["start"] >= 5_970 and got[4, 3]["similarity"] > 0.99
