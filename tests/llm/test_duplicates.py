@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from edge import documents, empty
@@ -345,3 +346,11 @@ def test_passages_whose_seeds_stand_elsewhere_in_the_same_partner(spark):
     at = 10 * 26 + 30
     assert (got[2, 1]["start"], got[2, 1]["end"], got[2, 1]["partner_start"], got[2, 1]["partner_end"]) == (40, 100, at, at + 60)
     assert got[4, 3]["end"] - got[4, 3]["start"] >= 5_970 and got[4, 3]["similarity"] > 0.99
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_seeds_that_occur_once_are_left_out(size):
+    seed = sorted([1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 7, 7])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(seed))), "seed": seed, "place": [0] * len(seed)})
+    kept = substring._repeated_seeds(batch.slice(i, size) for i in range(0, len(seed), size))
+    assert [d for b in kept for d in b.column("doc_id").to_pylist()] == [i for i, s in enumerate(seed) if seed.count(s) > 1]
