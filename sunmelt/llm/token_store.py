@@ -9,20 +9,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sunmelt.llm.common import by_bytes, int_lists, texts_of
+from sunmelt.llm.common import by_bytes
 from sunmelt.runtime import written_table
 
 END = 2
 WORDS, PARTS = 900_000, 150_000  # entries of a worker's stores
-HOT = 8_192  # parts in a small store that is asked first
 LONGEST = 64  # longer texts are not kept
 SCHEMA = "doc_id {kind}, shard int, ids array<int>"
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -35,8 +34,8 @@ class WordEncoder:
     """Encodes with a tokenizer file of the tokenizers library whose model works word by word.
 
     The tokenizer drops white space, splits off signs and merges inside words only, and it
-    marks the last id of a word. So a text's ids are those of its blank-separated parts; parts
-    met before are looked up, and the new words of a batch are encoded as one text.
+    marks the last id of a word. So a text's ids are those of its blank-separated parts; the
+    different parts of a batch are looked up once, and its new words are encoded as one text.
     """
 
     def __init__(self, content: str) -> None:
@@ -51,7 +50,6 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_str(self.content)
         self.last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
         self.last[[i for token, i in self._tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.hot: dict[str, bytes] = {}  # ids of the most frequent parts of the first texts
         self.words: dict[str, bytes] = {}  # ids of runs of letters
         self.signs = {s: ids for s, ids in zip(SIGNS, self._each(list(SIGNS)), strict=True)}
         self.parts: dict[str, bytes] = {"": b""}  # ids of other parts
@@ -60,10 +58,10 @@ class WordEncoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, dtype="<i4").tobytes() for f in found]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not stored, found for all of them together."""
-        two = {p: m.groups() for p in parts if (m := SPLIT.fullmatch(p))}
-        words = {p for p in parts if p.isalpha()} | {w for w, _ in two.values()}
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different parts that are not stored, found for all of them together."""
+        two = {p: m.groups() for p in parts if not p.isalpha() and (m := SPLIT.fullmatch(p))}
+        words = {p for p in parts if p.isalpha()}.union([w for w, _ in two.values()])
         fresh = {w: self.words[w] for w in words if w in self.words}
         unknown = [w for w in words if w not in fresh]
         for i in range(0, len(unknown), 2_000):
@@ -87,35 +85,52 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
+        lists = self.encode_column(pa.array(texts, pa.string()))
+        raw, ends = np.asarray(lists.values, dtype="<i4").tobytes(), lists.offsets.to_pylist()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode_column(self, texts: pa.Array, end: Sequence[int] = ()) -> pa.ListArray:
+        """Ids of whole texts, each followed by ``end``; a null text is an empty one.
+
+        The texts are cut at blanks and their parts told apart by Arrow, so that each different
+        part is looked up once; the ids are then gathered for all places together.
+        """
         if self._tokenizer is None:
             self._start()
-        hot, words, signs, parts = self.hot.get, self.words.get, self.signs.get, self.parts.get
-        rows, open_rows, missing = [], [], set()
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            row, whole = list(map(hot, pieces)), True
-            if None in row:
-                for i in [i for i, ids in enumerate(row) if ids is None]:
-                    part = pieces[i]
-                    ids = words(part)
-                    if ids is None:
-                        ids, sign = words(part[:-1]), signs(part[-1:])
-                        ids = parts(part) if ids is None or sign is None else ids + sign
-                        if ids is None:
-                            missing.add(part)
-                            ids, whole = part, False
-                    row[i] = ids
-            if not whole:
-                open_rows.append(len(rows))
-            rows.append(b"".join(row) if whole else row)
-        learned = self._learn(missing) if missing else {}
-        for i in open_rows:
-            rows[i] = b"".join([x if x.__class__ is bytes else learned[x] for x in rows[i]])
-        if not self.hot and rows:
-            often = Counter(p for text in texts for p in text.replace("\n", " ").split(" "))
-            self.hot[""] = b""
-            self.hot = {p: self.encode([p])[0] for p, _ in often.most_common(HOT)}
-        return rows
+        cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        parts = cut.flatten().dictionary_encode()
+        found = self._parts_of(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found.append(np.array(end, dtype="<i4").tobytes())  # one more part, at the end of each text
+        counts = np.asarray(cut.value_lengths(), dtype=np.int64)
+        last = np.cumsum(counts + 1) - 1
+        codes = np.full(len(parts) + len(texts), len(found) - 1, dtype=np.int64)
+        own = np.ones(len(codes), dtype=bool)
+        own[last] = False
+        codes[own] = np.asarray(parts.indices)
+        lengths = np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+        starts, size = np.cumsum(lengths) - lengths, lengths[codes]
+        ends = np.cumsum(size)
+        at = np.repeat(starts[codes] - (ends - size), size) + np.arange(size.sum())
+        ids = np.frombuffer(b"".join(found), dtype="<i4")[at]
+        offsets = np.r_[0, ends[last]].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+    def _parts_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different parts, from the stores or, all together, from the tokenizer."""
+        words, signs, parts = self.words.get, self.signs.get, self.parts.get
+        row, missing = list(map(words, pieces)), []
+        for i in [i for i, ids in enumerate(row) if ids is None]:
+            part = pieces[i]
+            sign = signs(part[-1:])
+            ids = None if sign is None else words(part[:-1])
+            row[i] = ids = parts(part) if ids is None else ids + sign
+            if ids is None:
+                missing.append(i)
+        if missing:
+            learned = self._learn([pieces[i] for i in missing])
+            for i in missing:
+                row[i] = learned[pieces[i]]
+        return row
 
 
 def _keep(store: dict[str, bytes], most: int, fresh: dict[str, bytes]) -> None:
@@ -134,12 +149,11 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", en
     """
     with open(tokenizer, encoding="utf-8") as source:
         shared = docs.sparkSession.sparkContext.broadcast(WordEncoder(source.read()))
-    last = np.array([end], dtype="<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text", 8 << 20):
-                ids = int_lists([ids + last for ids in shared.value.encode(texts_of(batch.column("text")))])
+                ids = shared.value.encode_column(batch.column("text"), [end])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), ids], names=["doc_id", "shard", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from edge import documents, empty
@@ -66,6 +67,18 @@ def test_word_encoder_equals_the_library():
     assert mine.encode(texts) == want and mine.encode(texts) == want
 
 
+def test_each_different_part_of_a_batch_is_looked_up_once():
+    plain, mine = Tokenizer.from_file(WORDS), token_store.WordEncoder(open(WORDS, encoding="utf-8").read())
+    asked, own = [], mine._parts_of
+    mine._parts_of = lambda parts: asked.extend(parts) or own(parts)
+    texts = ["the cat and the cat.", None, "", "the\ncat and\tthe  cat"] * 50
+    got = mine.encode_column(pa.array(texts, pa.string()), [2])
+    assert got.to_pylist() == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert sorted(asked) == sorted({"", "the", "cat", "cat.", "and", "and\tthe"})
+    assert mine.encode_column(pa.array([], pa.string()), [2]).to_pylist() == []
+    assert mine.encode_column(pa.array(texts, pa.string()).slice(1, 2), [2]).to_pylist() == [[2], [2]]
+
+
 def test_token_files_of_odd_documents(spark):
     path = f"{checkpoint_dir(spark)}/odd-tokens"
     docs = documents(spark)
