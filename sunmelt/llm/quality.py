@@ -36,27 +36,43 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _left(text: Column, removed: str) -> Column:
+#: Blanks between words, as in a class of a pattern; of no letter, digit, mark or sign counted here.
+BLANKS = r"\x20\x09-\x0D"
+#: The first character of a word that is neither letter nor mark nor punctuation, and the word's rest.
+ODD = rf"[^\p{{L}}\p{{M}}.,;:!?'’(){BLANKS}-][^{BLANKS}]*+"
+#: A word of two characters or more without small letters, up to its first capital.
+SHOUTED = rf"(?<![^{BLANKS}])(?=[^\p{{Ll}}{BLANKS}]{{2,}}+(?![^{BLANKS}]))[^\p{{Lu}}{BLANKS}]*+\p{{Lu}}"
+
+
+def _left(text: Column | str, removed: str) -> Column:
     """Characters that stay when runs of ``removed`` go."""
     return F.length(F.regexp_replace(text, removed, ""))
 
 
+def _ended(words: Column) -> Column:
+    """Words that end with a mark, or with one and a line break that is no blank (as ``$`` allows)."""
+    spaced = F.concat(F.array_join(words, " "), F.lit(" "))
+    cut = lambda mark: F.length(spaced) - F.length(F.replace(spaced, F.lit(f"{mark} "), F.lit(" ")))
+    breaks = [F.contains(spaced, F.lit(c)) for c in "\u0085\u2028\u2029"]
+    one_by_one = F.size(F.filter(words, lambda w: w.rlike("[.!?]$")))
+    return F.when(breaks[0] | breaks[1] | breaks[2], one_by_one).otherwise(cut(".") + cut("!") + cut("?"))
+
+
 def _parts() -> dict[str, Column]:
-    """What several statistics share; ``_text`` is the text, ``_words`` and ``_lines`` its parts."""
-    text, words = F.col("_text"), F.col("_words")
+    """What several statistics share; ``_text`` is the text, ``_words`` and ``_lines`` its parts,
+    ``_joined`` the words without blanks and ``_signs`` what is no letter in them."""
+    words, joined, signs = F.col("_words"), F.col("_joined"), F.col("_signs")
     return {
-        "_chars": F.length(text).cast("double"),
         "_n": F.size(words).cast("double"),
-        "_letters": _left(text, r"\P{L}+").cast("double"),
-        "_solid": _left(text, r"\s+").cast("double"),
+        "_letters": (F.length(joined) - F.length(signs)).cast("double"),
+        "_solid": F.length(joined).cast("double"),
         "_pairs": F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b)),
         "_sizes": F.transform(words, F.length),
     }
 
 
 def _statistics() -> dict[str, Column]:
-    text, words, lines, n, solid = (F.col(c) for c in ("_text", "_words", "_lines", "_n", "_solid"))
-    ending = lambda marks: F.size(F.filter(words, lambda w: w.rlike(f"[{marks}]$")))
+    text, words, lines, n, solid, signs = (F.col(c) for c in ("_text", "_words", "_lines", "_n", "_solid", "_signs"))
     return {
         "log_words": F.log1p(n),
         "word_length": _share(solid, n),
@@ -64,15 +80,15 @@ def _statistics() -> dict[str, Column]:
         "short_words": _share(F.size(F.filter("_sizes", lambda s: s <= 2)), n),
         "distinct_words": _share(F.size(F.array_distinct(words)), n),
         "distinct_pairs": _share(F.size(F.array_distinct("_pairs")), n),
-        "repeated_words": _share(F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda same: same)), n),
+        "repeated_words": _share(F.size(F.filter(F.slice(words, 2, F.size(words)), lambda w, i: w == F.get(words, i))), n),
         "letters": _share(F.col("_letters"), solid),
-        "capitals": _share(_left(text, r"\P{Lu}+"), F.col("_letters")),
-        "digits": _share(_left(text, r"\P{Nd}+"), solid),
-        "symbols": _share(_left(text, r"[\p{L}\p{N}\s.,;:!?'()-]+"), solid),
-        "punctuation": _share(_left(text, r"[^.,;:!?]+"), solid),
-        "ended_words": _share(ending(".!?"), n),
-        "odd_words": _share(F.size(F.filter(words, lambda w: w.rlike(r"[^\p{L}\p{M}.,;:!?'’()-]"))), n),
-        "shouted_words": _share(F.size(F.filter(words, lambda w: (F.length(w) > 1) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))), n),
+        "capitals": _share(_left("_joined", r"\P{Lu}+"), F.col("_letters")),
+        "digits": _share(_left(signs, r"\P{Nd}+"), solid),
+        "symbols": _share(_left(signs, r"[\p{N}.,;:!?'()-]+"), solid),
+        "punctuation": _share(_left(signs, r"[^.,;:!?]+"), solid),
+        "ended_words": _share(_ended(words), n),
+        "odd_words": _share(F.regexp_count(text, F.lit(ODD)), n),
+        "shouted_words": _share(F.regexp_count(text, F.lit(SHOUTED)), n),
         "log_lines": F.log1p(F.size(lines).cast("double")),
         "distinct_lines": _share(F.size(F.array_distinct(lines)), F.size(lines)),
         "line_words": F.log1p(_share(n, F.size(lines))),
@@ -91,9 +107,10 @@ def statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     held = [f"_keep{i}" for i in range(len(keep))]
-    solid = lambda c, at: F.filter(F.split(c, at), lambda w: w.rlike(r"[^\x20\x09]"))
     df = docs.select(*kept, whole.alias("_text"))
-    df = df.select(*held, "_text", solid(F.col("_text"), r"[\x20\x09-\x0D]+").alias("_words"), solid(F.col("_text"), r"[\x0A-\x0D]+").alias("_lines"))
+    lines = F.filter(F.split("_text", r"[\x0A-\x0D]+"), lambda line: line.rlike(r"[^\x20\x09]"))
+    df = df.select(*held, "_text", F.array_remove(F.split("_text", f"[{BLANKS}]+"), "").alias("_words"), lines.alias("_lines"))
+    df = df.withColumn("_joined", F.array_join("_words", "")).withColumn("_signs", F.regexp_replace("_joined", r"\p{L}+", ""))
     df = df.withColumns(_parts())
     found = _statistics()
     df = df.select(*held, *[found[s].cast("double").alias(s) for s in STATISTICS])

@@ -37,6 +37,23 @@ def test_statistics_equal_brute_force(spark):
     assert {k: got[k] for k in want} == pytest.approx(want)
 
 
+def test_words_are_counted_in_whole_texts_as_one_by_one(spark):
+    rnd = random.Random(5)
+    some = ["a", "B", "ß", "É", "ǅ", "𝐀", "٣", "Ⅷ", "1", ".", "!", "?", ",", "’", "-", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u2028", "\u3000", "́", "😀", "%", "NASA", "x. "]
+    docs = spark.createDataFrame([(i, "".join(rnd.choice(some) for _ in range(rnd.randrange(30)))) for i in range(2000)], "doc_id long, text string")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    one_by_one = {
+        "ended_words": lambda w: w.rlike("[.!?]$"),
+        "odd_words": lambda w: w.rlike(r"[^\p{L}\p{M}.,;:!?'’()-]"),
+        "shouted_words": lambda w: (F.length(w) > 1) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"),
+    }
+    want = docs.select("doc_id", *[F.when(F.size(words) > 0, F.size(F.filter(words, f)) / F.size(words)).otherwise(F.lit(0.0)).alias(s) for s, f in one_by_one.items()])
+    found = quality.statistics(docs)
+    assert found.select(want.columns).exceptAll(want).isEmpty() and want.where("shouted_words > 0 and odd_words > 0 and ended_words > 0").count() > 100
+    # Six lambdas: sizes, short words, repeated words, pairs, lines and, for rare line breaks only, ended words.
+    assert found._jdf.queryExecution().analyzed().toString().count("lambdafunction(") <= 6
+
+
 def test_paths_of_a_tree_become_rules():
     text = """DecisionTreeClassificationModel: depth=2
   If (feature 0 <= 0.5)
