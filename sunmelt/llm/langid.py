@@ -24,6 +24,7 @@ BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 MAX_DOCS = 20_000  # expected number of training texts at most
 MAX_LANGS = 500
+SCORED = 1 << 18  # bytes of text scored together, about; its n-grams take a hundred times as much
 UNKNOWN = "und"
 BLANK = 0x20
 
@@ -131,15 +132,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in keep if c not in ("lang_pred", "score")]
     inner = [f"c{i}" for i in range(len(kept))]  # names that no column can clash with
+    body = inner[kept.index(text)] if text in kept else "text"  # a kept text is sent once
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text", 1 << 20):
-                names, values = shared.value.predict(texts_of(batch.column("text")))
+            for batch in by_bytes(whole, body, SCORED):
+                names, values = shared.value.predict(texts_of(batch.column(body)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), pa.array(names, pa.string()), pa.array(values)], names=[*inner, "lang_pred", "score"])
 
     kinds = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for i, c in zip(inner, kept, strict=True))
-    source = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.col(text).alias("text"))
+    source = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), *([F.col(text).alias("text")] if body == "text" else []))
     return source.mapInArrow(score, f"{kinds}lang_pred string, score double").toDF(*kept, "lang_pred", "score")
 
 

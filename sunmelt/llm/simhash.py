@@ -37,6 +37,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRED = 24
 TURNS = 3  # rounds of representatives before what is still apart is compared in blocks
 BLOCK = 256  # sets of each side of a block, about
+BLOCK_HASHES = 1 << 17  # hashes in them, about
 BAND_BITS, SAMPLED = 4, 3
 # Fixed value: the generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0xAE3
@@ -348,8 +349,12 @@ def _in_blocks(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     Every set outside the token's largest group meets every set of the token, in blocks of
     bounded size.
     """
-    largest = found.groupBy("token", "to").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("to", F.struct("n", "to")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("in_most"))
-    sized = largest.select("token", "most", F.ceil((F.col("n") - F.col("in_most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    groups = found.groupBy("token", "to").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("hashes"))
+    of_most = F.max_by(F.struct("to", "n", "hashes"), F.struct("n", "to")).alias("most")
+    largest = groups.groupBy("token").agg(of_most, F.sum("n").alias("n"), F.sum("hashes").alias("hashes"))
+    blocks = lambda n, hashes: F.greatest(F.ceil(n / BLOCK), F.ceil(hashes / BLOCK_HASHES))
+    rows, columns = blocks(F.col("n") - F.col("most.n"), F.col("hashes") - F.col("most.hashes")), blocks(F.col("n"), F.col("hashes"))
+    sized = largest.select("token", F.col("most.to").alias("most"), rows.alias("rows"), columns.alias("columns"))
     dealt = found.join(sized, "token")
     asking = dealt.where("to <> most").select("token", F.pmod(F.xxhash64("set"), "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), F.lit(True).alias("asks"), "set", "to")
     asked = dealt.select("token", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(F.xxhash64("set"), "columns").alias("column"), F.lit(False).alias("asks"), "set", "to")

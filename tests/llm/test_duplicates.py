@@ -354,3 +354,17 @@ def test_seeds_that_occur_once_are_left_out(size):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(seed))), "seed": seed, "place": [0] * len(seed)})
     kept = substring._repeated_seeds(batch.slice(i, size) for i in range(0, len(seed), size))
     assert [d for b in kept for d in b.column("doc_id").to_pylist()] == [i for i, s in enumerate(seed) if seed.count(s) > 1]
+
+
+def test_blocks_bounded_by_hashes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", 500)
+    rnd, hashes = random.Random(3), []
+    for i in range(40):
+        base = set(hashes[i - 1]) if i % 2 else {rnd.randrange(10**6) for _ in range(rnd.choice([20, 300]))}
+        hashes.append(sorted(base | {10**7 + i}))
+    sets = spark.createDataFrame(list(enumerate(hashes)), "set long, hashes array<bigint>")
+    found = spark.createDataFrame([(1, i, min(i, 36), len(h)) for i, h in enumerate(hashes)], "token long, set long, to long, size int")
+    got = {tuple(sorted(r)) for r in simhash._in_blocks(found, sets, 0.8).collect()}
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    want = {(i, j) for j in range(40) for i in range(j) if min(i, 36) != min(j, 36) and alike(hashes[i], hashes[j])}
+    assert got == want and len(got) >= 18

@@ -182,3 +182,12 @@ def test_redaction_of_odd_documents(spark):
     assert rows[0] == "The quick brown fox, write to <EMAIL> or <PHONE> now."
     assert rows[1] is None and rows[2] == "" and rows[4] == LONG
     assert pii.redact(empty(spark)).count() == 0 and pii.find(empty(spark)).count() == 0
+
+
+def test_a_kept_text_is_sent_once_to_be_identified(spark):
+    docs = spark.createDataFrame([(1, "der Hund und die Katze"), (2, None), (3, "the dog and the cat")], "doc_id long, text string")
+    model = langid.fit(docs.selectExpr("*", "if(doc_id = 1, 'de', 'en') AS lang"))
+    kept, plain = (langid.identify(docs, model, keep=k) for k in (("doc_id", "text"), ("doc_id",)))
+    assert "AS text#" not in kept._jdf.queryExecution().analyzed().toString().split("MapInArrow", 1)[1]
+    assert sorted(map(tuple, kept.drop("text").collect())) == sorted(map(tuple, plain.collect()))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
