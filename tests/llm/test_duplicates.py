@@ -9,6 +9,7 @@ from edge import documents, empty
 from pyspark.sql import functions as F
 
 from sunmelt.llm import lattice, simhash, substring
+from sunmelt.runtime import checkpoint_dir, scratch
 
 
 def groups(nodes, linked):
@@ -368,3 +369,15 @@ def test_blocks_bounded_by_hashes_lose_no_link(spark, monkeypatch):
     alike = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
     want = {(i, j) for j in range(40) for i in range(j) if min(i, 36) != min(j, 36) and alike(hashes[i], hashes[j])}
     assert got == want and len(got) >= 18
+
+
+def test_tables_of_seeds_are_deleted_when_passages_are_chained(spark):
+    rnd = random.Random(8)
+    line = words_of(rnd, 80)
+    df = spark.createDataFrame([(i, " ".join(words_of(rnd, 20) + line)) for i in range(5)], "doc_id long, text string")
+    with scratch(spark):
+        found = substring.repeated_passages(df)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables")
+        left = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        assert len(left) == 1  # the chains
+        assert {r["doc_id"] for r in found.collect()} == {1, 2, 3, 4}
