@@ -1,3 +1,4 @@
+import os
 import random
 import time
 
@@ -381,3 +382,78 @@ def test_tables_of_seeds_are_deleted_when_passages_are_chained(spark):
         left = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
         assert len(left) == 1  # the chains
         assert {r["doc_id"] for r in found.collect()} == {1, 2, 3, 4}
+
+
+def test_chains_that_stay_short_are_not_aligned(spark):
+    """Of texts that share seven words only nothing goes to the alignment; a passage around as few seeds does."""
+    rnd = random.Random(17)
+    line, passage = words_of(rnd, 7), words_of(rnd, 60)
+    docs = {i: words_of(rnd, 60) + line + words_of(rnd, 60) for i in range(6)}
+    # Other documents before have most seeds of the passage, so few are matched in the two that hold it.
+    docs |= {10 + i: words_of(rnd, 20) + passage[i : i + 6] + words_of(rnd, 20) for i in range(40)}
+    docs |= {i: words_of(rnd, 50) + passage + words_of(rnd, 50) for i in (100, 101)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    with scratch(spark):
+        found = substring.repeated_passages(df)
+        (table,) = os.listdir(f"{checkpoint_dir(spark).removeprefix('file:')}/tables")
+        aligned = spark.read.parquet(f"{checkpoint_dir(spark)}/tables/{table}")
+        assert {(r["doc_id"], r["partner_id"]) for r in aligned.collect()} == {(101, 100)}
+        assert [(r["doc_id"], r["partner_id"], r["start"], r["end"]) for r in found.collect()] == [(101, 100, 50, 110)]
+
+
+def test_chains_that_are_left_out_give_no_passage():
+    rnd, tried, dropped = random.Random(23), 0, 0
+    for turn in range(400):
+        words = [f"w{rnd.randrange(6 if turn % 3 else 3000)}" for _ in range(rnd.choice([20, 45, 70, 130]))]
+        other = [w if rnd.random() > 0.08 else "x" for w in words]
+        texts = words_of(rnd, rnd.choice([0, 5, 60])) + words + words_of(rnd, 60), words_of(rnd, rnd.choice([0, 9, 60])) + other + words_of(rnd, rnd.choice([0, 60]))
+        a, b = (substring.word_hashes(" ".join(t).encode()) for t in texts)
+        (s, p), (t, q) = substring.seeds(a), substring.seeds(b)
+        pairs = np.array([(p[i], q[j]) for i in range(len(s)) for j in np.flatnonzero(t == s[i])]).reshape(-1, 2)
+        picked = pairs[rnd.sample(range(len(pairs)), min(len(pairs), rnd.choice([2, 2, 4])))]
+        for chain in substring.chains(picked[:, 0], picked[:, 1]):
+            x, y = picked[chain].T
+            if len(chain) > 2 and len(set(x - y)) > 1:
+                continue
+            sides = []
+            for text, at in ((a, x), (b, y)):
+                offset = max(0, at[0] - substring.NEAR)
+                piece = text[offset : at[-1] + substring.K + substring.NEAR].astype(np.uint8)
+                sides.append({k: np.array([v]) for k, v in (("start", at[0]), ("end", at[-1] + substring.K), ("offset", offset), ("begin", 0), ("size", len(piece)))} | {"words": piece})
+            kept = substring._can_pass(*sides, 50, 0.8)[0]
+            found = substring.passages(a, b, x.tolist(), y.tolist(), 50, 0.8)
+            assert kept or not found
+            tried, dropped = tried + 1, dropped + (not kept)
+    assert tried > 150 and dropped > 50
+
+
+def test_ways_to_score_chains_agree():
+    rng = np.random.default_rng(3)
+    for turn in range(200):
+        n = int(rng.integers(2, 60))
+        points = np.unique(rng.integers(0, 150, (n, 2)), axis=0) if turn % 2 else np.repeat(np.unique(rng.integers(0, 400, n))[:, None], 2, axis=1) + [0, 7]
+        x, y = points[np.lexsort((points[:, 1], points[:, 0]))].T.tolist()
+        want = substring._reached(x, y)
+        assert (substring._compared(x, y) or want) == want
+        assert turn % 2 or substring._linked(x, y) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_matches_of_seeds_in_order(size):
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(12), f"d{rng.randrange(6)}", rng.randrange(4)) for _ in range(150))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[1] for r in rows], "seed": [r[0] for r in rows], "place": pa.array([r[2] for r in rows], pa.int32())})
+    hot = 13
+    got = [r for b in substring._match_rows(hot)(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+    want, passed = [], []
+    for seed in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == seed]
+        if len(own) > hot:
+            passed += own
+            continue
+        docs = sorted({r[1] for r in own})
+        pairs = {(d, e) for i, d in enumerate(docs) for e in (docs[0], docs[i - 1]) if i and d != e}
+        want += [(d, e, p, q) for d, e in pairs for p in {r[2] for r in own if r[1] == d} for q in {r[2] for r in own if r[1] == e}]
+    assert passed and want
+    assert sorted((r["seed"], r["doc_id"], r["place"]) for r in got if r["partner_id"] is None) == passed
+    assert sorted((r["doc_id"], r["partner_id"], r["place"], r["partner_place"]) for r in got if r["partner_id"] is not None) == sorted(want)
