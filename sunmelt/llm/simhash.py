@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunmelt.llm.common import by_bytes
+from sunmelt.llm.common import by_bytes, short_batches
 from sunmelt.llm.graph import components
 from sunmelt.runtime import cut_lineage, written_table
 
@@ -224,7 +224,8 @@ def similar_documents(docs: DataFrame, text: str = "text", width: int = 5, least
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.encode(F.col(text), "UTF-8").alias("raw"))
-    marked = written_table(source.mapInArrow(sketch, f"doc_id {kind}, set long, fp long, bands array<struct<band:int,key:long>>"))
+    with short_batches(docs.sparkSession):
+        marked = written_table(source.mapInArrow(sketch, f"doc_id {kind}, set long, fp long, bands array<struct<band:int,key:long>>"))
     # One class for each set of shingles, with one document that stands for it.
     classes = cut_lineage(marked.groupBy("set").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp"), F.max("bands").alias("bands")))
     keyed = classes.select("set", F.explode("bands").alias("b")).select("set", "b.band", "b.key")
@@ -265,7 +266,8 @@ def _hash_sets(source: DataFrame, classes: DataFrame, wanted: DataFrame, width:
 
     standing = classes.join(wanted.select("set").distinct(), "set").select("set", F.col("first").alias("doc_id"))
     texts = source.join(standing, "doc_id")
-    return cut_lineage(texts.select("set", "raw").mapInArrow(hash_sets, "set long, hashes array<bigint>").dropDuplicates(["set"]))
+    with short_batches(source.sparkSession):
+        return cut_lineage(texts.select("set", "raw").mapInArrow(hash_sets, "set long, hashes array<bigint>").dropDuplicates(["set"]))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -457,3 +457,14 @@ def test_matches_of_seeds_in_order(size):
     assert passed and want
     assert sorted((r["seed"], r["doc_id"], r["place"]) for r in got if r["partner_id"] is None) == passed
     assert sorted((r["doc_id"], r["partner_id"], r["place"], r["partner_place"]) for r in got if r["partner_id"] is not None) == sorted(want)
+
+
+def test_workers_get_few_texts_at_a_time(spark, monkeypatch):
+    sizes, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    real = simhash.written_table
+    monkeypatch.setattr(simhash, "written_table", lambda df: sizes.append(int(spark.conf.get(name))) or real(df))
+    before = spark.conf.get(name)
+    assert int(before) > 1_000
+    df = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert simhash.one_of_each(df).count() == 3
+    assert sizes[0] == 1_000 and spark.conf.get(name) == before
