@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from sunmelt.functions import demand, meteo, nulls, solar
 from sunmelt.operators import grid as grids
 from sunmelt.operators import sites
 from sunmelt.plans import climate
+from sunmelt.runtime import attach
 
 SITES = [
     ("Coimbatore", 11.0, 77.0, 411, "hot-humid", 45.0, 10.5, 11.5, 76.5, 77.5),
@@ -242,6 +245,30 @@ def test_sites_of_cells_equal_a_plain_loop(spark, site_dim, tile):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("most", [grids.MAX_BOXES, 10])
+def test_many_sites_do_not_move_the_cells(spark, monkeypatch, most):
+    """Boxes whose tiles are too many to be broadcast, though the boxes are not; ``most``: as if they were."""
+    monkeypatch.setattr(grids, "MAX_BOXES", most)
+    rng = np.random.default_rng(4)
+    south, west = rng.integers(-400, 400, 50_000) / 8, rng.integers(-800, 800, 50_000) / 8
+    north, east = south + rng.integers(4, 20, 50_000) / 8, west + rng.integers(4, 20, 50_000) / 8
+    sites = spark.createDataFrame(
+        pd.DataFrame({"city": np.arange(50_000), "lat_min": south, "lat_max": north, "lon_min": west, "lon_max": east})
+    )
+    places = rng.integers(-440, 440, 300) / 8, rng.integers(-880, 880, 300) / 8
+    cells = spark.createDataFrame([*zip(*(p.tolist() for p in places)), (None, 1.0), (1.0, None)], "latitude double, longitude double")
+    want = sorted(
+        (int(i), la, lo) for la, lo in zip(*(p.tolist() for p in places))
+        for i in np.flatnonzero((south <= la) & (la <= north) & (west <= lo) & (lo <= east))
+    )
+    monkeypatch.setattr(grids, "attach", lambda *a, **k: joined.append(k.get("small")) or attach(*a, **k))
+    joined = []
+    out = grids.assign_sites(cells, sites)
+    assert out.columns == ["latitude", "longitude", "site"]
+    assert sorted((r["site"], r["latitude"], r["longitude"]) for r in out.collect()) == want and len(want) > 900
+    assert joined == [most > 10]  # broadcast, or shuffled with the cells
+
+
 def test_spatial_mean_does_not_depend_on_partitioning(spark, readings):
     grid = spark.createDataFrame(readings, schema.GRID)
     one = grids.spatial_mean(grid.repartition(1)).orderBy("site", "timestamp").toPandas()
