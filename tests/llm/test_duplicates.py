@@ -248,6 +248,37 @@ def test_passages_whose_seeds_occur_earlier_elsewhere(spark, monkeypatch, hot):
     assert got == {(101, 100, 40, 100)}
 
 
+@pytest.mark.parametrize("hot", [3, 100, 2_000])
+def test_passages_whose_seeds_occur_elsewhere_first_and_between(spark, monkeypatch, hot):
+    """Neither the first document of a seed nor the one before holds the passage, of which they have pieces."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rnd = random.Random(32)
+    passage, docs = words_of(rnd, 60), {}
+    for begin in (0, 200, 400):  # before, between and after the two that hold it
+        runs = [passage[i : i + 6] for i in range(55)]
+        rnd.shuffle(runs)
+        docs |= {begin + i: words_of(rnd, 30) + run + words_of(rnd, 30) for i, run in enumerate(runs)}
+    docs |= {i: words_of(rnd, 40) + passage + words_of(rnd, 40) for i in (100, 101, 300)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["partner_id"], r["start"], r["end"]) for r in substring.repeated_passages(df).collect())
+    assert got == [(101, 100, 40, 100), (300, 100, 40, 100), (300, 101, 40, 100)]
+
+
+@pytest.mark.parametrize("hot", [2, 7, 1_000])
+def test_every_two_documents_of_a_seed_are_matched(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "ASKING", 5)
+    rng = random.Random(hot)
+    rows = sorted((rng.randrange(9), f"d{rng.randrange(15)}", rng.randrange(4)) for _ in range(200))
+    names = "seed long, doc_id string, place int"
+    many = {s for s in range(9) if sum(r[0] == s for r in rows) > hot}
+    few = pa.RecordBatch.from_pylist([{"seed": s, "doc_id": d, "place": p} for s, d, p in rows], pa.schema([("seed", pa.int64()), ("doc_id", pa.string()), ("place", pa.int32())]))
+    got = [r for b in substring._match_rows(hot, every=True)([few]) for r in b.to_pylist() if r["partner_id"] is not None]
+    got = [(r["doc_id"], r["partner_id"], r["place"], r["partner_place"]) for r in got]
+    got += [tuple(r) for r in substring._of_hot_seeds(spark.createDataFrame([r for r in rows if r[0] in many], names)).collect()]
+    assert sorted(got) == sorted((d, e, p, q) for s, d, p in set(rows) for t, e, q in set(rows) if s == t and e < d)
+
+
 def test_recall_of_passages_with_many_edits(spark):
     rnd, docs = random.Random(41), {}
     other = lambda n: [f"x{rnd.randrange(10**9)}" for _ in range(n)]
